@@ -44,7 +44,8 @@ def ordered_scan(
     lasts  latest non-null value up to and including the row
     nexts  first non-null value from the row onwards
 
-    `chunk` must not decrease along `order`.
+    `chunk` must not decrease along `order`, and keys are never null (a
+    recording and its wells are always named; one-well chambers have side "").
     """
     sums, lags, leads = sums or {}, lags or {}, leads or {}
     lasts, nexts = lasts or {}, nexts or {}
