@@ -1,7 +1,9 @@
 """All queries and their SQL."""
 
-from checks import q_detect, q_summary  # noqa: F401
-from checks.oracle import ORACLES
+from checks import q_detect, q_series, q_summary  # noqa: F401
+from checks.oracle import statements
 from checks.queries import QUERIES
 
+ORACLES = statements()
+
 __all__ = ["ORACLES", "QUERIES"]

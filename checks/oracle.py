@@ -152,8 +152,13 @@ group by dfm, chamber, side, well, g"""
 
 detection("", "bas")
 
-ORACLES: dict[str, str] = {}
+_BODIES: dict[str, tuple[str, ...]] = {}
 
 
 def oracle(name: str, body: str, *names: str) -> None:
-    ORACLES[name] = sql(body, *names)
+    _BODIES[name] = (body, *names)
+
+
+def statements() -> dict[str, str]:
+    """Complete statements; parts may be defined in any module."""
+    return {name: sql(*given) for name, given in _BODIES.items()}
