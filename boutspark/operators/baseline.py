@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boutspark.params import REC, Params, Settings, attach, carried, value
+from boutspark.params import REC, Params, Settings, Swept, attach, carried, value
 from boutspark.operators.scan import CHUNK_ROWS
 
 
@@ -104,8 +104,11 @@ def thresholds(df: DataFrame, settings: Settings, by: Sequence[str] = REC) -> Da
 
 def with_thresholds(df: DataFrame, settings: Settings, by: Sequence[str] = REC) -> DataFrame:
     """Bring the four levels onto the samples; a join only for relative levels."""
-    if isinstance(settings, Params) and settings.feeding_threshold >= 0:
+    fixed = (isinstance(settings, Params) and settings.feeding_threshold >= 0) or (
+        isinstance(settings, Swept) and not settings.ever_relative
+    )
+    if fixed:
         return df.withColumns(
-            {lv: F.lit(float(getattr(settings, name))) for lv, name in _LEVELS.items()}
+            {lv: value(settings, name).cast("double") for lv, name in _LEVELS.items()}
         )
     return df.join(thresholds(df, settings, by), [*by, "well"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from boutspark.operators.baseline import with_thresholds
 from boutspark.operators.runs import flag_runs, link_runs, spread_over_chunks, surviving_runs
 from boutspark.operators.scan import CHUNK_ROWS
-from boutspark.params import REC, Params, Settings, attach, carried, value
+from boutspark.params import REC, Settings, attach, carried, corrects_dual_feeding, value
 from boutspark.staging import stage
 
 # labels a detection adds to the samples
@@ -143,16 +143,12 @@ def detect(
     keep = stage if staged else (lambda df, _name: df)
     samples = attach(samples, settings, by)
     samples = with_thresholds(samples, settings, by)
-    correct = (
-        settings.correct_for_dual_feeding and settings.chamber_size == 2
-        if isinstance(settings, Params)
-        else True
-    )
+    correct = corrects_dual_feeding(settings)
     first = label_contacts(samples, settings, by, chunk_rows=chunk_rows)
-    if not correct:
+    if correct is False:
         return keep(first, "labelled")
     paired = zero_weaker_contact(first, by)
-    if not isinstance(settings, Params):
+    if correct is None:
         wanted = value(settings, "correct_for_dual_feeding") & (value(settings, "chamber_size") == 2)
         paired = paired.withColumn(
             "corrected", F.when(wanted, F.col("corrected")).otherwise(F.col("base"))

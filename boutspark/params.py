@@ -94,7 +94,28 @@ class Params:
         return replace(self, **changes)
 
 
-Settings = Params | DataFrame
+@dataclass(frozen=True)
+class Swept:
+    """Shared parameters with one field taken from a key column of the rows."""
+
+    params: Params
+    field: str
+    values: tuple[float, ...]
+    column: str = "sweep_value"
+
+    def __post_init__(self) -> None:
+        if self.field not in SWEEPABLE:
+            raise ValueError(f"{self.field!r} cannot be swept; choose one of {SWEEPABLE}")
+
+    @property
+    def ever_relative(self) -> bool:
+        """May the feeding threshold be negative, that is relative to the peak?"""
+        if self.field == "feeding_threshold":
+            return min(self.values) < 0
+        return self.params.feeding_threshold < 0
+
+
+Settings = Params | Swept | DataFrame
 _PREFIX = "p_"
 
 
@@ -104,8 +125,10 @@ def attach(df: DataFrame, settings: Settings, by: Sequence[str] = REC) -> DataFr
     No broadcast hint: Spark broadcasts the table when its measured size is
     below the session threshold and otherwise joins by shuffle.
     """
-    if isinstance(settings, Params):
+    if not isinstance(settings, DataFrame):
         return df
+    if any(_PREFIX + c in df.columns for c in settings.columns):
+        return df  # attached before
     keys = [c for c in by if c in settings.columns]
     renamed = settings.select(
         *keys, *[F.col(c).alias(_PREFIX + c) for c in settings.columns if c in _FIELD_NAMES]
@@ -117,12 +140,23 @@ def value(settings: Settings, name: str) -> Column:
     """The parameter as a column: a literal, or what `attach` brought along."""
     if isinstance(settings, Params):
         return F.lit(getattr(settings, name))
+    if isinstance(settings, Swept):
+        swept = name == settings.field
+        return F.col(settings.column) if swept else F.lit(getattr(settings.params, name))
     return F.col(_PREFIX + name)
 
 
 def carried(settings: Settings, *names: str) -> list[str]:
     """Columns a grouping must keep so that `value` still works after it."""
-    return [] if isinstance(settings, Params) else [_PREFIX + n for n in names]
+    return [_PREFIX + n for n in names] if isinstance(settings, DataFrame) else []
+
+
+def corrects_dual_feeding(settings: Settings) -> bool | None:
+    """Whether contacts are corrected; None when it differs by device."""
+    if isinstance(settings, DataFrame):
+        return None
+    p = settings.params if isinstance(settings, Swept) else settings
+    return p.correct_for_dual_feeding and p.chamber_size == 2
 
 
 _FIELD_NAMES = {f.name for f in fields(Params)} - {"chamber_sets"}

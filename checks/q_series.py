@@ -10,6 +10,7 @@ from boutspark.operators.bouts import feeding_bouts
 from boutspark.params import REC
 from boutspark.sources.tables import EVENT_PARAMS, event_design, event_recording
 from checks.oracle import detection, oracle, part, r6
+from checks.q_detect import pair_sql
 from checks.queries import query
 from checks.workspace import baselined, labelled, shown
 
@@ -373,7 +374,7 @@ def qc_results(spark, sf):
     rows = event_recording(spark, sf)
     per_device = quality.integrity(rows, REC, clock=None, index=None)
     matrix, _ = quality.bleeding_matrix(baselined(spark, sf), CUT)
-    shared = detect.simultaneous_matrix(labelled(spark, sf))
+    shared = detect.simultaneous_matrix(labelled(spark, sf), stage_name="before")
     got = quality.qc_table(per_device, breaks(spark, sf), shared, matrix)
     return shown(got)
 
@@ -384,12 +385,15 @@ STRONG = "greatest(" + ", ".join(
 oracle(
     "qc_results",
     f"""select s.dfm, s.n as "Rows", {r6('s.e')} as ElapsedFromMinutes, s.f as Flagged, coalesce(b.n, 0) as Breaks,
-       cast(0 as double) as SharedLicks, cast(0 as double) as MaxMinSignalAtBoth, {r6('w.strong')} as StrongestResponse
+       p.SharedLicks, {r6('p.MaxMinSignalAtBoth')} as MaxMinSignalAtBoth, {r6('w.strong')} as StrongestResponse
 from (select dfm, count(*) as n, max(minutes) - min(minutes) as e, count(*) filter (error_code <> 0) as f
       from sig group by dfm) s
 left join (select dfm, count(*) as n from steps where step > 86400 group by dfm) b on s.dfm = b.dfm
+left join (select dfm, sum(Both) as SharedLicks, max(MaxMinSignalAtBoth) as MaxMinSignalAtBoth
+           from ({pair_sql('k1', 'k2', 'before')}) group by dfm) p on s.dfm = p.dfm
 left join (select dfm, {STRONG} as strong from wide group by dfm) w on s.dfm = w.dfm""",
     "steps",
+    "pairs",
     "wide",
 )
 
