@@ -262,7 +262,7 @@ def pair_sql(a, b, stage):
     return f"""select dfm, chamber, '{stage}' as stage,
        cast(sum(case when {a} then 1 else 0 end) as double) as Licks1,
        cast(sum(case when {b} then 1 else 0 end) as double) as Licks2,
-       cast(sum(case when {a} and {b} then 1 else 0 end) as double) as Both,
+       cast(sum(case when {a} and {b} then 1 else 0 end) as double) as "Both",
        {r6(f"coalesce(max(case when {a} and {b} then least(b1, b2) end), 0.0)")} as MaxMinSignalAtBoth,
        cast(sum(case when {a} and {b} and b1 > b2 then 1 else 0 end) as double) as HigherInCol1AtBoth
 from pairs group by dfm, chamber"""

@@ -389,7 +389,7 @@ oracle(
 from (select dfm, count(*) as n, max(minutes) - min(minutes) as e, count(*) filter (error_code <> 0) as f
       from sig group by dfm) s
 left join (select dfm, count(*) as n from steps where step > 86400 group by dfm) b on s.dfm = b.dfm
-left join (select dfm, sum(Both) as SharedLicks, max(MaxMinSignalAtBoth) as MaxMinSignalAtBoth
+left join (select dfm, sum("Both") as SharedLicks, max(MaxMinSignalAtBoth) as MaxMinSignalAtBoth
            from ({pair_sql('k1', 'k2', 'before')}) group by dfm) p on s.dfm = p.dfm
 left join (select dfm, {STRONG} as strong from wide group by dfm) w on s.dfm = w.dfm""",
     "steps",
