@@ -259,11 +259,11 @@ def sweep(spark, sf, field, values):
     return shown(got)
 
 
-def add_summary(tag: str) -> None:
+def add_summary(tag: str, seats: str = "seats") -> None:
     part(
         f"wells{tag}",
-        (f"lab{tag}", f"bouts{tag}", f"gaps{tag}", "seats"),
-        well_summary(f"lab{tag}", f"bouts{tag}", f"gaps{tag}", "seats"),
+        (f"lab{tag}", f"bouts{tag}", f"gaps{tag}", seats),
+        well_summary(f"lab{tag}", f"bouts{tag}", f"gaps{tag}", seats),
     )
     part(f"two{tag}", (f"wells{tag}",), two_wells(f"wells{tag}"))
 
