@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,16 +25,17 @@ def window_samples(settings: Settings) -> Column:
 
 def running_median(
     df: DataFrame,
-    keys: Sequence[str],
+    by: Sequence[str],
     window: Column | int,
     column: str = "signal",
     out: str = "median",
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Centred running median over `pos`, shorter at both ends, nulls ignored.
+    """Centred running median of every well over `pos`, shorter at both ends.
 
-    Every chunk is computed on its own: samples within half a window of a chunk
-    also travel to it, so a task sees at most chunk_rows + window samples.
+    Nulls are ignored. Every chunk of a device is computed on its own: samples
+    within half a window of a chunk also travel to it, so a task sees at most
+    chunk_rows + window samples of each well, however long the recording is.
     """
     window = window if isinstance(window, Column) else F.lit(window)
     half = ((window - 1) / 2).cast("bigint")
@@ -46,15 +49,25 @@ def running_median(
         ),
     )
 
-    def medians(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        w = int(pdf["_w"].iloc[0])
-        pdf[out] = pdf[column].rolling(w, center=True, min_periods=1).median()
-        own = pdf["pos"] // chunk_rows == pdf["_at"]
-        return pdf.loc[own].drop(columns=["_w", "_at"])
+    def medians(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("well", "ascending"), ("pos", "ascending")])
+        wells, pos = rows["well"].to_numpy(), rows["pos"].to_numpy()
+        signal = pd.Series(rows[column].to_numpy(zero_copy_only=False).astype(float))
+        width = int(rows["_w"][0].as_py())
+        edges = np.flatnonzero(np.r_[True, wells[1:] != wells[:-1], True])
+        found = [
+            signal[a:b].rolling(width, center=True, min_periods=1).median()
+            for a, b in zip(edges[:-1], edges[1:])
+        ]
+        values = pa.array(np.concatenate(found), type=pa.float64(), from_pandas=True)
+        own = pos // chunk_rows == rows["_at"].to_numpy()
+        return rows.drop_columns(["_w", "_at"]).append_column(out, values).filter(pa.array(own))
 
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-    return reach.groupBy(*keys, "_at").applyInPandas(medians, schema)
+    # bound by the processor, not by bytes: keep the configured number of tasks
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = reach.repartition(tasks, *by, "_at")
+    return spread.groupBy(*by, "_at").applyInArrow(medians, schema)
 
 
 def subtract_baseline(
@@ -67,7 +80,7 @@ def subtract_baseline(
     """Add `base`: the signal minus its running median."""
     df = attach(df, settings, by)
     width = F.lit(window) if window is not None else window_samples(settings)
-    med = running_median(df, [*by, "well"], width, chunk_rows=chunk_rows)
+    med = running_median(df, by, width, chunk_rows=chunk_rows)
     return med.withColumn("base", F.col("signal") - F.col("median")).drop("median")
 
 
@@ -103,7 +116,11 @@ def thresholds(df: DataFrame, settings: Settings, by: Sequence[str] = REC) -> Da
 
 
 def with_thresholds(df: DataFrame, settings: Settings, by: Sequence[str] = REC) -> DataFrame:
-    """Bring the four levels onto the samples; a join only for relative levels."""
+    """Bring the four levels onto the samples; a join only for relative levels.
+
+    After the join samples are laid out by chunk again: a layout by well would
+    keep a long recording in one task.
+    """
     fixed = (isinstance(settings, Params) and settings.feeding_threshold >= 0) or (
         isinstance(settings, Swept) and not settings.ever_relative
     )
@@ -111,4 +128,4 @@ def with_thresholds(df: DataFrame, settings: Settings, by: Sequence[str] = REC)
         return df.withColumns(
             {lv: value(settings, name).cast("double") for lv, name in _LEVELS.items()}
         )
-    return df.join(thresholds(df, settings, by), [*by, "well"])
+    return df.join(thresholds(df, settings, by), [*by, "well"]).repartition(*by, "chunk")

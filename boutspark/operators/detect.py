@@ -13,9 +13,6 @@ from boutspark.operators.scan import CHUNK_ROWS
 from boutspark.params import REC, Settings, attach, carried, corrects_dual_feeding, value
 from boutspark.staging import stage
 
-# labels a detection adds to the samples
-LABELS = ("lick", "lick_head", "rest_head", "bout", "bout_head", "gap_head", "taste")
-
 
 def _holds(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
@@ -40,12 +37,21 @@ def feeding_runs(
     return surviving_runs(runs, value(settings, "feeding_minevents"))
 
 
+def _marks(runs: DataFrame, keys: Sequence[str], kind: str, chunk_rows: int) -> DataFrame:
+    """A marker row in every chunk that a run, or the sample after it, touches."""
+    spread = spread_over_chunks(runs.select(*keys, "start", "end"), chunk_rows, beyond=1)
+    return spread.select(
+        *keys, "chunk", "pos", F.struct("start", "end").alias(kind), F.lit(0).alias("_row")
+    )
+
+
 def label_contacts(
     samples: DataFrame,
     settings: Settings,
     by: Sequence[str] = REC,
     level: str = "base",
     chunk_rows: int = CHUNK_ROWS,
+    linked: bool = True,
 ) -> DataFrame:
     """Label every sample with its lick and bout.
 
@@ -54,53 +60,46 @@ def label_contacts(
     *_head      first sample of a lick run / rest / bout / gap between bouts
     taste       between the tasting levels and not a feeding lick
 
-    Runs and bouts enter as marker rows; the latest marker at or before a
-    sample decides, so no range join is needed and the work stays linear.
+    With `linked=False` only `lick` is found. Runs and bouts enter as marker
+    rows; the latest marker at or before a sample decides, so no range join is
+    needed and the work stays linear.
     """
     keys = [*by, "well"]
     runs = feeding_runs(samples, settings, by, level, chunk_rows)
-    carry = carried(settings, "feeding_event_link_gap")
-    linked = link_runs(runs, [*keys, *carry], value(settings, "feeding_event_link_gap"))
-    run_marks = spread_over_chunks(runs.select(*keys, "start", "end"), chunk_rows, beyond=1)
-    bout_marks = spread_over_chunks(linked.select(*keys, "start", "end"), chunk_rows, beyond=1)
-    span = F.struct("start", "end")
-    absent = F.lit(None).cast("struct<start:bigint,end:bigint>")
-    marks = run_marks.select(
-        *keys, "chunk", "pos", span.alias("_run"), absent.alias("_bout")
-    ).unionByName(
-        bout_marks.select(*keys, "chunk", "pos", absent.alias("_run"), span.alias("_bout"))
-    )
     rows = samples.withColumn("_row", F.lit(1)).unionByName(
-        marks.withColumn("_row", F.lit(0)), allowMissingColumns=True
+        _marks(runs, keys, "_run", chunk_rows), allowMissingColumns=True
     )
+    if linked:
+        carry = carried(settings, "feeding_event_link_gap")
+        gap = value(settings, "feeding_event_link_gap")
+        rows = rows.unionByName(
+            _marks(link_runs(runs, [*keys, *carry], gap), keys, "_bout", chunk_rows),
+            allowMissingColumns=True,
+        )
     # one layout for the whole device, so wells of a chamber stay together
     rows = rows.repartition(*by, "chunk")
     here = Window.partitionBy(*keys, "chunk").orderBy("pos", "_row")
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pos = F.col("pos")
-    run, bout = F.col("_run"), F.col("_bout")
-    base = F.col("base")
-    return (
-        rows.withColumn("_run", F.last(run, ignorenulls=True).over(upto))
-        .withColumn("_bout", F.last(bout, ignorenulls=True).over(upto))
-        .filter(F.col("_row") == 1)
-        .withColumn("lick", _holds(pos <= run["end"]))
-        .withColumn("lick_head", _holds(pos == run["start"]))
-        .withColumn(
-            "rest_head", _holds(pos == run["end"] + 1) | ((pos == 0) & ~F.col("lick"))
-        )
-        .withColumn("bout", F.when(pos <= bout["end"], bout["start"]))
-        .withColumn("bout_head", _holds(pos == bout["start"]))
-        .withColumn(
+    kinds = ["_run", "_bout"] if linked else ["_run"]
+    rows = rows.withColumns({k: F.last(k, ignorenulls=True).over(upto) for k in kinds})
+    rows = rows.filter(F.col("_row") == 1)
+    pos, run, base = F.col("pos"), F.col("_run"), F.col("base")
+    out = rows.withColumn("lick", _holds(pos <= run["end"]))
+    if linked:
+        bout = F.col("_bout")
+        between = (base > F.col("tasting_min")) & (base < F.col("tasting_max"))
+        out = out.withColumns(
+            {
+                "lick_head": _holds(pos == run["start"]),
+                "rest_head": _holds(pos == run["end"] + 1) | ((pos == 0) & ~F.col("lick")),
+                "bout": F.when(pos <= bout["end"], bout["start"]),
+                "bout_head": _holds(pos == bout["start"]),
+                "taste": _holds(between) & ~F.col("lick"),
+            }
+        ).withColumn(
             "gap_head", _holds(pos == bout["end"] + 1) | ((pos == 0) & F.col("bout").isNull())
         )
-        .withColumn(
-            "taste",
-            _holds((base > F.col("tasting_min")) & (base < F.col("tasting_max")))
-            & ~F.col("lick"),
-        )
-        .drop("_run", "_bout", "_row")
-    )
+    return out.drop("_row", *kinds)
 
 
 def zero_weaker_contact(labelled: DataFrame, by: Sequence[str] = REC) -> DataFrame:
@@ -144,16 +143,16 @@ def detect(
     samples = attach(samples, settings, by)
     samples = with_thresholds(samples, settings, by)
     correct = corrects_dual_feeding(settings)
-    first = label_contacts(samples, settings, by, chunk_rows=chunk_rows)
     if correct is False:
-        return keep(first, "labelled")
+        return keep(label_contacts(samples, settings, by, chunk_rows=chunk_rows), "labelled")
+    first = label_contacts(samples, settings, by, chunk_rows=chunk_rows, linked=False)
     paired = zero_weaker_contact(first, by)
     if correct is None:
         wanted = value(settings, "correct_for_dual_feeding") & (value(settings, "chamber_size") == 2)
         paired = paired.withColumn(
             "corrected", F.when(wanted, F.col("corrected")).otherwise(F.col("base"))
         )
-    paired = keep(paired.withColumnRenamed("lick", "lick_before").drop(*LABELS), "paired")
+    paired = keep(paired.withColumnRenamed("lick", "lick_before"), "paired")
     second = label_contacts(paired, settings, by, level="corrected", chunk_rows=chunk_rows)
     return keep(second.drop("corrected"), "labelled")
 
@@ -179,26 +178,28 @@ def simultaneous_matrix(
     `stage_name` chooses the licks before or after dual-feeding correction.
     Wells are physical ones in order, not A and B.
     """
-    lick = F.col("lick_before" if stage_name == "before" else "lick")
-    pick = lambda slot, col: F.max(F.when(F.col("slot") == slot, col))
+    lick = "lick_before" if stage_name == "before" else "lick"
+    at = lambda slot: F.max(F.when(F.col("slot") == slot, F.col("base")))
+    seen = lambda slot: F.bool_or(F.col("slot") == slot)
+    # only licked samples travel; chambers without any come back at the end
     ticks = (
-        labelled.groupBy(*by, "chamber", "chunk", "pos")
-        .agg(
-            F.coalesce(pick(1, lick), F.lit(False)).alias("l1"),
-            F.coalesce(pick(2, lick), F.lit(False)).alias("l2"),
-            pick(1, F.col("base")).alias("b1"),
-            pick(2, F.col("base")).alias("b2"),
-        )
+        labelled.filter(lick)
+        .groupBy(*by, "chamber", "chunk", "pos")
+        .agg(seen(1).alias("l1"), seen(2).alias("l2"), at(1).alias("b1"), at(2).alias("b2"))
     )
     both = F.col("l1") & F.col("l2")
     count = lambda c: F.sum(c.cast("int")).cast("double")
-    return ticks.groupBy(*by, "chamber").agg(
+    found = ticks.groupBy(*by, "chamber").agg(
         count(F.col("l1")).alias("Licks1"),
         count(F.col("l2")).alias("Licks2"),
         count(both).alias("Both"),
-        F.coalesce(F.max(F.when(both, F.least("b1", "b2"))), F.lit(0.0)).alias("MaxMinSignalAtBoth"),
+        F.max(F.when(both, F.least("b1", "b2"))).alias("MaxMinSignalAtBoth"),
         count(both & (F.col("b1") > F.col("b2"))).alias("HigherInCol1AtBoth"),
     )
+    chambers = labelled.select(*by, "chamber").distinct()
+    return chambers.join(found, [*by, "chamber"], "left").fillna(
+        0.0, ["Licks1", "Licks2", "Both", "MaxMinSignalAtBoth", "HigherInCol1AtBoth"]
+    )
 
 
 def dual_rows(labelled: DataFrame) -> DataFrame:

@@ -95,7 +95,9 @@ def ordered_scan(
 
     carry = df.groupBy(*keys, chunk).agg(*totals).select(*keys, chunk, *carries)
     kept = [c for c in df.columns if c not in local]
-    joined = df.select(*kept, *[c.alias(n) for n, c in local.items()]).join(
+    # spread by chunk even if `df` arrives laid out by its keys alone
+    spread = df.repartition(*keys, chunk)
+    joined = spread.select(*kept, *[c.alias(n) for n, c in local.items()]).join(
         carry, [*keys, chunk]
     )
     return joined.select(*kept, *[c.alias(n) for n, c in final.items()])

@@ -6,8 +6,9 @@ user's events is the sample order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boutspark.functions.scalars import well_is_lit
 from boutspark.operators.scan import chunk_of, ordered_scan
@@ -34,20 +35,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def epoch_micros(df: DataFrame, column: str) -> Column:
+    """Microseconds since 1970, whether the column knows a time zone or not."""
+    if isinstance(df.schema[column].dataType, T.TimestampNTZType):
+        return F.expr(
+            f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{column}`)"
+        )
+    return F.unix_micros(column)
+
+
 def event_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per sample of every well, with chamber, side and light state."""
-    events = table(spark, sf_dir, "events").select(
+    raw = table(spark, sf_dir, "events")
+    events = raw.select(
         "event_id",
         "ts",
         "user_id",
         "event_type",
         "value",
         F.regexp_extract("props", "([0-9]+)", 1).cast("bigint").alias("k"),
-        F.to_date("ts").alias("day"),
+        F.floor(epoch_micros(raw, "ts") / 60_000_000).alias("minute"),
     )
-    # a well delivers a bounded number of samples a day: number them day by day
+    # samples are numbered minute by minute, so even a user with a third of all
+    # events is many small pieces, and has at most one carry row per minute
     numbered = ordered_scan(
-        events, ["user_id"], ["ts", "event_id"], "day", sums={"sample": F.lit(1).cast("bigint")}
+        events, ["user_id"], ["ts", "event_id"], "minute", sums={"sample": F.lit(1).cast("bigint")}
     )
     dfm = (F.floor(F.col("user_id") / 12) + 1).cast("bigint")
     well = (F.col("user_id") % 12 + 1).cast("bigint")
@@ -68,8 +80,9 @@ def event_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
     # whole devices are laid out by time chunk, so every later step on a device,
     # a chamber or a well finds its rows together
     rows = rows.repartition("project", "dfm", "chunk")
-    tick = rows.groupBy("project", "dfm", "chunk", "pos").agg(F.sum("k").alias("_sum_k"))
-    rows = rows.join(tick, ["project", "dfm", "chunk", "pos"])
+    # at most twelve wells share a tick
+    tick = Window.partitionBy("project", "dfm", "chunk", "pos")
+    rows = rows.withColumn("_sum_k", F.sum("k").over(tick))
     odd_well, odd_dfm = F.col("well") % 2 == 1, F.col("dfm") % 2 == 1
     opto = F.when(F.col("pos") % 20 < 10, F.col("_sum_k") * 37 % 4096).otherwise(F.lit(0))
     training = (F.col("well") % 4 == 1) & (F.col("sample") <= 10 + F.col("dfm") % 5)

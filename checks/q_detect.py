@@ -105,7 +105,7 @@ oracle(
 @query
 def baseline_median(spark, sf):
     rec = event_recording(spark, sf).select(*WELL, "pos", "sample", "signal")
-    med = baseline.running_median(rec, WELL, EVENT_WINDOW)
+    med = baseline.running_median(rec, REC, EVENT_WINDOW)
     return shown(
         med.select("dfm", "well", "sample", "median", (F.col("signal") - F.col("median")).alias("base"))
     )

@@ -8,7 +8,7 @@ from boutspark.functions.scalars import ERROR_BITS
 from boutspark.operators import access, detect, light, quality, ratio
 from boutspark.operators.bouts import feeding_bouts
 from boutspark.params import REC
-from boutspark.sources.tables import EVENT_PARAMS, event_design, event_recording
+from boutspark.sources.tables import EVENT_PARAMS, epoch_micros, event_design, event_recording
 from checks.oracle import detection, oracle, part, r6
 from checks.q_detect import pair_sql
 from checks.queries import query
@@ -242,8 +242,8 @@ BREAK_RATE = 1.0 / 21600.0  # so that four steps make one day
 
 
 def clocked(spark, sf):
-    micros = F.expr("timestampdiff(MICROSECOND, cast('1970-01-01' as timestamp_ntz), cast(ts as timestamp_ntz))")
-    return event_recording(spark, sf).withColumn("seconds", micros / F.lit(1e6))
+    rows = event_recording(spark, sf)
+    return rows.withColumn("seconds", epoch_micros(rows, "ts") / F.lit(1e6))
 
 
 def breaks(spark, sf):

@@ -185,7 +185,7 @@ def test_running_median_in_chunks(spark, window):
     df = to_frame(spark, {(1, 1): x}).withColumn(
         "signal", F.when(F.col("pos") % 13 != 5, F.col("signal"))
     )
-    got = running_median(df, [*REC, "well"], window, chunk_rows=CHUNK).toPandas().sort_values("pos")
+    got = running_median(df, REC, window, chunk_rows=CHUNK).toPandas().sort_values("pos")
     x[np.arange(len(x)) % 13 == 5] = np.nan
     want = pd.Series(x).rolling(window, center=True, min_periods=1).median()
     assert got["median"].tolist() == pytest.approx(want.tolist(), nan_ok=True)
