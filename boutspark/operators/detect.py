@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from boutspark.operators.baseline import with_thresholds
 from boutspark.operators.runs import flag_runs, link_runs, spread_over_chunks, surviving_runs
-from boutspark.operators.scan import CHUNK_ROWS
+from boutspark.operators.scan import CHUNK_ROWS, chunk_of
 from boutspark.params import REC, Settings, attach, carried, corrects_dual_feeding, value
 from boutspark.staging import stage
 
@@ -140,6 +140,7 @@ def detect(
     and `dual` keep the first result.
     """
     keep = stage if staged else (lambda df, _name: df)
+    samples = samples.withColumn("chunk", chunk_of("pos", chunk_rows))
     samples = attach(samples, settings, by)
     samples = with_thresholds(samples, settings, by)
     correct = corrects_dual_feeding(settings)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutspark.functions.scalars import standard_error
@@ -114,7 +114,7 @@ def mean_and_error(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame
 def time_course(
     binned: DataFrame, factors: Sequence[str], metric: str, mode: str = "total"
 ) -> DataFrame:
-    """Group means per bin; `MaxN` is the largest n of the group."""
+    """Group means per bin; `Label` names the group with its largest n."""
     rows = binned.select(
         group_label(factors).alias("Group"),
         "bin",
@@ -122,9 +122,9 @@ def time_course(
         display_metric(binned.columns, metric, mode).alias("MetricValue"),
     )
     stats = mean_and_error(rows, ["Group", "bin", "Minutes"], "MetricValue")
-    # one row per group and bin: the largest n by a join keeps groups apart
-    largest = stats.groupBy("Group").agg(F.max("N").alias("MaxN"))
-    return stats.join(largest, "Group")
+    largest = stats.groupBy("Group").agg(F.max("N").alias("_n"))
+    label = F.concat("Group", F.lit(" (n="), F.col("_n").cast("string"), F.lit(")"))
+    return stats.join(largest, "Group").withColumn("Label", label).drop("_n")
 
 
 def time_courses(
@@ -259,10 +259,3 @@ def weighted_durations(summary: DataFrame) -> DataFrame:
         ]
     return per_side.groupBy("Treatment").agg(*out)
 
-
-def label_with_n(stats: DataFrame) -> DataFrame:
-    """Group labels such as `Ctrl (n=12)` from the largest n of a group."""
-    n = F.max("N").over(Window.partitionBy("Group"))
-    return stats.withColumn(
-        "Label", F.concat(F.col("Group"), F.lit(" (n="), n.cast("string"), F.lit(")"))
-    )

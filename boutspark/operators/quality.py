@@ -100,17 +100,18 @@ def integrity(
 
 
 def overview(rows: DataFrame, by: Sequence[str] = REC) -> DataFrame:
-    """Rows and minutes covered per device, with the range of all devices."""
+    """Rows and minutes covered per device; without a device (null) of all."""
     per_device = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("Rows"),
         F.min("minutes").alias("FirstMin"),
         F.max("minutes").alias("LastMin"),
     )
     outer = [c for c in by if c != "dfm"]
-    overall = per_device.groupBy(*outer).agg(
-        F.min("FirstMin").alias("OverallFirst"), F.max("LastMin").alias("OverallLast")
+    return per_device.groupingSets([list(by), outer], *by).agg(
+        F.sum("Rows").alias("Rows"),
+        F.min("FirstMin").alias("FirstMin"),
+        F.max("LastMin").alias("LastMin"),
     )
-    return per_device.join(overall, outer)
 
 
 def design_table(design: DataFrame, by: Sequence[str] = REC) -> DataFrame:

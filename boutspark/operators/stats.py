@@ -145,22 +145,32 @@ def _anova_rows(wide: DataFrame, keys: Sequence[str], term: str) -> DataFrame:
 def anova_one_way(
     df: DataFrame, y: str, factor: str, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """One-way analysis of variance, one model per value of `keys`."""
+    """One-way analysis of variance, one model per value of `keys`.
+
+    Levels and totals come from one pass with grouping sets; the squares
+    between levels are the total ones less those within.
+    """
     keys = list(keys)
-    cells = cell_table(df, y, [factor], keys).withColumn("_all", F.lit(1))
-    over = [*keys, "_all"]
-    grand = cells.groupBy(*over).agg(
-        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_grand")
+    sums = (
+        df.filter(F.col(y).isNotNull() & ~F.isnan(y))
+        .groupingSets([[*keys, factor], keys], *keys, factor)
+        .agg(
+            F.grouping(factor).alias("_total"),
+            F.count(y).alias("n"),
+            (F.var_pop(y) * F.count(y)).alias("ss"),
+        )
     )
+    level, total = F.col("_total") == 0, F.col("_total") == 1
+    levels = F.count(F.when(level, F.lit(1)))
     wide = (
-        cells.join(grand, over)
-        .groupBy(*over)
+        sums.groupBy(*keys)
         .agg(
-            F.sum(F.col("n") * F.pow(F.col("mean") - F.col("_grand"), 2)).alias("ssb"),
-            (F.count(F.lit(1)) - 1).cast("double").alias("dfb"),
-            F.sum("ss").alias("ssw"),
-            (F.sum("n") - F.count(F.lit(1))).alias("dfw"),
+            F.max(F.when(total, F.col("ss"))).alias("sst"),
+            F.sum(F.when(level, F.col("ss"))).alias("ssw"),
+            (levels - 1).cast("double").alias("dfb"),
+            (F.max(F.when(total, F.col("n"))) - levels).cast("double").alias("dfw"),
         )
+        .withColumn("ssb", F.greatest(F.col("sst") - F.col("ssw"), F.lit(0.0)))
     )
     return _anova_rows(wide, keys, factor)
 
@@ -170,8 +180,7 @@ def regression_anova(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) ->
     keys = list(keys)
     a, b = F.col(y).cast("double"), F.col(x).cast("double")
     wide = (
-        df.withColumn("_all", F.lit(1))
-        .groupBy(*keys, "_all")
+        df.groupBy(*keys)
         .agg(
             F.regr_sxx(a, b).alias("sxx"),
             F.regr_sxy(a, b).alias("sxy"),
@@ -342,16 +351,32 @@ def tukey(
     never of observations.
     """
     keys = list(keys)
-    cells = cell_table(df, y, [factor], keys).withColumn("_all", F.lit(1))
-    over = [*keys, "_all"]
-    pooled = cells.groupBy(*over).agg(
+    cells = cell_table(df, y, [factor], keys)
+    level = F.struct(F.col(factor).alias("level"), "n", "mean")
+    models = cells.groupBy(*keys).agg(
+        F.collect_list(level).alias("_levels"),
         F.count(F.lit(1)).alias("k"),
         (F.sum("n") - F.count(F.lit(1))).alias("dfw"),
         F.sum("ss").alias("ssw"),
     )
-    one = cells.select(*over, F.col(factor).alias("group1"), F.col("n").alias("n1"), F.col("mean").alias("m1"))
-    two = cells.select(*over, F.col(factor).alias("group2"), F.col("n").alias("n2"), F.col("mean").alias("m2"))
-    pairs = one.join(two, over).filter("group1 < group2").join(pooled, over)
+    one, two = F.col("_one"), F.col("_two")
+    pairs = (
+        models.withColumn("_one", F.explode("_levels"))
+        .withColumn("_two", F.explode("_levels"))
+        .filter(one["level"] < two["level"])
+        .select(
+            *keys,
+            "k",
+            "dfw",
+            "ssw",
+            one["level"].alias("group1"),
+            two["level"].alias("group2"),
+            one["n"].alias("n1"),
+            two["n"].alias("n2"),
+            one["mean"].alias("m1"),
+            two["mean"].alias("m2"),
+        )
+    )
     error = F.sqrt(F.col("ssw") / F.col("dfw") / 2 * (1 / F.col("n1") + 1 / F.col("n2")))
     tested = (
         pairs.withColumn("meandiff", F.col("m2") - F.col("m1"))

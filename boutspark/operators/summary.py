@@ -132,19 +132,6 @@ def seats_of(labelled: DataFrame, by: Sequence[str] = REC) -> DataFrame:
     return labelled.select(*by, "chamber", "side").distinct()
 
 
-def duration_summary(bouts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean and median bout duration; groups without bouts have no row."""
-    return bouts.groupBy(*keys).agg(
-        F.avg("Duration").alias("MeanDuration"), F.median("Duration").alias("MedDuration")
-    )
-
-
-def interval_summary(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return intervals.groupBy(*keys).agg(
-        F.avg("IntervalSec").alias("MeanTimeBtw"), F.median("IntervalSec").alias("MedTimeBtw")
-    )
-
-
 def _facts(
     labelled: DataFrame, settings: Settings, by: Sequence[str], keep, slots: list[str]
 ) -> DataFrame:

@@ -315,19 +315,19 @@ from sig group by dfm, well""",
 
 @query
 def overview(spark, sf):
-    """Rows and minutes per device, beside the chambers of each treatment."""
+    """Rows and minutes per device and overall, beside the chambers of each treatment."""
     per_device = quality.overview(event_recording(spark, sf))
     table = quality.design_table(event_design(spark, sf))
-    return shown(per_device.join(table, list(REC)))
+    return shown(per_device.join(table, list(REC), "left"))
 
 
 oracle(
     "overview",
-    f"""select s.dfm, "Rows", {r6('f')} as FirstMin, {r6('l')} as LastMin, {r6('min(f) over ()')} as OverallFirst,
-       {r6('max(l) over ()')} as OverallLast, Treatment, Chambers, ChamberList
-from (select dfm, count(*) as "Rows", min(minutes) as f, max(minutes) as l from sig group by dfm) s
-join (select dfm, Treatment, count(*) as Chambers, string_agg(cast(chamber as varchar), ',' order by chamber) as ChamberList
-      from design group by all) d on s.dfm = d.dfm""",
+    f"""select s.dfm, "Rows", {r6('f')} as FirstMin, {r6('l')} as LastMin, Treatment, Chambers, ChamberList
+from (select dfm, count(*) as "Rows", min(minutes) as f, max(minutes) as l from sig group by dfm
+      union all select null, count(*), min(minutes), max(minutes) from sig) s
+left join (select dfm, Treatment, count(*) as Chambers, string_agg(cast(chamber as varchar), ',' order by chamber) as ChamberList
+           from design group by all) d on s.dfm = d.dfm""",
     "sig",
     "design",
 )

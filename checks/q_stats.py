@@ -360,7 +360,7 @@ def basic_analysis(spark, sf):
         factors=["Sex"],
         hedonic=True,
     )
-    per = found.overview
+    per = found.overview.filter("dfm is not null")
     for df, name, agg in (
         (found.breaks, "breaks", F.count(F.lit(1))),
         (found.bouts, "bouts", F.count(F.lit(1))),
@@ -376,8 +376,8 @@ def basic_analysis(spark, sf):
 
 oracle(
     "basic_analysis",
-    f"""select s.dfm, n as "Rows", {r6('f')} as FirstMin, {r6('l')} as LastMin, {r6('min(f) over ()')} as OverallFirst,
-       {r6('max(l) over ()')} as OverallLast, coalesce(b.c, 0) as breaks, coalesce(o.c, 0) as bouts,
+    f"""select s.dfm, n as "Rows", {r6('f')} as FirstMin, {r6('l')} as LastMin,
+       coalesce(b.c, 0) as breaks, coalesce(o.c, 0) as bouts,
        coalesce(g.c, 0) as gaps, {r6('t.licks')} as licks, s.wells, cast(12 as bigint) as bleeding_rows, t.c * 2 as well_rows
 from (select dfm, count(*) as n, min(minutes) as f, max(minutes) as l, count(distinct well) as wells from sig group by dfm) s
 left join (select dfm, count(*) as c from steps where step > 86400 group by dfm) b on s.dfm = b.dfm

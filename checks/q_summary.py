@@ -363,7 +363,8 @@ def binned_treatment(spark, sf):
 
 oracle(
     "binned_treatment",
-    f"""select grp as "Group", {r6('mid')} as Minutes, {SEM}, max(n) over (partition by grp) as MaxN
+    f"""select grp as "Group", {r6('mid')} as Minutes, {SEM},
+       grp || ' (n=' || cast(max(n) over (partition by grp) as varchar) || ')' as Label
 from ({mean_sem('LicksA + LicksB', 'grp, mid', '(select *, (bin_start + bin_end) / 2.0 as mid from bdesigned)')})""",
     "bdesigned",
 )

@@ -282,3 +282,41 @@ def test_single_sample_device_has_no_bins(spark):
     bins = summary.Bins(size=5, scope="device")
     assert summary.binned_summary(one, SHARED, bins).count() == 0
     assert summary.feeding_summary(one, SHARED).count() == 1
+
+
+def test_segments_are_written_in_one_job(spark, labelled, tmp_path):
+    from boutspark.sources.sinks import write_segments
+
+    design = labelled.select(*REC, "chamber").distinct().filter("chamber < 6").withColumn("Treatment", F.lit("t"))
+    path = str(tmp_path / "segments")
+    write_segments(labelled, SHARED, design, [10, 33], path, transform_licks=False)
+    back = spark.read.option("header", "true").csv(path)
+    counts = {r["segment"]: r["n"] for r in back.groupBy("segment").agg(F.count("*").alias("n")).collect()}
+    assert counts == {"0_10": 10, "10_33": 10, "33_end": 10}
+    whole = summary.feeding_summary(labelled, SHARED, start=0, transform_licks=False)
+    want = whole.filter("chamber < 6").agg(F.sum("LicksA")).first()[0]
+    assert back.agg(F.sum(F.col("LicksA").cast("double"))).first()[0] == want
+
+
+def test_sweep_equals_single_runs(spark):
+    from boutspark.plans.experiment import parameter_sweep
+
+    seats = access.seats_from_params(spark, SHARED)
+    rows = access.seat_samples(to_frame(spark), seats)
+    design = rows.select(*REC, "chamber").distinct().withColumn("Treatment", F.lit("t"))
+    p = SHARED.with_updates(samples_per_second=1.0)
+    for field, values in (
+        ("baseline_window_minutes", [0.1, 0.4]),
+        ("feeding_threshold", [-0.5, 25.0]),
+        ("feeding_minevents", [1, 4]),
+    ):
+        got = parameter_sweep(rows, design, p, field, values).toPandas().set_index("sweep_value")
+        for v in values:
+            q = p.with_updates(**{field: v})
+            one = detect(subtract_baseline(rows, q), q)
+            s = summary.feeding_summary(one, q).toPandas()
+            assert got.mean_Licks[v] == pytest.approx((s.LicksA + s.LicksB).mean()), (field, v)
+            assert got.mean_Events[v] == pytest.approx((s.EventsA + s.EventsB).mean())
+            assert got.n_chambers[v] == 12
+    with pytest.raises(ValueError):
+        parameter_sweep(rows, design, p, "pi_direction", [1.0])
