@@ -50,18 +50,24 @@ def running_median(
     )
 
     def medians(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("well", "ascending"), ("pos", "ascending")])
         wells, pos = rows["well"].to_numpy(), rows["pos"].to_numpy()
-        signal = pd.Series(rows[column].to_numpy(zero_copy_only=False).astype(float))
+        order = np.lexsort((pos, wells))
+        wells = wells[order]
+        signal = pd.Series(rows[column].to_numpy(zero_copy_only=False).astype(float)[order])
         width = int(rows["_w"][0].as_py())
         edges = np.flatnonzero(np.r_[True, wells[1:] != wells[:-1], True])
-        found = [
-            signal[a:b].rolling(width, center=True, min_periods=1).median()
-            for a, b in zip(edges[:-1], edges[1:])
-        ]
-        values = pa.array(np.concatenate(found), type=pa.float64(), from_pandas=True)
+        found = np.empty(len(order))
+        found[order] = np.concatenate(
+            [
+                signal[a:b].rolling(width, center=True, min_periods=1).median()
+                for a, b in zip(edges[:-1], edges[1:])
+            ]
+        )
+        out_rows = rows.drop_columns(["_w", "_at"]).append_column(
+            out, pa.array(found, type=pa.float64(), from_pandas=True)
+        )
         own = pos // chunk_rows == rows["_at"].to_numpy()
-        return rows.drop_columns(["_w", "_at"]).append_column(out, values).filter(pa.array(own))
+        return out_rows if own.all() else out_rows.filter(pa.array(own))
 
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
     # bound by the processor, not by bytes: keep the configured number of tasks

@@ -37,84 +37,101 @@ def feeding_runs(
     return surviving_runs(runs, value(settings, "feeding_minevents"))
 
 
-def _marks(runs: DataFrame, keys: Sequence[str], kind: str, chunk_rows: int) -> DataFrame:
+def _span_marks(runs: DataFrame, keys: Sequence[str], kind: str, chunk_rows: int) -> DataFrame:
     """A marker row in every chunk that a run, or the sample after it, touches."""
     spread = spread_over_chunks(runs.select(*keys, "start", "end"), chunk_rows, beyond=1)
-    return spread.select(
-        *keys, "chunk", "pos", F.struct("start", "end").alias(kind), F.lit(0).alias("_row")
-    )
+    return spread.select(*keys, "chunk", "pos", F.struct("start", "end").alias(kind))
+
+
+def _with_marks(
+    samples: DataFrame, marks: dict[str, DataFrame], by: Sequence[str]
+) -> DataFrame:
+    """Samples with the latest marker of every kind at or before them.
+
+    Markers join the stream as rows and are carried forward inside chunks, so
+    no range join is needed and the work stays linear in the samples.
+    """
+    rows = samples.withColumn("_row", F.lit(1))
+    for mark in marks.values():
+        rows = rows.unionByName(mark.withColumn("_row", F.lit(0)), allowMissingColumns=True)
+    # one layout for the whole device, so wells of a chamber stay together
+    rows = rows.repartition(*by, "chunk")
+    here = Window.partitionBy(*by, "well", "chunk").orderBy("pos", "_row")
+    upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({k: F.last(k, ignorenulls=True).over(upto) for k in marks})
+    return rows.filter(F.col("_row") == 1).drop("_row")
 
 
 def label_contacts(
     samples: DataFrame,
+    runs: DataFrame,
     settings: Settings,
     by: Sequence[str] = REC,
-    level: str = "base",
     chunk_rows: int = CHUNK_ROWS,
-    linked: bool = True,
+    before: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """Label every sample with its lick and bout.
+    """Label every sample from the surviving runs.
 
     lick        in a surviving run (gaps between linked runs do not count)
     bout        position where its linked bout starts, null outside
     *_head      first sample of a lick run / rest / bout / gap between bouts
     taste       between the tasting levels and not a feeding lick
 
-    With `linked=False` only `lick` is found. Runs and bouts enter as marker
-    rows; the latest marker at or before a sample decides, so no range join is
-    needed and the work stays linear.
+    `before` holds markers of the detection before correction, see `detect`.
     """
     keys = [*by, "well"]
-    runs = feeding_runs(samples, settings, by, level, chunk_rows)
-    rows = samples.withColumn("_row", F.lit(1)).unionByName(
-        _marks(runs, keys, "_run", chunk_rows), allowMissingColumns=True
+    carry = carried(settings, "feeding_event_link_gap")
+    linked = link_runs(runs, [*keys, *carry], value(settings, "feeding_event_link_gap"))
+    marks = {
+        "_run": _span_marks(runs, keys, "_run", chunk_rows),
+        "_bout": _span_marks(linked, keys, "_bout", chunk_rows),
+        **(before or {}),
+    }
+    rows = _with_marks(samples, marks, by)
+    pos, run, bout, base = F.col("pos"), F.col("_run"), F.col("_bout"), F.col("base")
+    rows = rows.withColumns(
+        {
+            "lick": _holds(pos <= run["end"]),
+            "lick_head": _holds(pos == run["start"]),
+            "bout": F.when(pos <= bout["end"], bout["start"]),
+            "bout_head": _holds(pos == bout["start"]),
+        }
     )
-    if linked:
-        carry = carried(settings, "feeding_event_link_gap")
-        gap = value(settings, "feeding_event_link_gap")
-        rows = rows.unionByName(
-            _marks(link_runs(runs, [*keys, *carry], gap), keys, "_bout", chunk_rows),
-            allowMissingColumns=True,
-        )
-    # one layout for the whole device, so wells of a chamber stay together
-    rows = rows.repartition(*by, "chunk")
-    here = Window.partitionBy(*keys, "chunk").orderBy("pos", "_row")
-    upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kinds = ["_run", "_bout"] if linked else ["_run"]
-    rows = rows.withColumns({k: F.last(k, ignorenulls=True).over(upto) for k in kinds})
-    rows = rows.filter(F.col("_row") == 1)
-    pos, run, base = F.col("pos"), F.col("_run"), F.col("base")
-    out = rows.withColumn("lick", _holds(pos <= run["end"]))
-    if linked:
-        bout = F.col("_bout")
-        between = (base > F.col("tasting_min")) & (base < F.col("tasting_max"))
-        out = out.withColumns(
+    between = (base > F.col("tasting_min")) & (base < F.col("tasting_max"))
+    rows = rows.withColumns(
+        {
+            "rest_head": _holds(pos == run["end"] + 1) | ((pos == 0) & ~F.col("lick")),
+            "gap_head": _holds(pos == bout["end"] + 1) | ((pos == 0) & F.col("bout").isNull()),
+            "taste": _holds(between) & ~F.col("lick"),
+        }
+    )
+    if before:
+        rows = rows.withColumns(
             {
-                "lick_head": _holds(pos == run["start"]),
-                "rest_head": _holds(pos == run["end"] + 1) | ((pos == 0) & ~F.col("lick")),
-                "bout": F.when(pos <= bout["end"], bout["start"]),
-                "bout_head": _holds(pos == bout["start"]),
-                "taste": _holds(between) & ~F.col("lick"),
+                "lick_before": _holds(pos <= F.col("_first")["end"]),
+                "dual": _holds(pos == F.col("_dual")),
             }
-        ).withColumn(
-            "gap_head", _holds(pos == bout["end"] + 1) | ((pos == 0) & F.col("bout").isNull())
         )
-    return out.drop("_row", *kinds)
+    return rows.drop(*marks)
 
 
-def zero_weaker_contact(labelled: DataFrame, by: Sequence[str] = REC) -> DataFrame:
+def zero_weaker_contact(licked: DataFrame, by: Sequence[str] = REC) -> DataFrame:
     """Where both wells of a chamber are licked at once, the weaker reads 0.
 
     Adds `corrected` (the level to detect on again) and `dual` (both licked);
     equal signals are both set to 0. `base` itself stays as it is.
     """
     pair = Window.partitionBy(*by, "chunk", "chamber", "pos")
-    dual = F.sum(F.col("lick").cast("int")).over(pair) == 2
-    top, low = F.max("base").over(pair), F.min("base").over(pair)
+    contact = F.when(F.col("lick"), F.col("base"))
     return (
-        labelled.withColumn("dual", dual)
-        .withColumn("_top", top)
-        .withColumn("_low", low)
+        licked.withColumns(
+            {
+                "dual": F.count(contact).over(pair) == 2,
+                "_top": F.max(contact).over(pair),
+                "_low": F.min(contact).over(pair),
+            }
+        )
+        .withColumn("dual", F.col("dual") & F.col("lick"))
         .withColumn(
             "corrected",
             F.when(
@@ -136,8 +153,10 @@ def detect(
 ) -> DataFrame:
     """Baselined samples -> labelled samples, staged once for all consumers.
 
-    With dual-feeding correction the contacts are found twice; `lick_before`
-    and `dual` keep the first result.
+    With dual-feeding correction contacts are found twice. Correction can only
+    touch samples above the lower level, so the first detection and the pairing
+    of wells run on those alone; all samples are labelled once, at the end.
+    `lick_before` and `dual` keep the first result.
     """
     keep = stage if staged else (lambda df, _name: df)
     samples = samples.withColumn("chunk", chunk_of("pos", chunk_rows))
@@ -145,17 +164,32 @@ def detect(
     samples = with_thresholds(samples, settings, by)
     correct = corrects_dual_feeding(settings)
     if correct is False:
-        return keep(label_contacts(samples, settings, by, chunk_rows=chunk_rows), "labelled")
-    first = label_contacts(samples, settings, by, chunk_rows=chunk_rows, linked=False)
-    paired = zero_weaker_contact(first, by)
+        runs = feeding_runs(samples, settings, by, chunk_rows=chunk_rows)
+        return keep(label_contacts(samples, runs, settings, by, chunk_rows), "labelled")
+
+    keys = [*by, "well"]
+    needed = {*keys, "chamber", "chunk", "pos", "minutes", "base", "feeding_min", "feeding_max"}
+    hits = samples.filter(_holds(F.col("base") > F.col("feeding_min"))).select(
+        *[c for c in samples.columns if c in needed or c.startswith("p_")]
+    )
+    first = feeding_runs(hits, settings, by, chunk_rows=chunk_rows)
+    marked = _with_marks(hits, {"_first": _span_marks(first, keys, "_first", chunk_rows)}, by)
+    licked = marked.withColumn("lick", _holds(F.col("pos") <= F.col("_first")["end"])).drop("_first")
+    paired = zero_weaker_contact(licked, by)
     if correct is None:
         wanted = value(settings, "correct_for_dual_feeding") & (value(settings, "chamber_size") == 2)
         paired = paired.withColumn(
             "corrected", F.when(wanted, F.col("corrected")).otherwise(F.col("base"))
         )
-    paired = keep(paired.withColumnRenamed("lick", "lick_before"), "paired")
-    second = label_contacts(paired, settings, by, level="corrected", chunk_rows=chunk_rows)
-    return keep(second.drop("corrected"), "labelled")
+    paired = keep(paired, "paired")
+    again = feeding_runs(paired, settings, by, level="corrected", chunk_rows=chunk_rows)
+    # the licks found first, as spans once more
+    spans = flag_runs(paired, F.col("lick"), keys, chunk_rows=chunk_rows)
+    before = {
+        "_first": _span_marks(spans, keys, "_first", chunk_rows),
+        "_dual": paired.filter("dual").select(*keys, "chunk", "pos", F.col("pos").alias("_dual")),
+    }
+    return keep(label_contacts(samples, again, settings, by, chunk_rows, before), "labelled")
 
 
 def tasting_runs(
