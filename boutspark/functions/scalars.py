@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Raw signals above the limit carry the training mark.
 TRAINING_LIMIT = 40000
@@ -68,3 +69,17 @@ def standard_error(x: str | Column) -> Column:
 def minute_label(edge: Column) -> Column:
     """Whole minutes for labels; infinity reads `end`."""
     return F.when(edge == float("inf"), F.lit("end")).otherwise(edge.cast("bigint").cast("string"))
+
+
+def epoch_micros(df: DataFrame, column: str) -> Column:
+    """Microseconds since 1970, the same under every session time zone.
+
+    A clock without zone is taken apart into its fields: turning it into an
+    instant would shift or fold hours where the session zone changes its clock.
+    """
+    if not isinstance(df.schema[column].dataType, T.TimestampNTZType):
+        return F.unix_micros(column)
+    days = F.datediff(F.col(column).cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    minutes = F.hour(column) * 60 + F.minute(column)
+    micros = (F.extract(F.lit("SECOND"), F.col(column)) * 1_000_000).cast("bigint")
+    return (days * 1440 + minutes) * 60_000_000 + micros

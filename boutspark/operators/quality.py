@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boutspark.functions.scalars import ERROR_BITS, error_bit
+from boutspark.functions.scalars import ERROR_BITS, epoch_micros, error_bit
 from boutspark.operators.scan import ordered_scan
 from boutspark.params import REC, WELLS_PER_DEVICE
 
@@ -91,11 +91,8 @@ def integrity(
         )
     out = rows.groupBy(*keys).agg(*aggs)
     if clock:
-        out = out.withColumn(
-            "Elapsed",
-            (F.unix_micros(F.col("EndTime").cast("timestamp")) - F.unix_micros(F.col("StartTime").cast("timestamp")))
-            / 60e6,
-        )
+        span = epoch_micros(out, "EndTime") - epoch_micros(out, "StartTime")
+        out = out.withColumn("Elapsed", span / 60e6)
     return out
 
 

@@ -20,8 +20,8 @@ from boutspark.params import REC, WELLS_PER_DEVICE
 # File name patterns and clock formats.
 V3_NAME = r"DFM(\d+)_([^/]*)\.csv$"
 V2_NAME = r"DFM_(\d+)(?:_([^/]*))?\.csv$"
-CLOCK_12H = "M/d/yyyy h:mm:ss a"
-CLOCK_24H = "M/d/yyyy H:mm:ss"
+CLOCK_12H = "M/d/yyyy h:mm:ss a X"
+CLOCK_24H = "M/d/yyyy H:mm:ss X"
 
 WELL_COLUMNS = [f"W{w}" for w in range(1, WELLS_PER_DEVICE + 1)]
 
@@ -146,10 +146,12 @@ def _scan(spark: SparkSession, paths: Sequence[str], version: int) -> DataFrame:
         seconds = None
     else:
         raise ValueError("time columns are missing: Seconds, or Date, Time and MSec")
+    # clocks are read as UTC, whatever the zone of the session
+    written = F.concat_ws(" ", "Date", "Time", F.lit("Z"))
     clock = (
         F.coalesce(
-            F.try_to_timestamp(F.concat_ws(" ", "Date", "Time"), F.lit(CLOCK_12H)),
-            F.try_to_timestamp(F.concat_ws(" ", "Date", "Time"), F.lit(CLOCK_24H)),
+            F.try_to_timestamp(written, F.lit(CLOCK_12H)),
+            F.try_to_timestamp(written, F.lit(CLOCK_24H)),
         )
         if {"Date", "Time"} <= set(names)
         else F.lit(None).cast("timestamp")

@@ -6,11 +6,10 @@ user's events is the sample order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from boutspark.functions.scalars import well_is_lit
+from boutspark.functions.scalars import epoch_micros, well_is_lit
 from boutspark.operators.scan import chunk_of, ordered_scan
 from boutspark.params import Params
 
@@ -35,15 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def epoch_micros(df: DataFrame, column: str) -> Column:
-    """Microseconds since 1970, whether the column knows a time zone or not."""
-    if isinstance(df.schema[column].dataType, T.TimestampNTZType):
-        return F.expr(
-            f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{column}`)"
-        )
-    return F.unix_micros(column)
-
-
 def event_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per sample of every well, with chamber, side and light state."""
     raw = table(spark, sf_dir, "events")

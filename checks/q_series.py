@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boutspark.functions.scalars import ERROR_BITS
+from boutspark.functions.scalars import ERROR_BITS, epoch_micros
 from boutspark.operators import access, detect, light, quality, ratio
 from boutspark.operators.bouts import feeding_bouts
 from boutspark.params import REC
-from boutspark.sources.tables import EVENT_PARAMS, epoch_micros, event_design, event_recording
+from boutspark.sources.tables import EVENT_PARAMS, event_design, event_recording
 from checks.oracle import detection, oracle, part, r6
 from checks.q_detect import pair_sql
 from checks.queries import query

@@ -1,10 +1,12 @@
 """Device files, exclusions and sinks, written to a temporary folder and read back."""
 
 import csv
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from boutspark.functions.scalars import epoch_micros
 from boutspark.operators.ratio import training_end
 from boutspark.params import REC
 from boutspark.sources import sinks
@@ -107,7 +109,10 @@ def test_load_window_is_open(spark, projects):
 
 
 def test_clock_columns(spark, projects):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     rows = read_ticks(spark, str(projects / "beta")).orderBy("pos").collect()
+    spark.conf.set("spark.sql.session.timeZone", zone)
     # the milliseconds of the first row stay in
     assert [r["seconds"] for r in rows] == pytest.approx([0.25, 1.5, 3.0, 3602.75])
 
@@ -156,3 +161,17 @@ def test_table_sinks(spark, tmp_path):
     sinks.write_included(df, gone, str(tmp_path / "kept"))
     assert spark.read.option("header", "true").csv(str(tmp_path / "kept")).count() == 1
     assert REC == ("project", "dfm")
+
+
+def test_clock_without_zone_ignores_the_session_zone(spark):
+    """Hours that New York skips or repeats keep their order."""
+    clocks = ["2024-03-10 01:59:00", "2024-03-10 02:30:00.25", "2024-03-10 03:10:00", "2024-11-03 01:30:00"]
+    df = spark.sql(
+        "select cast(c as timestamp_ntz) as ts from values " + ", ".join(f"('{c}')" for c in clocks) + " as t(c)"
+    )
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    got = sorted(r[0] for r in df.select(epoch_micros(df, "ts")).collect())
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    want = [int(datetime.fromisoformat(c + "+00:00").timestamp() * 1e6) for c in clocks]
+    assert got == want
