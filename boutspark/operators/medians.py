@@ -9,13 +9,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def group_median(
-    df: DataFrame, keys: Sequence[str], column: str, out: str, step: float = 1.0
-) -> DataFrame:
+# Steps of the value axis per doubling: fine near zero, and at most about a
+# million steps for all finite numbers, so step totals of a group stay small.
+STEPS_PER_DOUBLING = 512
+
+
+def _step(v: Column) -> Column:
+    """A step number that never falls as v rises."""
+    size = F.floor(F.log2(F.abs(v) + 1.0) * STEPS_PER_DOUBLING)
+    return F.when(v < 0, -size).otherwise(size)
+
+
+def group_median(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
     """Exact median of `column` per group; keys, `out`.
 
     Values are counted, then counted again by steps of the value axis. Step
@@ -25,9 +34,11 @@ def group_median(
     v = F.col(column)
     counted = (
         df.filter(v.isNotNull() & ~F.isnan(v))
-        .groupBy(*keys, F.floor(v / step).alias("_step"), v.alias("_v"))
+        .groupBy(*keys, _step(v).alias("_step"), v.alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    # what the join below implies anyway; said here, both uses share one shuffle
+    counted = counted.filter(" and ".join(f"`{k}` is not null" for k in (*keys, "_step")))
     steps = counted.groupBy(*keys, "_step").agg(F.sum("_n").alias("_n"))
     along = Window.partitionBy(*keys).orderBy("_step")
     upto = F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, 0))

@@ -15,7 +15,7 @@ from checks.q_summary import shown_two
 from checks.queries import query
 from checks.workspace import _once, shown
 
-# At the default rate of 5 Hz; window of three minutes.
+# One sample a second; the window of three minutes is 181 samples.
 PRICE_PARAMS = Params(
     feeding_threshold=25.0,
     feeding_minimum=10.0,

@@ -37,6 +37,8 @@ def test_exact_medians(spark):
     rng = np.random.default_rng(4)
     pdf = pd.DataFrame({"k": rng.integers(0, 9, 900), "v": np.round(rng.normal(0, 40, 900), 1)})
     pdf.loc[pdf.k == 3, "v"] = 7.25
+    pdf.loc[pdf.k == 4, "v"] *= 1e9
+    pdf.loc[pdf.k == 5, "v"] /= 1e6
     got = group_median(spark.createDataFrame(pdf), ["k"], "v", "m").toPandas()
     want = pdf.groupby("k").v.median()
     assert dict(zip(got.k, got.m)) == pytest.approx(want.to_dict())
