@@ -103,14 +103,16 @@ oracle(
     "anova_two_way",
     f"""select unnest(['Treatment', 'Sex', 'Treatment:Sex', 'Residual']) as term,
        unnest([{r6('a')}, {r6('b')}, {r6('ab')}, {r6('rest')}]) as sum_sq,
-       unnest([1.0::double, 1.0::double, 1.0::double, n - 4.0::double]) as df,
-       unnest([{r6('a / (rest / (n - 4))')}, {r6('b / (rest / (n - 4))')}, {r6('ab / (rest / (n - 4))')}, null]) as F
+       unnest([1.0::double, 1.0::double, k - 3.0::double, n - k]) as df,
+       unnest([{r6('a / (rest / (n - k))')}, {r6('b / (rest / (n - k))')},
+              case when k > 3 then {r6('ab / (k - 3) / (rest / (n - k))')} end, null]) as F
 from (select *, within_b - a - rest as ab
       from (select {given('total', 'Treatment', 'Sex', 'grouped')} as a,
                    {given('total', 'Sex', 'Treatment', 'grouped')} as b,
                    {left_after('total', 'Treatment, Sex', 'grouped')} as rest,
                    {left_after('total', 'Sex', 'grouped')} as within_b,
-                   (select count(*)::double from grouped) as n))""",
+                   (select count(*)::double from grouped) as n,
+                   (select count(distinct Treatment || Sex)::double from grouped) as k))""",
     "grouped",
 )
 
@@ -176,14 +178,16 @@ oracle(
     "anova_weighted",
     f"""select unnest(['Sex', 'Treatment', 'Sex:Treatment', 'Residual']) as term,
        unnest([{r6('a')}, {r6('b')}, {r6('ab')}, {r6('rest')}]) as sum_sq,
-       unnest([1.0::double, 1.0::double, 1.0::double, n - 4.0::double]) as df,
-       unnest([{r6('a / (rest / (n - 4))')}, {r6('b / (rest / (n - 4))')}, {r6('ab / (rest / (n - 4))')}, null]) as F
+       unnest([1.0::double, 1.0::double, k - 3.0::double, n - k]) as df,
+       unnest([{r6('a / (rest / (n - k))')}, {r6('b / (rest / (n - k))')},
+              case when k > 3 then {r6('ab / (k - 3) / (rest / (n - k))')} end, null]) as F
 from (select *, whole - within_sex as a, within_sex - b - rest as ab
       from (select {left_after(Y, '1', 'weighed', W)} as whole,
                    {left_after(Y, 'Sex', 'weighed', W)} as within_sex,
                    {given(Y, 'Treatment', 'Sex', 'weighed', W)} as b,
                    {left_after(Y, 'Treatment, Sex', 'weighed', W)} as rest,
-                   (select count(*)::double from weighed) as n))""",
+                   (select count(*)::double from weighed) as n,
+                   (select count(distinct Treatment || Sex)::double from weighed) as k))""",
     "weighed",
 )
 
