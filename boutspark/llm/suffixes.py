@@ -321,7 +321,9 @@ def repeated_spans(
     found = stage(
         texts.mapInArrow(_all_runs(length, gram), "row bigint, anchor bigint, pos bigint, full bigint"), "runs"
     )
+    # counts are written before they are joined: a join right above an aggregation cannot split a hot anchor
     again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    again = stage(again, "again")
     live = stage(found.join(again, "anchor", "left_semi"), "live")
     kinds = stage(
         live.groupBy("anchor", "full").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("one")),
@@ -332,7 +334,7 @@ def repeated_spans(
         .select("row", F.col("pos"))
         .select("row", F.expr(f"pos div {wide * wide}").alias("first"), (F.col("pos") % wide).alias("more"))
     )
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    several = stage(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
     chosen = kinds.join(several, "anchor").select("one.row", "one.pos", "anchor", "kinds")
     by_row = stage(
         chosen.groupBy("row").agg(F.collect_list(F.struct("anchor", "kinds", "pos")).alias("chosen")), "chosen"
@@ -358,6 +360,7 @@ def repeated_spans(
         "singles",
     )
     equal = single.groupBy("anchor", "value").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "value")
+    equal = stage(equal, "equal")
     large = single.join(equal, ["anchor", "value"], "left_semi").select(
         "row", "first", F.lit(0).cast("bigint").alias("more")
     )
