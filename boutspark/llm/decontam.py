@@ -20,11 +20,12 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boutspark.llm.sides import few
+from boutspark.staging import stage
+
 #: Kept positions of the masks, each of weight 8 over 12 or 11 tokens.
 MASKS = (
     (0, 1, 2, 4, 7, 8, 10, 11),
@@ -84,24 +85,16 @@ def find_overlaps(
     )
     marks = _seeds(test, "item", masks).select("item", F.col("at").alias("place"), F.explode("seeds").alias("seed"))
     marks = marks.where(F.col("seed").isNotNull())
-    small = marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = F.broadcast(marks) if small else marks
+    side = few(marks, BROADCAST_ROWS)
     read = train.select("id", tokens(F.col("text")).alias("words"))
     seeds = _seeds(read, "id", masks)
-    hits = reduce(
-        DataFrame.unionAll,
-        [
-            seeds.select("id", "at", F.col("seeds")[k].alias("seed")).join(side, "seed")
-            for k in range(len(masks))
-        ],
-    ) if not small else (
-        seeds.select("id", "at", F.explode("seeds").alias("seed")).join(side, "seed")
-    )
+    hits = seeds.select("id", "at", F.explode("seeds").alias("seed")).join(side, "seed")
     lanes = hits.groupBy("id", "item", (F.col("at") - F.col("place")).alias("shift")).agg(
         F.min("place").alias("lo"), F.max("place").alias("hi")
     )
+    lanes = stage(lanes, "lanes")
     # read again only what has a hit; tokens are made after the join
-    texts = train.join(lanes.select("id").distinct(), "id", "left_semi").select(
+    texts = train.join(few(lanes.select("id").distinct()), "id", "left_semi").select(
         "id", tokens(F.col("text")).alias("words")
     )
     both = lanes.join(texts, "id").join(test.select("item", F.col("words").alias("wanted")), "item")
@@ -164,5 +157,5 @@ def find_overlaps(
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
     """The documents without a verified overlap; rows without an id stay."""
-    found = find_overlaps(docs, items, id_col=id_col, **how).select(id_col).distinct()
-    return docs.join(found, id_col, "left_anti").select(*docs.columns)
+    found = stage(find_overlaps(docs, items, id_col=id_col, **how).select(id_col).distinct(), "contaminated")
+    return docs.join(few(found), id_col, "left_anti").select(*docs.columns)

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boutspark.llm.sides import few
+
 #: Known texts up to this number are joined by broadcast (their digests take some 100 bytes each).
 BROADCAST_ROWS = 20_000
 
@@ -124,9 +126,7 @@ def scan(
         .groupBy("digest")
         .agg(F.min("license").alias("license"))
     )
-    # a checked bound: beyond it the same join shuffles
-    small = digests.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = F.broadcast(digests) if small else digests
+    side = few(digests, BROADCAST_ROWS)
     base = docs.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("lines"))
     # whole texts and their lines are looked up alike; a line stands for itself only
     units = base.select(

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from boutspark.llm.components import components
 from boutspark.llm.groups import sorted_groups
+from boutspark.llm.sides import few
 from boutspark.shipping import ship
 from boutspark.staging import stage
 
@@ -44,8 +45,6 @@ ROWS = 5
 BANDS = BINS // ROWS
 #: Rows of one bucket that meet in one block of the last step.
 BLOCK = 1500
-#: Numbers of ids up to which they are sent to all tasks (8 bytes each).
-BROADCAST_IDS = 1_000_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ODD = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -154,8 +153,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of class representatives whose full sets are similar enough."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+    texts = docs.join(few(ids), "id", "left_semi")
     # an id may stand on several rows; its class is the one that it represents
     sets = stage(
         texts.mapInArrow(_full_sets, "id bigint, values array<bigint>"),
@@ -295,11 +293,13 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Rows without an id stay; of several rows of one kept id one with the least text stays.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent)
-    gone = found.where("not kept").select(id_col).distinct()
-    left = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = stage(found.where("not kept").select(id_col).distinct(), "gone")
+    left = docs.join(few(gone), id_col, "left_anti").select(*docs.columns)
     named, bare = left.where(F.col(id_col).isNotNull()), left.where(F.col(id_col).isNull())
-    repeated = named.groupBy(id_col).count().where("count > 1").select(id_col)
-    # usually empty; only such rows are compared by text
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    if repeated.isEmpty():
+        return left
+    # only rows that share an id are compared by text
     once = named.join(repeated, id_col, "left_anti").select(*docs.columns)
     again = named.join(repeated, id_col, "left_semi").select(*docs.columns)
     first = again.groupBy(id_col).agg(F.min(F.struct(text_col, *[c for c in docs.columns if c not in (id_col, text_col)])).alias("row"))

@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boutspark.llm.sides import few
 from boutspark.shipping import ship
 from boutspark.staging import stage
 
@@ -45,8 +46,6 @@ LENGTH = 200
 GRAM = 56
 #: Kinds of runs of one anchor up to which one task orders them (some 300 bytes each).
 TOGETHER = 2_000
-#: Numbers of rows up to which their names are sent to all tasks (8 bytes each).
-BROADCAST_ROWS = 1_000_000
 #: Bytes hashed at a time.
 PIECE = 1 << 19
 
@@ -304,11 +303,6 @@ def _deal_singly(length: int):
     return run
 
 
-def _few(names: DataFrame) -> DataFrame:
-    """Names to be sent to all tasks if they are counted to be few, else joined by shuffle."""
-    return F.broadcast(names) if names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else names
-
-
 def repeated_spans(
     texts: DataFrame, *, length: int = LENGTH, gram: int | None = None, together: int = TOGETHER
 ) -> DataFrame:
@@ -339,7 +333,7 @@ def repeated_spans(
     by_row = stage(
         chosen.groupBy("row").agg(F.collect_list(F.struct("anchor", "kinds", "pos")).alias("chosen")), "chosen"
     )
-    near = texts.join(_few(by_row.select("row")), "row", "left_semi")
+    near = texts.join(few(by_row.select("row")), "row", "left_semi")
     cut = stage(
         near.join(by_row, "row")
         .select("row", "text", "chosen")
@@ -431,7 +425,7 @@ def repeats(
             ("kept_sha256", pa.string()),
         ]
     )
-    touched = _few(spans.select("row"))
+    touched = few(spans.select("row"))
     cut = (
         texts.join(touched, "row", "left_semi")
         .join(spans, "row")
@@ -472,7 +466,7 @@ def remove_repeats(
     plain = docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).isEmpty()
     row = F.col(id_col).cast("bigint") if plain else F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col))
     named = docs.withColumn("__row", row.cast(unique))
-    touched = _few(spans.select(F.col("row").alias("__row")))
+    touched = few(spans.select(F.col("row").alias("__row")))
     mine = named.join(touched, "__row", "left_semi").join(spans.withColumnRenamed("row", "__row"), "__row")
 
     @F.pandas_udf("string")
