@@ -11,8 +11,8 @@
    most one comparison per row of a bucket. Links are joined to components.
 4. Pairs of a bucket that are still in different components, and whose sketches do not
    rule a link out (by six standard deviations), are compared on full sets too, block by
-   block, so no task holds a whole large bucket.
-   Pairs inside one component cannot change the result.
+   block, so no task holds a whole large bucket; a block gives only the links that join
+   something. Pairs inside one component cannot change the result.
 
 Copies need no comparison, and a bucket of near copies usually becomes one component in
 step 3, whatever its size.
@@ -43,8 +43,10 @@ PERCENT = 85
 BINS = 128
 ROWS = 5
 BANDS = BINS // ROWS
-#: Rows of one bucket that meet in one block of the last step.
-BLOCK = 1500
+#: Rows of a piece of a bucket; two pieces meet in one block of the last step.
+BLOCK = 500
+#: Elements of the block's sets that are counted at a time.
+COLUMNS = 4096
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ODD = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -150,17 +152,17 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, values) of the documents named."""
+    texts = docs.join(few(ids), "id", "left_semi")
+    return stage(texts.mapInArrow(_full_sets, "id bigint, values array<bigint>"), "sets")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of class representatives whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.join(few(ids), "id", "left_semi")
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     # an id may stand on several rows; its class is the one that it represents
-    sets = stage(
-        texts.mapInArrow(_full_sets, "id bigint, values array<bigint>"),
-        "sets",
-    )
-    if known is not None:
-        sets = sets.join(known, (sets.id == known.rep) & (F.size("values") == known.n), "left_semi")
+    sets = sets.join(known, (sets.id == known.rep) & (F.size("values") == known.n), "left_semi")
     left = sets.select(F.col("id").alias("a"), F.col("values").alias("va"))
     right = sets.select(F.col("id").alias("b"), F.col("values").alias("vb"))
     small, large = F.least(F.size("va"), F.size("vb")), F.greatest(F.size("va"), F.size("vb"))
@@ -173,31 +175,81 @@ def _verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, percent: int)
     return both.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b").distinct()
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block in different components whose sketches and sizes allow a link."""
+def _open_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each block that have a partner in another component which sketches and sizes do not rule out."""
     share = percent / 100
     least = int(BINS * share - 6 * np.sqrt(BINS * share * (1 - share)))
-    for _, cols in sorted_groups(batches, 3):
-        one, two = cols["one"][0].as_py(), cols["two"][0].as_py()
-        rep, comp = cols["rep"].to_numpy(), cols["comp"].to_numpy()
-        n, chunk = cols["n"].to_numpy(), cols["chunk"].to_numpy()
+    for (key, one, two), cols in sorted_groups(batches, 3):
+        rep, comp, n, chunk = (cols[c].to_numpy() for c in ("rep", "comp", "n", "chunk"))
         low = np.frombuffer(b"".join(cols["low"].to_pylist()), np.uint8).reshape(len(rep), BINS)
-        first = np.flatnonzero(chunk == one)
         second = np.flatnonzero(chunk == two)
-        found = []
-        for i in first:
-            other = second[rep[second] > rep[i]] if one == two else second
-            other = other[comp[other] != comp[i]]
-            ok = 100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])
-            other = other[ok]
+        open_ = np.zeros(len(rep), bool)
+        for i in np.flatnonzero(chunk == one):
+            other = second[comp[second] != comp[i]]
+            fits = 100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])
+            other = other[fits]
             if len(other):
-                same = np.count_nonzero(low[other] == low[i], axis=1)
-                other = other[same >= least]
+                other = other[np.count_nonzero(low[other] == low[i], axis=1) >= least]
                 if len(other):
-                    a = np.minimum(rep[i], rep[other])
-                    found.append(np.stack([a, rep[i] + rep[other] - a], axis=1))
+                    open_[other] = open_[i] = True
+        if open_.any():
+            m = int(open_.sum())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(m, key, np.int64)),
+                    pa.array(np.full(m, one, np.int32)),
+                    pa.array(np.full(m, two, np.int32)),
+                    pa.array(rep[open_]),
+                    pa.array(comp[open_]),
+                    pa.array(chunk[open_].astype(np.int32)),
+                    pa.array(n[open_]),
+                ],
+                ["key", "one", "two", "rep", "comp", "chunk", "n"],
+            )
+
+
+def common_sizes(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sizes of all intersections of some sets, given one after the other."""
+    m = len(sizes)
+    row = np.repeat(np.arange(m), sizes)
+    kinds, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    # elements of one set only are in no intersection
+    shared = count[code] > 1
+    row, code = row[shared], (np.cumsum(count > 1) - 1)[code[shared]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    total = np.zeros((m, m), np.float32)
+    for start in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        s, e = np.searchsorted(code, [start, start + COLUMNS])
+        part = np.zeros((m, COLUMNS), np.float32)
+        part[row[s:e], code[s:e] - start] = 1
+        total += part @ part.T
+    return total.astype(np.int64)
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of each block on full sets, as many as join what is linked."""
+    for (_, one, two), cols in sorted_groups(batches, 3):
+        rep, comp, chunk = (cols[c].to_numpy() for c in ("rep", "comp", "chunk"))
+        sizes = np.diff(cols["values"].offsets.to_numpy())
+        both = common_sizes(cols["values"].flatten().to_numpy(), sizes)
+        linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+        linked &= comp[:, None] != comp[None, :]
+        first, second = chunk == one, chunk == two
+        linked &= (first[:, None] & second[None, :]) | (second[:, None] & first[None, :])
+        new = linked.any(axis=1)
+        found = []
+        while new.any():
+            ahead = [int(np.flatnonzero(new)[0])]
+            new[ahead[0]] = False
+            while ahead:
+                i = ahead.pop()
+                more = np.flatnonzero(linked[i] & new)
+                new[more] = False
+                ahead += more.tolist()
+                found += [(rep[i], rep[j]) for j in more]
         if found:
-            out = np.concatenate(found)
+            out = np.array(found, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
 
@@ -264,15 +316,27 @@ def near_duplicates(
             "low",
         )
     )
-    pairs = (
+    left = (
         rows.repartition("key", "one", "two")
         .sortWithinPartitions("key", "one", "two")
-        .mapInArrow(lambda batches: _block_pairs(batches, percent), "a bigint, b bigint")
-        .distinct()
+        .mapInArrow(
+            lambda batches: _open_rows(batches, percent),
+            "key bigint, one int, two int, rep bigint, comp bigint, chunk int, n bigint",
+        )
     )
-    pairs = stage(pairs, "pairs")
-    if not pairs.isEmpty():
-        more = stage(_verified(docs, pairs, known, percent), "links")
+    left = stage(left, "left")
+    if not left.isEmpty():
+        ids = stage(left.select(F.col("rep").alias("id")).distinct(), "ids")
+        sets = _sets(docs, ids).select(F.col("id").alias("rep"), "values").dropDuplicates(["rep", "values"])
+        more = (
+            left.join(sets, "rep")
+            .where(F.size("values") == F.col("n"))
+            .select("key", "one", "two", "rep", "comp", "chunk", "values")
+            .repartition("key", "one", "two")
+            .sortWithinPartitions("key", "one", "two")
+            .mapInArrow(lambda batches: _block_links(batches, percent), "a bigint, b bigint")
+        )
+        more = stage(more, "links")
         if not more.isEmpty():
             labels = components(links.unionAll(more))
     of_rep = labels.select(F.col("node").alias("rep"), "comp")
