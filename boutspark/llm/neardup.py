@@ -53,6 +53,10 @@ _ODD = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) | np.ui
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _times_gold(i: int) -> np.uint64:
+    return np.uint64(i * int(_GOLD) & (1 << 64) - 1)
+
+
 def mix(v: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     v = v ^ (v >> np.uint64(33))
@@ -72,7 +76,7 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, n)
     k = min(n, size)
-    total = np.full(n - k + 1, np.uint64(k) * _GOLD)
+    total = np.full(n - k + 1, _times_gold(k))
     for i in range(k):
         total += h[i : n - k + 1 + i] * _ODD[i]
     return np.unique(mix(total))
@@ -84,7 +88,7 @@ def sketch(values: np.ndarray, bins: int = BINS) -> np.ndarray:
     out = np.zeros(bins, np.uint64)
     empty = np.ones(bins, bool)
     for i in range(2 * bins):
-        v = values if i == 0 else mix(values + _GOLD * np.uint64(i))
+        v = values if i == 0 else mix(values + _times_gold(i))
         if i < bins:
             where = (v >> shift).astype(np.int64)
             if i:

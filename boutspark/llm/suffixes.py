@@ -467,7 +467,7 @@ def remove_repeats(
     row = F.col(id_col).cast("bigint") if plain else F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col))
     named = docs.withColumn("__row", row.cast(unique))
     touched = few(spans.select(F.col("row").alias("__row")))
-    mine = named.join(touched, "__row", "left_semi").join(spans.withColumnRenamed("row", "__row"), "__row")
+    mine = named.join(touched, "__row", "left_semi").join(spans.select(F.col("row").alias("__row"), F.col("spans").alias("__spans")), "__row")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, packed: pd.Series) -> pd.Series:
@@ -475,6 +475,6 @@ def remove_repeats(
             [cut_text(t or "", removed_ranges(list(p), length)) for t, p in zip(text, packed, strict=True)], dtype=object
         )
 
-    new = mine.withColumn(text_col, cut(text_col, "spans")).select(*docs.columns)
+    new = mine.withColumn(text_col, cut(text_col, "__spans")).select(*docs.columns)
     rest = named.join(touched, "__row", "left_anti").select(*docs.columns)
     return new.unionAll(rest)
