@@ -7,8 +7,8 @@ next merge; a merge changes the pairs of the merged token and of its left neighb
 and drops one leaf: three point updates of logarithmic cost.
 
 Short matches are encoded together, one tree per row of a matrix; longer ones alone.
-A Python worker keeps the codes of what it met last (two lots of about `CACHE`, only
-to save time) and reads the tables once; documents need no shuffle.
+A task keeps the codes of what it met last (two lots of about `CACHE`, only to save
+time), a Python worker reads the tables once; documents need no shuffle.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to
 no bytes; row order, repeated rows and ids are kept as they are; an empty table gives
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boutspark.llm.lean import lean
 from boutspark.shipping import ship
 
 CACHE = 300_000
@@ -303,14 +304,19 @@ class Encoder:
         return [[here[c] for c in p] for p in parts]
 
 
-_KEPT: dict[tuple[str, str], Encoder] = {}
+_KEPT: dict[str, Vocabulary] = {}
+
+
+def vocabulary(path: str) -> Vocabulary:
+    """The tables of this Python worker."""
+    if path not in _KEPT:
+        _KEPT[path] = Vocabulary(path)
+    return _KEPT[path]
 
 
 def encoder(path: str, pattern: str) -> Encoder:
-    """The encoder of this Python worker."""
-    if (path, pattern) not in _KEPT:
-        _KEPT[path, pattern] = Encoder(Vocabulary(path), pattern)
-    return _KEPT[path, pattern]
+    """An encoder for one task; what it has met goes with it."""
+    return Encoder(vocabulary(path), pattern)
 
 
 def _by_chars(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
@@ -330,6 +336,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col="doc_id", text_c
 
     ship(docs.sparkSession)
 
+    @lean
     def run(batches):
         enc = encoder(ranks, pattern)
         for batch in batches:
@@ -354,8 +361,9 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, *, id_col="doc_id") ->
 
     ship(encoded.sparkSession)
 
+    @lean
     def run(batches):
-        vocab = encoder(ranks, pattern).vocab
+        vocab = vocabulary(ranks)
         for batch in batches:
             data = [decode_bytes(x or [], vocab) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], [id_col, "data"])
@@ -369,6 +377,7 @@ def encode_digests(docs: DataFrame, ranks: str, pattern: str, *, id_col="doc_id"
 
     ship(docs.sparkSession)
 
+    @lean
     def run(batches):
         enc = encoder(ranks, pattern)
         bytes_of = enc.vocab.bytes_of

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boutspark.llm.lean import lean
 from boutspark.shipping import ship
 
 # Element names of HTML by their role here.
@@ -314,6 +315,7 @@ def extract(
     """(id, url, text, n_chars) of every page."""
     ship(pages.sparkSession)
 
+    @lean
     def run(batches):
         for batch in batches:
             texts = [main_text(x) for x in batch.column(2).to_pylist()]

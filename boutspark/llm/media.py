@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from boutspark.llm.lean import lean
 from boutspark.shipping import ship
 from boutspark.staging import stage, staging_root
 
@@ -76,6 +77,7 @@ def _filesystem(path: str):
 def write_archives(docs: DataFrame, folder: str, *, id_col="doc_id", text_col="text") -> DataFrame:
     """Write every text as a member; returns the written (archive, members, bytes) table."""
 
+    @lean
     def run(batches):
         from pyspark import TaskContext
 
@@ -235,6 +237,7 @@ def describe(payload: bytes) -> str:
 def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Digests and features of the members' payloads as read back; unreadable ones keep nulls."""
 
+    @lean
     def run(batches):
         for batch in batches:
             out = []

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from boutspark.llm.components import components
 from boutspark.llm.groups import sorted_groups
+from boutspark.llm.lean import lean
 from boutspark.llm.sides import few
 from boutspark.shipping import ship
 from boutspark.staging import stage
@@ -159,7 +160,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, values) of the documents named."""
     texts = docs.join(few(ids), "id", "left_semi")
-    return stage(texts.mapInArrow(_full_sets, "id bigint, values array<bigint>"), "sets")
+    return stage(texts.mapInArrow(lean(_full_sets), "id bigint, values array<bigint>"), "sets")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -265,7 +266,7 @@ def near_duplicates(
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     signed = stage(
         docs.mapInArrow(
-            _signatures, "id bigint, n bigint, digest binary, bands array<bigint>, low binary"
+            lean(_signatures), "id bigint, n bigint, digest binary, bands array<bigint>, low binary"
         ),
         "signatures",
     )
@@ -324,7 +325,7 @@ def near_duplicates(
         rows.repartition("key", "one", "two")
         .sortWithinPartitions("key", "one", "two")
         .mapInArrow(
-            lambda batches: _open_rows(batches, percent),
+            lean(lambda batches: _open_rows(batches, percent)),
             "key bigint, one int, two int, rep bigint, comp bigint, chunk int, n bigint",
         )
     )
@@ -338,7 +339,7 @@ def near_duplicates(
             .select("key", "one", "two", "rep", "comp", "chunk", "values")
             .repartition("key", "one", "two")
             .sortWithinPartitions("key", "one", "two")
-            .mapInArrow(lambda batches: _block_links(batches, percent), "a bigint, b bigint")
+            .mapInArrow(lean(lambda batches: _block_links(batches, percent)), "a bigint, b bigint")
         )
         more = stage(more, "links")
         if not more.isEmpty():

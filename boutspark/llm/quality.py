@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boutspark.llm.lean import lean
 from boutspark.shipping import ship
 
 MAX_POSITIVE = 6_000
@@ -141,6 +142,7 @@ def held_out(id_col: str | Column) -> Column:
 def _sample_features(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Group and features of the chosen documents; their number is bounded by the parameters."""
 
+    @lean
     def run(batches):
         for batch in batches:
             x = features(batch.column(1).to_pylist())
@@ -203,6 +205,7 @@ def score(docs: DataFrame, model: Model | None, *, id_col="doc_id", text_col="te
     """(id, held_out, score, predicted) of every row."""
     ship(docs.sparkSession)
 
+    @lean
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()

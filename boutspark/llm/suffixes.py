@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boutspark.llm.lean import lean
 from boutspark.llm.sides import few
 from boutspark.shipping import ship
 from boutspark.staging import stage
@@ -47,7 +48,7 @@ GRAM = 56
 #: Kinds of runs of one anchor up to which one task orders them (some 300 bytes each).
 TOGETHER = 2_000
 #: Bytes hashed at a time.
-PIECE = 1 << 19
+PIECE = 1 << 18
 
 _RANDOM = np.random.default_rng(77)
 _BYTE_A = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -70,7 +71,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Rolling:
     """Hashes of the strings data[s:e], from sums of powers modulo 2**64."""
 
-    def __init__(self, data: np.ndarray, table: np.ndarray, base: int, powers: np.ndarray, inverse: np.ndarray):
+    def __init__(self, data: np.ndarray, table: np.ndarray, powers: np.ndarray, inverse: np.ndarray):
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(table[data] * powers[:n], out=self.sums[1:])
@@ -81,25 +82,23 @@ class Rolling:
 
 
 class Hashers:
-    """Power tables, grown as needed."""
+    """Power tables by base, grown as needed."""
 
     def __init__(self):
-        self.n = 0
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def grow(self, n: int) -> None:
-        if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 16)
-            self.pa, self.pb = _powers(_MULT_A, self.n), _powers(_MULT_B, self.n)
-            self.ia = _powers(pow(_MULT_A, -1, 1 << 64), self.n)
-            self.ib = _powers(pow(_MULT_B, -1, 1 << 64), self.n)
+    def _over(self, data: np.ndarray, table: np.ndarray, base: int) -> Rolling:
+        n = len(data) + 1
+        if base not in self.tables or len(self.tables[base][0]) < n:
+            n = -(-n >> 16) << 16
+            self.tables[base] = _powers(base, n), _powers(pow(base, -1, 1 << 64), n)
+        return Rolling(data, table, *self.tables[base])
 
     def anchor(self, data: np.ndarray) -> Rolling:
-        self.grow(len(data) + 1)
-        return Rolling(data, _BYTE_A, _MULT_A, self.pa, self.ia)
+        return self._over(data, _BYTE_A, _MULT_A)
 
     def string(self, data: np.ndarray) -> Rolling:
-        self.grow(len(data) + 1)
-        return Rolling(data, _BYTE_B, _MULT_B, self.pb, self.ib)
+        return self._over(data, _BYTE_B, _MULT_B)
 
 
 def _least_places(values: np.ndarray, width: int) -> np.ndarray:
@@ -268,10 +267,10 @@ def _order_together(length: int):
         held: list[pa.RecordBatch] = []
         rows = 0
         for batch in batches:
-            for s in range(0, batch.num_rows, 4000):
-                held.append(batch.slice(s, 4000))
+            for s in range(0, batch.num_rows, 2000):
+                held.append(batch.slice(s, 2000))
                 rows += held[-1].num_rows
-                if rows < 12_000:
+                if rows < 5_000:
                     continue
                 table = pa.Table.from_batches(held)
                 anchor = table.column("anchor").to_numpy()
@@ -313,7 +312,7 @@ def repeated_spans(
     gram = gram or min(GRAM, max(1, length // 3))
     wide = length - gram + 1
     found = stage(
-        texts.mapInArrow(_all_runs(length, gram), "row bigint, anchor bigint, pos bigint, full bigint"), "runs"
+        texts.mapInArrow(lean(_all_runs(length, gram)), "row bigint, anchor bigint, pos bigint, full bigint"), "runs"
     )
     # counts are written before they are joined: a join right above an aggregation cannot split a hot anchor
     again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
@@ -337,7 +336,7 @@ def repeated_spans(
     cut = stage(
         near.join(by_row, "row")
         .select("row", "text", "chosen")
-        .mapInArrow(_cut_runs(length, wide), "row bigint, anchor bigint, kinds bigint, first bigint, data binary"),
+        .mapInArrow(lean(_cut_runs(length, wide)), "row bigint, anchor bigint, kinds bigint, first bigint, data binary"),
         "cut",
     )
     rows = "row bigint, first bigint, more bigint"
@@ -345,11 +344,11 @@ def repeated_spans(
         cut.where(F.col("kinds") <= together)
         .repartition("anchor")
         .sortWithinPartitions("anchor")
-        .mapInArrow(_order_together(length), rows)
+        .mapInArrow(lean(_order_together(length)), rows)
     )
     single = stage(
         cut.where(F.col("kinds") > together).mapInArrow(
-            _deal_singly(length), "row bigint, anchor bigint, first bigint, value bigint"
+            lean(_deal_singly(length)), "row bigint, anchor bigint, first bigint, value bigint"
         ),
         "singles",
     )
@@ -404,6 +403,7 @@ def repeats(
     texts = _named(docs, id_col, text_col)
     spans = _spans_by_row(texts, length, how)
 
+    @lean
     def run(batches):
         for batch in batches:
             out = []

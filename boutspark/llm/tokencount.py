@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boutspark.llm.lean import lean
 from boutspark.shipping import ship
 from boutspark.staging import stage
 
@@ -272,16 +273,16 @@ def token_counts(
                 [batch.column(0), pa.array(count_pieces(sp, keys), pa.int64())], ["key", "n"]
             )
 
-    keys = docs.select("text").mapInArrow(_distinct, "key string").distinct()
-    counts = stage(keys.mapInArrow(counted, "key string, n bigint"), "pieces")
+    keys = docs.select("text").mapInArrow(lean(_distinct), "key string").distinct()
+    counts = stage(keys.mapInArrow(lean(counted), "key string, n bigint"), "pieces")
     rows = docs.mapInArrow(
-        _postings,
+        lean(_postings),
         "key string, block string, packed binary, ids array<bigint>, sizes array<bigint>",
     )
     sums = (
         rows.join(counts, "key", "left")
         .select("block", "packed", "ids", "sizes", "n")
-        .mapInArrow(_add, "block string, at int, id bigint, n_bytes bigint, n bigint")
+        .mapInArrow(lean(_add), "block string, at int, id bigint, n_bytes bigint, n bigint")
     )
     return (
         sums.groupBy("block", "at")

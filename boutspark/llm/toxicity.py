@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boutspark.llm.lean import lean
 from boutspark.llm.quality import held_out
 from boutspark.shipping import ship
 
@@ -146,6 +147,7 @@ def fit(
     )
     sample = docs.join(F.broadcast(marks), "id")
 
+    @lean
     def seen(batches):
         for batch in batches:
             count: dict[str, list[int]] = {}
@@ -184,6 +186,7 @@ def fit(
         )
         chain.words = sorted(r["word"] for r in best.collect())
 
+    @lean
     def inputs(batches):
         for batch in batches:
             x = chain.inputs(batch.column(batch.num_columns - 1).to_pylist()).astype(np.uint8)
@@ -212,6 +215,7 @@ def score(docs: DataFrame, chain: Chain, *, id_col="doc_id", text_col="text") ->
     ship(docs.sparkSession)
     names = [f"p_{c}" for c in chain.categories]
 
+    @lean
     def run(batches):
         for batch in batches:
             p = chain.predict(chain.inputs(batch.column(1).to_pylist()))

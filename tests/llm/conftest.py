@@ -3,12 +3,6 @@ import pytest
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-@pytest.fixture(scope="session", autouse=True)
-def shared_folder(spark, tmp_path_factory):
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-
-
 @pytest.fixture(scope="session")
 def make(spark):
     """Documents from (id, text) pairs or from texts, with columns whose names clash with inner ones."""
