@@ -8,12 +8,14 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from boutspark.staging import release  # noqa: E402
 from checks import catalog, workspace  # noqa: E402
 
 HEADLINE = (
@@ -45,6 +47,7 @@ def main() -> None:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="boutspark-bench-"))
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -57,6 +60,7 @@ def main() -> None:
     times = {}
     for name in names:
         workspace.forget()
+        release(spark)
         start = time.perf_counter()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
@@ -72,6 +76,7 @@ def main() -> None:
             }
         )
     )
+    release(spark)
     spark.stop()
 
 

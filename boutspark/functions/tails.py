@@ -8,12 +8,14 @@ from functools import lru_cache
 import numpy as np
 
 _TINY = 1e-300
+# far more steps than the square root of any degrees of freedom that a table can have
+_MOST_STEPS = 50_000_000
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (modified Lentz)."""
     f, c, d = 1.0, 1.0, 0.0
-    for i in range(400):
+    for i in range(_MOST_STEPS):
         m = i // 2
         if i == 0:
             num = 1.0
@@ -27,8 +29,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
         c = c if abs(c) > _TINY else _TINY
         f *= c * d
         if i and abs(1.0 - c * d) < 1e-15:
-            break
-    return f
+            return f
+    raise ArithmeticError(f"the incomplete beta function does not converge at {a}, {b}, {x}")
 
 
 def beta_ratio(a: float, b: float, x: float) -> float:

@@ -70,9 +70,7 @@ def running_median(
         return out_rows if own.all() else out_rows.filter(pa.array(own))
 
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-    # bound by the processor, not by bytes: keep the configured number of tasks
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = reach.repartition(tasks, *by, "_at")
+    spread = reach.repartition(*by, "_at")
     return spread.groupBy(*by, "_at").applyInArrow(medians, schema)
 
 

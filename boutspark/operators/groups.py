@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from boutspark.functions.scalars import standard_error
 from boutspark.operators.summary import PAIRED_COLUMNS
 from boutspark.params import REC
+from boutspark.staging import stage
 
 # The metrics of the summary figures.
 SINGLE_FIGURE = (
@@ -228,7 +229,7 @@ def weighted_durations(summary: DataFrame) -> DataFrame:
             for s in "AB"
         ]
     )
-    rows = summary.select("Treatment", F.inline(cells))
+    rows = stage(summary.select("Treatment", F.inline(cells)), "durations")
     usable = F.col("v").isNotNull() & (F.col("w") > 0)
     first = rows.groupBy("Treatment", "side").agg(
         F.avg("v").alias("mean"),

@@ -59,6 +59,37 @@ def error_counts(rows: DataFrame, keys: Sequence[str], code: str = "error_code")
     return per_key.select(*keys, "NonNull", "Flagged", F.inline(pairs))
 
 
+def error_columns(rows: DataFrame, keys: Sequence[str], errors: str = "errors") -> DataFrame:
+    """Present, missing and flagged entries of every error column (a map of names to text).
+
+    A number is flagged unless it is 0, a word unless it is "0" or "na"; the bits of
+    flagged whole numbers are counted by name.
+    """
+    entries = rows.select(*keys, F.explode(errors).alias("Column", "_text"))
+    text = F.trim(F.col("_text"))
+    entries = entries.withColumn("_text", F.when(text != "", text))
+    number = F.expr("try_cast(_text as double)")
+    code = F.expr("try_cast(_text as bigint)")
+    flagged = F.when(number.isNotNull(), number != 0).otherwise(
+        F.col("_text").isNotNull() & (F.lower("_text") != "na")
+    )
+    entries = entries.withColumn("_flagged", flagged).withColumn("_code", F.when(F.col("_flagged"), code))
+    return entries.groupBy(*keys, "Column").agg(
+        F.count("_text").alias("NonMissing"),
+        (F.count(F.lit(1)) - F.count("_text")).alias("Missing"),
+        F.sum(F.col("_flagged").cast("bigint")).alias("Flagged"),
+        *[
+            F.sum(F.coalesce(error_bit(F.col("_code"), i), F.lit(False)).cast("bigint")).alias(name)
+            for i, name in enumerate(ERROR_BITS)
+        ],
+    )
+
+
+def device_ticks(samples: DataFrame, seconds: str = "seconds", by: Sequence[str] = REC) -> DataFrame:
+    """One row per device and position from the rows of its wells, which share a clock."""
+    return samples.groupBy(*by, "chunk", "pos").agg(F.min(seconds).alias(seconds))
+
+
 def integrity(
     rows: DataFrame,
     keys: Sequence[str],

@@ -6,6 +6,7 @@ deviations). What is left, a few rows per model, is solved where it lies.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from itertools import combinations
 from typing import NamedTuple
@@ -19,9 +20,8 @@ from pyspark.sql import types as T
 from boutspark.functions import tails
 from boutspark.functions.scalars import standard_error
 from boutspark.operators.scan import ordered_scan
-
-# A model may have this many cells; more cannot be solved as dense equations.
-MAX_CELLS = 2000
+from boutspark.shipping import ship
+from boutspark.staging import stage
 
 
 # ---- bootstrap -----------------------------------------------------------
@@ -56,11 +56,14 @@ def bootstrap(
     Rows are ranked in `order` (its first column also cuts long groups into
     pieces), so the same seed gives the same table on any partitioning.
     """
-    present = values.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(group, *order, value)
+    # read three times below, and a summary is dear to plan again
+    values = stage(values.select(group, *order, value), "values")
+    present = values.filter(F.col(value).isNotNull() & ~F.isnan(value))
     ranked = ordered_scan(
         present, [group], list(order), order[0], sums={"_nr": F.lit(1).cast("bigint")}
     ).select(group, value, (F.col("_nr") - 1).alias("_rank"))
     sizes = values.groupBy(group).agg(
+        F.max(F.when(~F.isnan(value), F.abs(value))).alias("_top"),
         F.count(F.when(~F.isnan(value), F.col(value))).alias("n"),
         F.avg(F.when(~F.isnan(value), F.col(value))).alias("mean"),
         standard_error(F.when(~F.isnan(value), F.col(value))).alias("sem"),
@@ -77,13 +80,28 @@ def bootstrap(
             drawn_index(seed, F.col(group), F.col("iter"), F.col("_slot"), F.col("n")).alias("_rank"),
         )
     )
-    samples = draws.join(ranked, [group, "_rank"]).groupBy(group, "iter").agg(F.avg(value).alias("mean"))
+    # sums of whole multiples of a power of two do not depend on the order of the rows
+    step = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("_top"))) - 52)
+    parts = ranked.join(sizes.select(group, F.when(F.col("_top") > 0, step).otherwise(1.0).alias("_step")), group)
+    parts = parts.withColumn("_part", F.round(F.col(value) / F.col("_step")).cast("decimal(20,0)"))
+    samples = (
+        draws.groupBy(group, "iter", "_rank")
+        .agg(F.count(F.lit(1)).alias("_times"))
+        .join(parts, [group, "_rank"])
+        .groupBy(group, "iter")
+        .agg(
+            F.sum(F.col("_part") * F.col("_times").cast("decimal(10,0)")).cast("double").alias("_sum"),
+            F.sum("_times").alias("_n"),
+            F.max("_step").alias("_step"),
+        )
+        .select(group, "iter", (F.col("_sum") * F.col("_step") / F.col("_n")).alias("mean"))
+    )
     alpha = (1.0 - ci) / 2.0
     limits = samples.groupBy(group).agg(
         F.percentile("mean", F.lit(alpha)).alias("ci_low"),
         F.percentile("mean", F.lit(1.0 - alpha)).alias("ci_high"),
     )
-    return Bootstrap(sizes.join(limits, group, "left"), samples)
+    return Bootstrap(sizes.drop("_top").join(limits, group, "left"), samples)
 
 
 # ---- one factor ----------------------------------------------------------
@@ -117,6 +135,7 @@ def _f_tail(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
 
 def _anova_rows(wide: DataFrame, keys: Sequence[str], term: str) -> DataFrame:
     """Two rows per model from columns ssb, dfb, ssw, dfw."""
+    ship(wide.sparkSession)
     ratio = F.when(
         (F.col("dfw") > 0) & (F.col("dfb") > 0) & (F.col("ssw") > 0),
         (F.col("ssb") / F.col("dfb")) / (F.col("ssw") / F.col("dfw")),
@@ -223,20 +242,62 @@ def _term_columns(cells: pd.DataFrame, term: Sequence[str]) -> np.ndarray:
     return cols.astype(float)
 
 
+def _term_codes(cells: pd.DataFrame, term: Sequence[str]) -> tuple[np.ndarray, int]:
+    """The column of every cell among the columns of a term (-1: at a first level), and their number."""
+    code, size = np.zeros(len(cells), np.int64), 1
+    outside = np.zeros(len(cells), bool)
+    for factor in term:
+        levels, index = np.unique(cells[factor].to_numpy(), return_inverse=True)
+        outside |= index == 0
+        code = code * max(len(levels) - 1, 0) + index - 1
+        size *= len(levels) - 1
+    return np.where(outside, -1, code), size
+
+
+def _saturated(terms: Sequence[tuple[str, ...]]) -> bool:
+    """True where the terms contain the crossing of all factors with everything below it."""
+    given = {frozenset(t) for t in terms}
+    every = sorted(frozenset().union(*given)) if given else []
+    return len(given) == 2 ** len(every) - 1 and bool(every)
+
+
 def _residual(cells: pd.DataFrame, terms: Sequence[tuple[str, ...]]) -> tuple[float, int]:
-    """Between-cell squares left by a model, and the rank of the model."""
-    x = np.column_stack([np.ones(len(cells)), *[_term_columns(cells, t) for t in terms]])
-    root = np.sqrt(cells["w"].to_numpy())
-    y = cells["mean"].to_numpy() * root
-    beta, _, rank, _ = np.linalg.lstsq(x * root[:, None], y, rcond=None)
-    left = y - (x * root[:, None]) @ beta
-    return float(left @ left), int(rank)
+    """Between-cell squares left by a model, and the rank of the model.
+
+    The normal equations are summed from the cells' column numbers, so no
+    matrix with a row per cell is made; a model with a parameter for
+    every cell leaves nothing and is not solved.
+    """
+    w, y = cells["w"].to_numpy(float), cells["mean"].to_numpy(float)
+    factors = {f for t in terms for f in t}
+    if _saturated(terms) and len(cells) == len(cells[sorted(factors)].drop_duplicates()):
+        return 0.0, len(cells)
+    center = float((w * y).sum() / w.sum())
+    y = y - center
+    blocks, at = [(np.zeros(len(cells), np.int64), 0)], 1
+    for term in terms:
+        code, size = _term_codes(cells, term)
+        blocks.append((code, at))
+        at += size
+    xx, xy = np.zeros((at, at)), np.zeros(at)
+    for code, start in blocks:
+        on = code >= 0
+        np.add.at(xy, code[on] + start, (w * y)[on])
+        for other, begin in blocks:
+            both = on & (other >= 0)
+            np.add.at(xx, (code[both] + start, other[both] + begin), w[both])
+    scale = np.sqrt(np.where(np.diag(xx) > 0, np.diag(xx), 1.0))
+    beta, _, rank, _ = np.linalg.lstsq(xx / np.outer(scale, scale), xy / scale, rcond=1e-11)
+    beta = beta / scale
+    fitted = np.zeros(len(cells))
+    for code, start in blocks:
+        on = code >= 0
+        fitted[on] += beta[code[on] + start]
+    return float((w * (y - fitted) ** 2).sum()), int(rank)
 
 
 def _solve(cells: pd.DataFrame, terms: list[tuple[str, ...]], kind: int) -> pd.DataFrame:
     """Sums of squares by nested models; kind 1 sequential, 2 marginal."""
-    if len(cells) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells; use the one-way analysis")
     full, full_rank = _residual(cells, terms)
     within = float(cells["ss"].sum())
     df_res = float(cells["n"].sum() - full_rank)
@@ -278,6 +339,7 @@ def _fit_cells(
             out.insert(i, k, pdf[k].iloc[0])
         return out
 
+    ship(cells.sparkSession)
     # the cell table, not the observations, is what meets in one place
     return cells.groupBy(*keys).applyInPandas(fit, T.StructType([*fields, *_RESULT]))
 
@@ -313,6 +375,7 @@ def weighted_anova(
     keys = list(keys)
     where = [*keys, *factors]
     rows = df.filter(F.col(y).isNotNull() & ~F.isnan(y) & (F.col(weight) > 0))
+    rows = stage(rows.select(*dict.fromkeys([*where, y, weight])), "weighted")
     means = rows.groupBy(*where).agg(
         F.sum(weight).alias("w"),
         (F.sum(F.col(weight) * F.col(y)) / F.sum(weight)).alias("mean"),
@@ -350,6 +413,7 @@ def tukey(
     Every level is compared with every later one: pairs of treatment levels,
     never of observations.
     """
+    ship(df.sparkSession)
     keys = list(keys)
     cells = cell_table(df, y, [factor], keys)
     level = F.struct(F.col(factor).alias("level"), "n", "mean")
@@ -407,104 +471,151 @@ def mixed_model(
 
     Per device the model needs only n, the count and the sum of y in every
     cell. Devices of equal size share the inverse covariance, so their moments
-    are added up on Spark: what remains is one small matrix per device size.
+    are added up on Spark in a long table (device size, cell, cell). What is
+    left, the squares of the model's cells per device size, is solved in one
+    task when the result is read.
     """
+    ship(df.sparkSession)
+    factors, device = list(factors), list(device)
     rows = df.filter(F.col(y).isNotNull() & ~F.isnan(y))
-    levels = [
-        tuple(r)
-        for r in rows.select(*factors).distinct().orderBy(*factors).limit(MAX_CELLS + 1).collect()
-    ]
-    p = len(levels)
-    if p > 60:
-        raise ValueError("too many cells for a mixed model")
-    in_cell = []
-    for level in levels:
-        cond = F.lit(True)
-        for f, v in zip(factors, level):
-            cond = cond & F.col(f).eqNullSafe(F.lit(v))
-        in_cell.append(cond)
-    # y is centred first: REML does not depend on the origin, sums of squares do
-    center = float(rows.agg(F.avg(y)).first()[0])
-    shifted = rows.withColumn("_y", F.col(y) - F.lit(center))
-    devices = shifted.groupBy(*device).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("_y").alias("t"),
-        F.sum(F.col("_y") * F.col("_y")).alias("yy"),
-        *[F.sum(F.when(c, 1.0).otherwise(0.0)).alias(f"s{i}") for i, c in enumerate(in_cell)],
-        *[F.sum(F.when(c, F.col("_y")).otherwise(0.0)).alias(f"y{i}") for i, c in enumerate(in_cell)],
+    rows = stage(rows.select(*dict.fromkeys([*device, *factors, y])), "observations")
+    # REML does not depend on the origin, sums of squares do
+    center = rows.select(F.avg(y)).scalar()
+    shifted = rows.withColumn("_y", F.col(y) - center)
+    cell = F.to_json(F.struct(*[F.col(f).alias(f"f{i}") for i, f in enumerate(factors)]))
+    per_cell = (
+        shifted.groupBy(*device, *factors)
+        .agg(F.count(F.lit(1)).cast("double").alias("s"), F.sum("_y").alias("sy"), F.sum(F.col("_y") * F.col("_y")).alias("yy"))
+        .withColumn("cell", cell)
     )
-    moments = devices.groupBy("n").agg(
-        F.count(F.lit(1)).alias("m"),
-        F.sum("yy").alias("yy"),
-        F.sum(F.col("t") * F.col("t")).alias("tt"),
-        *[F.sum(f"s{i}").alias(f"x{i}") for i in range(p)],
-        *[F.sum(f"y{i}").alias(f"xy{i}") for i in range(p)],
-        *[F.sum(F.col(f"s{i}") * F.col("t")).alias(f"st{i}") for i in range(p)],
-        *[
-            F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"ss{i}_{j}")
-            for i in range(p)
-            for j in range(i, p)
-        ],
+    devices = per_cell.groupBy(*device).agg(
+        F.sum("s").alias("n"), F.sum("sy").alias("t"), F.sum("yy").alias("yy")
     )
-    table = moments.toPandas()  # one row per distinct device size
-    cells = pd.DataFrame(levels, columns=list(factors))
-    terms = crossed_terms(factors)
-    names, blocks = ["Intercept"], [np.ones((p, 1))]
-    for term in terms:
-        block = _term_columns(cells, term)
-        blocks.append(block)
+    none = F.lit(None).cast("string")
+    sizes = devices.groupBy("n").agg(
+        F.count(F.lit(1)).cast("double").alias("a"), F.sum("yy").alias("b"), F.sum(F.col("t") * F.col("t")).alias("c")
+    ).select("n", none.alias("i"), none.alias("j"), "a", "b", "c")
+    sized = per_cell.drop("yy").join(devices.select(*device, "n", "t"), device)
+    singles = sized.groupBy("n", "cell").agg(
+        F.sum("s").alias("a"), F.sum("sy").alias("b"), F.sum(F.col("s") * F.col("t")).alias("c")
+    ).select("n", F.col("cell").alias("i"), none.alias("j"), "a", "b", "c")
+    # the cells of one device beside each other: pairs of treatments, not of observations
+    other = per_cell.select(*device, F.col("cell").alias("j"), F.col("s").alias("s2"))
+    crossed = (
+        sized.join(other, device)
+        .filter(F.col("cell") <= F.col("j"))
+        .groupBy("n", F.col("cell").alias("i"), "j")
+        .agg(F.sum(F.col("s") * F.col("s2")).alias("a"))
+        .select("n", "i", "j", "a", F.lit(0.0).alias("b"), F.lit(0.0).alias("c"))
+    )
+    moments = sizes.unionAll(singles).unionAll(crossed)
+
+    def fit(table: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_mixed_rows(table, factors), columns=[f.name for f in _MIXED])
+
+    found = moments.withColumn("_all", F.lit("all")).groupBy("_all").applyInPandas(fit, T.StructType(_MIXED))
+    origin = F.when(F.col("term") == "Intercept", center).otherwise(F.lit(0.0))
+    return found.withColumns({c: F.col(c) + origin for c in ("coef", "lower", "upper")}).withColumn(
+        "z", F.when(F.col("std_err") > 0, F.col("coef") / F.col("std_err"))
+    ).withColumn("p", _normal_tail("z"))
+
+
+_MIXED = [
+    T.StructField("term", T.StringType()),
+    *[T.StructField(c, T.DoubleType()) for c in ("coef", "std_err", "z", "p", "lower", "upper")],
+]
+
+
+@F.pandas_udf(T.DoubleType())
+def _normal_tail(z: pd.Series) -> pd.Series:
+    return z.map(tails.normal_two_sided, na_action="ignore").astype("float64")
+
+
+def _mixed_rows(table: pd.DataFrame, factors: Sequence[str]) -> list[tuple]:
+    single = table[table["i"].notna() & table["j"].isna()]
+    names = sorted(single["i"].unique())
+    number = {c: k for k, c in enumerate(names)}
+    cells = pd.DataFrame([json.loads(c) for c in names])
+    cells = cells.reindex(columns=[f"f{i}" for i in range(len(factors))]).set_axis(list(factors), axis=1)
+    p = len(names)
+    labels, blocks = ["Intercept"], [np.ones((p, 1))]
+    for term in crossed_terms(factors):
+        blocks.append(_term_columns(cells, term))
         parts = [""]
         for f in term:
             tags = [f"{f}[T.{lv}]" for lv in sorted(cells[f].unique())[1:]]
             parts = [f"{a}:{b}" if a else b for a in parts for b in tags]
-        names += parts
-    design = np.column_stack(blocks)
-    result = _reml(table, design)
-    rows_out = []
-    for name, b, se in zip(names, result["beta"], result["se"]):
-        b = b + (center if name == "Intercept" else 0.0)
-        z = b / se if se > 0 else float("nan")
-        rows_out.append(
-            (name, float(b), float(se), float(z), tails.normal_two_sided(z), float(b - 1.959963984540054 * se), float(b + 1.959963984540054 * se))
-        )
-    rows_out.append(("Group Var", result["group_var"], None, None, None, None, None))
-    rows_out.append(("Residual Var", result["scale"], None, None, None, None, None))
-    return df.sparkSession.createDataFrame(
-        rows_out,
-        "term string, coef double, std_err double, z double, p double, lower double, upper double",
-    )
-
-
-def _reml(table: pd.DataFrame, design: np.ndarray) -> dict:
-    """Search the ratio of variances on the summed moments."""
-    p, q = design.shape
-    total = float((table["n"] * table["m"]).sum())
+        labels += parts
+    moments = []
+    for n, rows in table.groupby("n"):
+        one = rows[rows["i"].notna() & rows["j"].isna()]
+        two = rows[rows["j"].notna()]
+        size = rows[rows["i"].isna()].iloc[0]
+        x, xy, st, cross = np.zeros(p), np.zeros(p), np.zeros(p), np.zeros((p, p))
+        at = one["i"].map(number).to_numpy()
+        x[at], xy[at], st[at] = one["a"], one["b"], one["c"]
+        i, j = two["i"].map(number).to_numpy(), two["j"].map(number).to_numpy()
+        cross[i, j] = two["a"]
+        cross[j, i] = two["a"]
+        moments.append((float(n), size["a"], size["b"], size["c"], x, xy, st, cross))
+    result = _reml(moments, np.column_stack(blocks))
+    out = [
+        (name, float(b), float(se), None, None, float(b - 1.959963984540054 * se), float(b + 1.959963984540054 * se))
+        for name, b, se in zip(labels, result["beta"], result["se"])
+    ]
+    out.append(("Group Var", result["group_var"], None, None, None, None, None))
+    out.append(("Residual Var", result["scale"], None, None, None, None, None))
+    return out
+
+
+def _reml(table: list[tuple], design: np.ndarray) -> dict:
+    """Search the ratio of variances on the summed moments of every device size."""
+    p = design.shape[0]
+    total = float(sum(n * m for n, m, *_ in table))
+    # empty combinations make columns depend on others: solve in the space of the design
+    left, size, right = np.linalg.svd(design, full_matrices=False)
+    keep = size > 1e-10 * size[0]
+    base, right = left[:, keep] * size[keep], right[keep]
+    q = int(keep.sum())
+    # squares within devices and between them, so that a large ratio loses no digits
+    inner = (np.zeros((p, p)), np.zeros(p), 0.0)
+    outer = []
+    for n, m, yy, tt, x, xy, st, cross in table:
+        inner = (inner[0] + np.diag(x) - cross / n, inner[1] + xy - st / n, inner[2] + yy - tt / n)
+        outer.append((n, m, cross / n, st / n, tt / n))
 
     def moments(theta: float):
-        a, b, c, logdet = np.zeros((p, p)), np.zeros(p), 0.0, 0.0
-        for _, r in table.iterrows():
-            shrink = theta / (1.0 + r["n"] * theta)
-            cross = np.zeros((p, p))
-            for i in range(p):
-                for j in range(i, p):
-                    cross[i, j] = cross[j, i] = r[f"ss{i}_{j}"]
-            a += np.diag([r[f"x{i}"] for i in range(p)]) - shrink * cross
-            b += np.array([r[f"xy{i}"] - shrink * r[f"st{i}"] for i in range(p)])
-            c += r["yy"] - shrink * r["tt"]
-            logdet += r["m"] * np.log1p(r["n"] * theta)
-        xx = design.T @ a @ design
-        xy = design.T @ b
-        inverse = np.linalg.pinv(xx)
+        a, b, c, logdet = *inner, 0.0
+        for n, m, cross, st, tt in outer:
+            share = 1.0 / (1.0 + n * theta)
+            a, b, c = a + share * cross, b + share * st, c + share * tt
+            logdet += m * np.log1p(n * theta)
+        xx = base.T @ a @ base
+        xy = base.T @ b
+        inverse = np.linalg.inv(xx)
         beta = inverse @ xy
         rss = float(c - beta @ xy)
-        return beta, inverse, rss, logdet, np.linalg.slogdet(xx)[1]
+        return right.T @ beta, right.T @ inverse @ right, rss, logdet, np.linalg.slogdet(xx)[1]
 
     def loss(log_theta: float) -> float:
-        _, _, rss, logdet, info = moments(np.exp(log_theta))
+        try:
+            _, _, rss, logdet, info = moments(np.exp(log_theta))
+        except np.linalg.LinAlgError:  # beyond what doubles can tell apart
+            return np.inf
         return (total - q) * np.log(max(rss, 1e-300)) + logdet + info
 
-    grid = np.linspace(-14.0, 10.0, 97)
-    best = int(np.argmin([loss(g) for g in grid]))
+    low, high, best = -14.0, 10.0, 0
+    while True:
+        grid = np.arange(low, high + 0.125, 0.25)
+        values = [loss(g) for g in grid]
+        best = int(np.argmin(values))
+        # widen while the least value lies on an edge; below, no device effect is the limit
+        if best == len(grid) - 1 and high < 300.0:
+            high += 6.0
+        elif best == 0 and low > -38.0:
+            low -= 12.0
+        else:
+            break
     low, high = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
     golden = (np.sqrt(5.0) - 1.0) / 2.0
     for _ in range(80):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from boutspark.operators import compare, detect, groups, quality, summary
 from boutspark.operators.baseline import subtract_baseline
 from boutspark.operators.bouts import feeding_bouts, feeding_intervals
-from boutspark.operators.scan import chunk_of
+from boutspark.operators.scan import chunk_of, ordered_scan
 from boutspark.params import REC, Params, Settings, Swept
 from boutspark.staging import stage
 
@@ -51,19 +51,19 @@ def detect_contacts(
 def load_window(
     rows: DataFrame, by: Sequence[str], start: float | None, end: float | None
 ) -> DataFrame:
-    """Samples with start < minutes < end, renumbered without a global sort.
+    """Samples with start < minutes < end, numbered again without a global sort.
 
-    Minutes rise along a recording, so the samples kept are one stretch per
-    well and its first position is all that has to be subtracted.
+    A clock may step back, so the samples kept can be several stretches of a
+    recording; they are counted chunk by chunk.
     """
     kept = rows
     if start is not None:
         kept = kept.filter(F.col("minutes") > float(start))
     if end is not None:
         kept = kept.filter(F.col("minutes") < float(end))
-    first = kept.groupBy(*by, "well").agg(F.min("pos").alias("_first"))
-    moved = kept.join(first, [*by, "well"]).withColumn("pos", F.col("pos") - F.col("_first"))
-    return moved.drop("_first").withColumn("chunk", chunk_of("pos"))
+    counted = ordered_scan(kept, [*by, "well"], ["pos"], sums={"_nr": F.lit(1).cast("bigint")})
+    moved = counted.withColumn("pos", F.col("_nr") - 1).drop("_nr")
+    return moved.withColumn("chunk", chunk_of("pos"))
 
 
 def basic_analysis(
@@ -88,8 +88,16 @@ def basic_analysis(
     matrix, _ = quality.bleeding_matrix(base, bleeding_cutoff, by)
     return BasicAnalysis(
         overview=quality.overview(base, by),
-        integrity=quality.integrity(base, keys, clock=None, code=None),
-        breaks=quality.data_breaks(base, keys, settings.samples_per_second, multiplier, seconds),
+        integrity=quality.integrity(
+            base,
+            keys,
+            clock="ts" if "ts" in base.columns else None,
+            index="sample" if "sample" in base.columns else None,
+            code="error_code" if "error_code" in base.columns else None,
+        ),
+        breaks=quality.data_breaks(
+            quality.device_ticks(base, seconds, by), by, settings.samples_per_second, multiplier, seconds
+        ),
         simultaneous=detect.simultaneous_matrix(labelled, by) if two else None,
         bleeding=matrix,
         summary=table,

@@ -15,7 +15,10 @@ def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
     """group, dfm, chamber, note; unreadable rows and blank groups drop out."""
     try:
         raw = spark.read.option("header", "true").schema(SCHEMA).csv(path)
-    except AnalysisException:  # nothing has been excluded yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # nothing has been excluded yet
         raw = spark.createDataFrame([], SCHEMA)
     return (
         raw.select(

@@ -27,14 +27,16 @@ WELL_COLUMNS = [f"W{w}" for w in range(1, WELLS_PER_DEVICE + 1)]
 
 
 def natural_key(name: Column) -> Column:
-    """Text that sorts numbers inside names by value: part 2 before part 10."""
+    """Text that sorts numbers inside names by value: part 2 before part 10.
+
+    A number is written as the length of its digits and the digits, whatever their
+    count; the name itself comes last, so no two names share a key.
+    """
     pieces = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(
-        F.transform(
-            pieces, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(F.lower(p))
-        ),
-        "",
-    )
+    digits = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    sized = lambda p: F.concat(F.lpad(F.length(digits(p)).cast("string"), 6, "0"), digits(p))
+    by_value = F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), sized(p)).otherwise(F.lower(p)))
+    return F.concat(F.array_join(by_value, ""), F.lit("\u0001"), name)
 
 
 def _file_columns() -> dict[str, Column]:
@@ -91,20 +93,21 @@ def read_ticks(
 ) -> DataFrame:
     """One row per tick, wells side by side, in recording order (`pos`).
 
-    Everything is read as text and cast, so no pass infers types. Files of one
-    version must have one header; Spark checks it and fails otherwise. The load
-    window is open, start < minutes < end, and is applied before numbering.
+    Everything is read as text and cast, so no pass infers types. Files with the
+    same header are read together; the result has the columns of all of them. The
+    place in the files is the order, and their own counter (`sample`) is data. The
+    load window is open, start < minutes < end, and is applied before numbering.
     """
     chosen = chosen_files(list_files(spark, root), devices)
     # the list of file names is what the scan is planned from
     paths = [(r["path"], r["rank"]) for r in chosen.select("path", "rank").collect()]
     if not paths:
         raise ValueError(f"no device files to load below {root}")
-    parts = [
-        _scan(spark, [p for p, rank in paths if (rank == 3) == newest], 3 if newest else 2)
-        for newest in (True, False)
-        if any((rank == 3) == newest for _, rank in paths)
-    ]
+    rank_of = dict(paths)
+    alike: dict[tuple[bool, str], list[str]] = {}
+    for path, header in _headers(spark, list(rank_of)):
+        alike.setdefault((rank_of[path] == 3, header), []).append(path)
+    parts = [_scan(spark, sorted(found), 3 if newest else 2) for (newest, _), found in sorted(alike.items())]
     ticks = parts[0]
     for other in parts[1:]:
         ticks = ticks.unionByName(other, allowMissingColumns=True)
@@ -112,11 +115,11 @@ def read_ticks(
         ticks = ticks.filter(F.col("minutes") > float(start))
     if end is not None:
         ticks = ticks.filter(F.col("minutes") < float(end))
-    block = F.struct("part", F.expr(f"ordinal div {int(chunk_rows)}").alias("block"))
+    # a piece of a file as Spark reads it bounds the windows
     numbered = ordered_scan(
-        ticks.withColumn("_block", block),
+        ticks.withColumn("_block", F.struct("part", "_split")),
         list(REC),
-        ["part", "ordinal"],
+        ["part", "_split", "_row"],
         "_block",
         sums={"_nr": F.lit(1).cast("bigint")},
     )
@@ -124,8 +127,20 @@ def read_ticks(
         numbered.withColumn("pos", F.col("_nr") - 1)
         .withColumn("sample", F.coalesce(F.col("sample"), F.col("_nr")))
         .withColumn("chunk", chunk_of("pos", chunk_rows))
-        .drop("_nr", "_block", "ordinal", "part")
+        .drop("_nr", "_block", "_split", "_row", "part")
+    )
+
+
+def _headers(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str]]:
+    """(path, header) of every file with one: its first line, which starts with a letter."""
+    lines = spark.read.text(list(paths)).where(F.col("value").rlike(r'^\W*\p{L}'))
+    placed = lines.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("_place"),
+        "value",
     )
+    first = placed.groupBy("path").agg(F.min_by("value", "_place").alias("header"))
+    return [(r["path"], r["header"].strip()) for r in first.collect()]
 
 
 def _scan(spark: SparkSession, paths: Sequence[str], version: int) -> DataFrame:
@@ -134,12 +149,11 @@ def _scan(spark: SparkSession, paths: Sequence[str], version: int) -> DataFrame:
     rows = rows.select(
         *names,
         F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_row"),
     )
     described = rows.withColumns(_file_columns())
     index = next((c for c in ("Sample", "Index") if c in names), None)
-    # without a counter the place in the file is the order
-    ordinal = _number(index).cast("bigint") if index else F.col("_row")
     if "Seconds" in names:
         seconds = _number("Seconds")
     elif {"Date", "Time", "MSec"} <= set(names):
@@ -161,7 +175,8 @@ def _scan(spark: SparkSession, paths: Sequence[str], version: int) -> DataFrame:
     ticks = described.select(
         *REC,
         "part",
-        ordinal.alias("ordinal"),
+        "_split",
+        "_row",
         F.lit(version).alias("version"),
         (_number(index).cast("bigint") if index else F.lit(None).cast("bigint")).alias("sample"),
         clock.alias("_clock"),
@@ -169,13 +184,18 @@ def _scan(spark: SparkSession, paths: Sequence[str], version: int) -> DataFrame:
         *([seconds.alias("seconds")] if seconds is not None else []),
         *[_number(w).alias(w) for w in WELL_COLUMNS if w in names],
         *[_number(c).cast("bigint").alias(c) for c in ("OptoCol1", "OptoCol2") if c in names],
-        *[F.expr(f"try_cast(`{c}` as bigint)").alias("error_code") for c in errors[:1]],
-        *[F.expr(f"try_cast(`{c}` as bigint)").alias(c) for c in errors[1:]],
+        *([F.expr(f"try_cast(`{errors[0]}` as bigint)").alias("error_code")] if errors else []),
+        # every error column as it is written, numbers or words
+        (
+            F.create_map(*[x for c in errors for x in (F.lit(c), F.col(f"`{c}`"))])
+            if errors
+            else F.lit(None).cast("map<string,string>")
+        ).alias("errors"),
     )
     if seconds is None:
         # time starts with the first row; its milliseconds are not taken off
         first = ticks.groupBy(*REC).agg(
-            F.min_by("_clock", F.struct("part", "ordinal")).alias("_first")
+            F.min_by("_clock", F.struct("part", "_split", "_row")).alias("_first")
         )
         ticks = ticks.join(first, list(REC)).withColumn(
             "seconds",

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+# temporary folders of local applications without the setting
+_OWN: dict[str, str] = {}
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -21,14 +23,28 @@ def staging_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_SETTING} to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="boutspark-")
-    spark.conf.set(_SETTING, root)
-    return root
+    name = spark.sparkContext.applicationId
+    if name not in _OWN:
+        _OWN[name] = tempfile.mkdtemp(prefix="boutspark-")
+    return _OWN[name]
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's staged tables."""
+    return f"{staging_root(spark).rstrip('/')}/staged-{spark.sparkContext.applicationId}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once and return the written table."""
+    """Write `df` once and return the written table; `release` removes all of a run."""
     spark = df.sparkSession
-    path = f"{staging_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> bool:
+    """Remove every table that this application has staged; their readers are of no use after it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(system.exists(path) and system.delete(path, True))

@@ -265,25 +265,19 @@ oracle(
 
 @query
 def device_coverage(spark, sf):
-    """Devices configured against devices with files (customers with orders)."""
-    devices = given(spark, sf)[0].filter("dfm % 13 <> 0")
-    files = (
-        table(spark, sf, "orders")
-        .select("o_custkey", "o_orderkey")
-        .filter("o_custkey % 17 <> 0")
-        .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .select(
-            F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("project"),
-            F.col("c_custkey").alias("dfm"),
-        )
+    """Devices configured (customers) against devices with files (suppliers), both by nation."""
+    devices = given(spark, sf)[0]
+    files = table(spark, sf, "supplier").select(
+        F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("project"),
+        F.col("s_suppkey").alias("dfm"),
     )
     return shown(coverage(devices, files).withColumnRenamed("project", "experiment"))
 
 
 oracle(
     "device_coverage",
-    """with have as (select distinct project, c_custkey as dfm from orders join cust on o_custkey = c_custkey where o_custkey % 17 <> 0),
-     want as (select project, c_custkey as dfm from cust where c_custkey % 13 <> 0)
+    """with have as (select distinct 'n' || cast(s_nationkey as varchar) as project, s_suppkey as dfm from supplier),
+     want as (select project, c_custkey as dfm from cust)
 select project as experiment, 'warning' as severity, cast(dfm as varchar) as subject, 'configured device without files' as message
 from want anti join have using (project, dfm)
 union all

@@ -42,6 +42,12 @@ left join (select dfm, chamber, case when opto <> 0 then 'light' else 'dark' end
 
 @query
 def cumulative_pi(spark, sf):
+    return shown(light.cumulative_pi(labelled(spark, sf)), "pos")
+
+
+@query
+def cumulative_pi_range(spark, sf):
+    """The same from minute 5 on."""
     return shown(light.cumulative_pi(labelled(spark, sf), start=5), "pos")
 
 
@@ -58,26 +64,34 @@ select *, sum(a) over w as ca, sum(b) over w as cb, row_number() over w as nr
 from ({src}) window w as (partition by dfm, chamber order by sample)"""
 
 
-oracle(
-    "cumulative_pi",
-    f"""select dfm, chamber, {r6('minutes')} as Minutes, {r6('(ca - cb) / (ca + cb)')} as PI,
-       cast(ca + cb as bigint) as Licks from ({so_far(ticks('lick', 'minutes > 5'))})""",
-    "lab",
-)
+for name, where in (("cumulative_pi", "true"), ("cumulative_pi_range", "minutes > 5")):
+    oracle(
+        name,
+        f"""select dfm, chamber, {r6('minutes')} as Minutes, {r6('(ca - cb) / (ca + cb)')} as PI,
+       cast(ca + cb as bigint) as Licks from ({so_far(ticks('lick', where))})""",
+        "lab",
+    )
 
 
 @query
 def cumulative_event_pi(spark, sf):
+    return shown(light.cumulative_event_pi(labelled(spark, sf)), "pos")
+
+
+@query
+def cumulative_event_pi_first(spark, sf):
+    """The first eight bouts of every chamber."""
     got = light.cumulative_event_pi(labelled(spark, sf), events_limit=8)
     return shown(got, "pos")
 
 
-oracle(
-    "cumulative_event_pi",
-    f"""select dfm, chamber, {r6('minutes')} as Minutes, {r6('(ca - cb) / (ca + cb)')} as PI, nr as EventNum
-from ({so_far(ticks('bout = sample', 'true'))}) where nr <= 8""",
-    "lab",
-)
+for name, where in (("cumulative_event_pi", "true"), ("cumulative_event_pi_first", "nr <= 8")):
+    oracle(
+        name,
+        f"""select dfm, chamber, {r6('minutes')} as Minutes, {r6('(ca - cb) / (ca + cb)')} as PI, nr as EventNum
+from ({so_far(ticks('bout = sample', 'true'))}) where {where}""",
+        "lab",
+    )
 
 
 def curve(spark, sf, **kw):
@@ -101,15 +115,21 @@ part("curve_all", ("bouts", "lab"), curve_sql("true"))
 
 @query
 def cumulative_licks(spark, sf):
+    return shown(curve(spark, sf), "pos")
+
+
+@query
+def cumulative_licks_range(spark, sf):
     """Within (20, 30], so that some wells have no bout at all."""
     return shown(curve(spark, sf, start=20, end=30), "pos")
 
 
-oracle(
-    "cumulative_licks",
-    f"select dfm, chamber, well, {r6('minutes')} as Minutes, {r6('y')} as CumLicks from curve",
-    "curve",
-)
+for name, src in (("cumulative_licks", "curve_all"), ("cumulative_licks_range", "curve")):
+    oracle(
+        name,
+        f"select dfm, chamber, well, {r6('minutes')} as Minutes, {r6('y')} as CumLicks from {src}",
+        src,
+    )
 
 
 @query
@@ -247,30 +267,43 @@ def clocked(spark, sf):
 
 
 def breaks(spark, sf):
-    rows = clocked(spark, sf).select(*WELL, "chunk", "pos", "sample", "seconds")
-    return quality.data_breaks(rows, WELL, BREAK_RATE)
+    """Gaps of the device clock: the earliest of its wells' clocks at each position."""
+    rows = clocked(spark, sf).select(*REC, "chunk", "pos", "seconds")
+    return quality.data_breaks(quality.device_ticks(rows), REC, BREAK_RATE)
 
 
 part(
     "steps",
     ("sig",),
     """
-select *, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) over (partition by dfm, well order by sample) as step
-from sig""",
+select *, sec - lag(sec) over (partition by dfm order by sample) as step
+from (select dfm, sample, min(epoch_us(ts) / 1e6) as sec from sig group by dfm, sample)""",
 )
 
 
 @query
 def data_breaks(spark, sf):
-    """The first ten breaks of every well."""
-    got = quality.first_breaks(breaks(spark, sf), WELL)
-    return shown(got.select("dfm", "well", "Index", F.round("Interval", 3).alias("Interval"), "BreakNr"))
+    """All breaks of every device."""
+    got = breaks(spark, sf)
+    return shown(got.select("dfm", "Index", F.round("Interval", 3).alias("Interval")))
+
+
+@query
+def first_data_breaks(spark, sf):
+    """The first ten breaks of every device."""
+    got = quality.first_breaks(breaks(spark, sf), REC)
+    return shown(got.select("dfm", "Index", F.round("Interval", 3).alias("Interval"), "BreakNr"))
 
 
 oracle(
     "data_breaks",
-    f"""select dfm, well, sample as Index, {r6('round(step, 3)')} as Interval, nr as BreakNr
-from (select *, row_number() over (partition by dfm, well order by sample) as nr from steps where step > 86400)
+    f"select dfm, sample as Index, {r6('round(step, 3)')} as Interval from steps where step > 86400",
+    "steps",
+)
+oracle(
+    "first_data_breaks",
+    f"""select dfm, sample as Index, {r6('round(step, 3)')} as Interval, nr as BreakNr
+from (select *, row_number() over (partition by dfm order by sample) as nr from steps where step > 86400)
 where nr <= 10""",
     "steps",
 )

@@ -696,7 +696,17 @@ from bouts b left join (select * from design where (dfm * 7 + chamber) % 11 <> 0
 
 @query
 def interval_data(spark, sf):
-    """Gaps and bouts in (10, 40] with chamber and side of their wells."""
+    """Gaps and bouts with chamber and side of their wells."""
+    return shown(gaps_and_bouts(spark, sf))
+
+
+@query
+def interval_data_range(spark, sf):
+    """The same within (10, 40]."""
+    return shown(gaps_and_bouts(spark, sf).filter(within(F.col("Minutes"), 10, 40)))
+
+
+def gaps_and_bouts(spark, sf):
     rows = labelled(spark, sf)
     gaps = feeding_intervals(rows, EVENT_PARAMS).select(
         F.lit("interval").alias("kind"), "dfm", "chamber", F.concat(F.lit("Well"), "side").alias("TCWell"),
@@ -706,18 +716,19 @@ def interval_data(spark, sf):
         F.lit("duration").alias("kind"), "dfm", "chamber", F.concat(F.lit("Well"), "side").alias("TCWell"),
         "well", "Minutes", F.col("Duration").alias("Seconds"),
     )
-    return shown(gaps.unionByName(runs).filter(within(F.col("Minutes"), 10, 40)))
+    return gaps.unionByName(runs)
 
 
-oracle(
-    "interval_data",
-    f"""select kind, dfm, chamber, 'Well' || side as TCWell, well, {r6('minutes')} as Minutes, {r6('sec')} as Seconds
+for name, where in (("interval_data", "true"), ("interval_data_range", "minutes > 10 and minutes <= 40")):
+    oracle(
+        name,
+        f"""select kind, dfm, chamber, 'Well' || side as TCWell, well, {r6('minutes')} as Minutes, {r6('sec')} as Seconds
 from (select 'interval' as kind, dfm, chamber, side, well, minutes, sec from gaps
       union all select 'duration', dfm, chamber, side, well, minutes, duration from bouts)
-where minutes > 10 and minutes <= 40""",
-    "gaps",
-    "bouts",
-)
+where {where}""",
+        "gaps",
+        "bouts",
+    )
 
 
 @query
