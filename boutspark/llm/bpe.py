@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from boutspark.llm.lean import lean
 from boutspark.shipping import ship
 
-CACHE = 300_000
+CACHE = 150_000
 TOGETHER = 32
 ROWS = 8_000
 NARROW = 1 << 20
@@ -319,7 +319,7 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(vocabulary(path), pattern)
 
 
-def _by_chars(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def _by_chars(texts: list[str | None], most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about `most` characters together."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -7,9 +7,18 @@ from collections.abc import Callable, Iterator
 from functools import wraps
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Rows and bytes of an Arrow batch that are turned into Python objects at a time.
 ROWS, BYTES = 1_000, 8_000_000
+ARROW_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand Arrow batches of at most 16 MB to Python; for programs, not for operators, to call."""
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(size).rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(size, f"{ARROW_BYTES}b")
 
 
 def _give_back() -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutspark.llm import bpe, decontam, extract, licenses, media, neardup, quality, suffixes, tokencount, toxicity
+from boutspark.llm.lean import small_batches
 
 # Words that name the two kinds of abuse which the chain predicts before toxicity as a whole.
 INSULTS = ("idiot", "moron", "loser", "clown", "stupid")
@@ -14,6 +15,7 @@ CONTEMPT = ("trash", "scum", "worthless", "pathetic", "disgusting")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

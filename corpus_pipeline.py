@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutspark.llm import bpe, decontam, neardup, quality, suffixes
+from boutspark.llm.lean import small_batches
 from boutspark.staging import stage
 
 
@@ -29,15 +30,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
     return quality.keep_good(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return neardup.keep_first(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     cut = suffixes.remove_repeats(docs)
     if "n_chars" not in docs.columns:
         return cut
@@ -50,6 +54,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encode_digests(docs, ranks, public_tokenizers.PATTERN)
 
