@@ -317,18 +317,18 @@ def repeated_spans(
     # counts are written before they are joined: a join right above an aggregation cannot split a hot anchor
     again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     again = stage(again, "again")
-    live = stage(found.join(again, "anchor", "left_semi"), "live")
+    live = stage(found.join(few(again), "anchor", "left_semi"), "live")
     kinds = stage(
         live.groupBy("anchor", "full").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("one")),
         "kinds",
     )
     whole = (
-        live.join(kinds.where("n > 1").select("anchor", "full"), ["anchor", "full"], "left_semi")
+        live.join(few(kinds.where("n > 1").select("anchor", "full")), ["anchor", "full"], "left_semi")
         .select("row", F.col("pos"))
         .select("row", F.expr(f"pos div {wide * wide}").alias("first"), (F.col("pos") % wide).alias("more"))
     )
     several = stage(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
-    chosen = kinds.join(several, "anchor").select("one.row", "one.pos", "anchor", "kinds")
+    chosen = kinds.join(few(several), "anchor").select("one.row", "one.pos", "anchor", "kinds")
     by_row = stage(
         chosen.groupBy("row").agg(F.collect_list(F.struct("anchor", "kinds", "pos")).alias("chosen")), "chosen"
     )

@@ -264,3 +264,14 @@ def test_overlaps_of_nothing(spark, make):
     assert decontam.find_overlaps(make(["a b c"]), none).count() == 0
     one = spark.createDataFrame([(1, "w " * 20)], "item_id bigint, text string")
     assert decontam.find_overlaps(make([]), one).count() == 0
+
+
+def test_results_do_not_depend_on_broadcasts(make, monkeypatch):
+    monkeypatch.setattr(suffixes, "few", lambda names, most=0: names)
+    monkeypatch.setattr(neardup, "few", lambda names, most=0: names)
+    texts = repeat_texts(8)
+    got = {g["doc_id"]: g["n_removed"] for g in suffixes.repeats(make(texts), length=50).collect()}
+    assert got == {i: w[1] for i, w in enumerate(plain_repeats(texts, 50))}
+    rows = [r for r in near_rows(5) if r[0] not in (5, None)]
+    found = {g["doc_id"]: g["component_id"] for g in neardup.near_duplicates(make(rows)).collect()}
+    assert found == plain_near(rows)
