@@ -20,6 +20,8 @@ repeated rows stay; null ids are scored and not held out; other columns are igno
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -34,7 +36,7 @@ MAX_POSITIVE = 6_000
 MAX_UNLABELLED = 10_000
 STEPS = 400
 SYMBOLS = b"#$%&*@^~+=<>{}[]\\/_`"
-N_FEATURES = 20
+N_FEATURES = 21
 
 
 def _classes() -> np.ndarray:
@@ -72,7 +74,7 @@ def features(texts: list[str | None]) -> np.ndarray:
         words = text.split()
         n, kinds = len(words), len(set(words))
         lines = text.split("\n")
-        out[i, :8] = (
+        out[i, :9] = (
             np.log1p(len(text)),
             kinds / max(n, 1),
             np.log1p(n),
@@ -81,8 +83,10 @@ def features(texts: list[str | None]) -> np.ndarray:
             len(text) / max(n, 1) if n else 0.0,
             np.log1p(len(lines)),
             counts[i].max() / counts[i].sum(),
+            # the same word again and again
+            sum(map(eq, words, islice(words, 1, None))) / max(n, 1),
         )
-    out[:, 8:] = counts @ _CLASSES / np.maximum(counts.sum(axis=1), 1)[:, None]
+    out[:, 9:] = counts @ _CLASSES / np.maximum(counts.sum(axis=1), 1)[:, None]
     return out
 
 
