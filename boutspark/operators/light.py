@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from boutspark.functions.scalars import lick_transform, preference, within
 from boutspark.operators.scan import CHUNK_ROWS, chunk_of, ordered_scan
+from boutspark.operators.summary import with_design
 from boutspark.params import REC, Settings, value
 
 
@@ -19,11 +20,14 @@ def light_phases(
     *,
     two_wells: bool = True,
     transform_licks: bool = True,
+    design: DataFrame | None = None,
+    factors: Sequence[str] = (),
 ) -> DataFrame:
     """Licks and events of every chamber in light and in dark.
 
     The phase belongs to the device at that sample (any light bit set), and
-    both phases appear for every chamber. Summary ranges do not apply.
+    both phases appear for every chamber. Summary ranges do not apply. A
+    design adds the treatment and factors of the chambers.
     """
     phase = F.when(F.coalesce(F.col("opto"), F.lit(0)) != 0, "light").otherwise("dark")
     rows = labelled.withColumn("Phase", phase)
@@ -60,7 +64,7 @@ def light_phases(
         if n.startswith("Licks"):
             x = F.col(n).cast("double")
             out = out.withColumn(n, lick_transform(x) if transform_licks else x)
-    return out
+    return out if design is None else with_design(out, design, factors, by)
 
 
 def _both_wells(rows: DataFrame, mark: str, by: Sequence[str]) -> DataFrame:

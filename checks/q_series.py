@@ -19,13 +19,14 @@ WELL = [*REC, "well"]
 
 @query
 def light_phase(spark, sf):
-    got = light.light_phases(labelled(spark, sf), EVENT_PARAMS)
+    design = event_design(spark, sf)
+    got = light.light_phases(labelled(spark, sf), EVENT_PARAMS, design=design, factors=["Sex"])
     return shown(got)
 
 
 oracle(
     "light_phase",
-    f"""select g.dfm, g.chamber, g.Phase, coalesce(sec, 0.0) as PhaseSeconds,
+    f"""select g.dfm, g.chamber, g.Phase, d.Treatment, d.Sex, coalesce(sec, 0.0) as PhaseSeconds,
        {r6('power(coalesce(la, 0), 0.25)')} as LicksA, coalesce(ea, 0) as EventsA,
        {r6('power(coalesce(lb, 0), 0.25)')} as LicksB, coalesce(eb, 0) as EventsB
 from (select dfm, chamber, Phase from (select distinct dfm, chamber from lab), (values ('light'), ('dark')) p(Phase)) g
@@ -35,8 +36,10 @@ left join (select dfm, chamber, case when opto <> 0 then 'light' else 'dark' end
                   count(*) filter (side = 'A' and lick) as la, count(*) filter (side = 'B' and lick) as lb,
                   count(*) filter (side = 'A' and bout = sample) as ea,
                   count(*) filter (side = 'B' and bout = sample) as eb from lab group by all) c
-  using (dfm, chamber, Phase)""",
+  using (dfm, chamber, Phase)
+join design d using (dfm, chamber)""",
     "lab",
+    "design",
 )
 
 
