@@ -14,7 +14,14 @@ from boutspark.staging import stage
 
 # The metrics of the summary figures.
 SINGLE_FIGURE = (
-    "Licks Events MeanDuration MedDuration MeanTimeBtw MedTimeBtw MeanInt MedianInt".split()
+    "Licks",
+    "Events",
+    "MeanDuration",
+    "MedDuration",
+    "MeanTimeBtw",
+    "MedTimeBtw",
+    "MeanInt",
+    "MedianInt",
 )
 TWO_WELL_FIGURE = ["PI", "EventPI", *[f"{m}{s}" for m in SINGLE_FIGURE for s in "AB"]]
 

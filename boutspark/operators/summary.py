@@ -12,10 +12,20 @@ from boutspark.operators.bouts import feeding_bouts, feeding_intervals
 from boutspark.operators.medians import group_median
 from boutspark.params import REC, Settings, carried, value
 
+# Columns of a summary, in order.
 SINGLE_COLUMNS = (
-    "Licks Events MeanDuration MedDuration MeanTimeBtw MedTimeBtw "
-    "MeanInt MedianInt MinInt MaxInt OptoOn_sec"
-).split()
+    "Licks",
+    "Events",
+    "MeanDuration",
+    "MedDuration",
+    "MeanTimeBtw",
+    "MedTimeBtw",
+    "MeanInt",
+    "MedianInt",
+    "MinInt",
+    "MaxInt",
+    "OptoOn_sec",
+)
 # base names that have an A and a B column in two-well summaries
 PAIRED_COLUMNS = SINGLE_COLUMNS[:-1]
 TWO_WELL_COLUMNS = [
@@ -309,8 +319,17 @@ def with_design(
 
 
 # Columns of a printed report, in order.
-REPORT_TWO_WELL = "PI EventPI LicksA LicksB EventsA EventsB MedDurationA MedDurationB".split()
-REPORT_SINGLE = "Licks Events MedDuration MeanInt MedTimeBtw".split()
+REPORT_TWO_WELL = (
+    "PI",
+    "EventPI",
+    "LicksA",
+    "LicksB",
+    "EventsA",
+    "EventsB",
+    "MedDurationA",
+    "MedDurationB",
+)
+REPORT_SINGLE = ("Licks", "Events", "MedDuration", "MeanInt", "MedTimeBtw")
 
 
 def slim_summary(
