@@ -62,9 +62,9 @@ def test_token_counts_of_nothing(make):
     assert tokencount.token_counts(make([]), MODEL).count() == 0
 
 
-def test_packed_blocks_flush(make, texts, monkeypatch):
-    monkeypatch.setattr(tokencount, "BLOCK_DOCS", 7)
-    monkeypatch.setattr(tokencount, "FLUSH_SUMS", 5)
+def test_small_blocks_and_few_kept_counts(make, texts, monkeypatch):
+    monkeypatch.setattr(tokencount, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(tokencount, "KEPT", 20)
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     got = {r["doc_id"]: r["n_tokens"] for r in tokencount.token_counts(make(texts), MODEL).collect()}
     assert got == {i: len(sp.encode(t or "")) for i, t in enumerate(texts)}
