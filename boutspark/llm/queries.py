@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from boutspark.llm import bpe, decontam, extract, licenses, media, neardup, quality, suffixes, tokencount, toxicity
 from boutspark.llm.lean import small_batches
+from boutspark.llm.sides import few
 
 # Words that name the two kinds of abuse which the chain predicts before toxicity as a whole.
 INSULTS = ("idiot", "moron", "loser", "clown", "stupid")
@@ -40,12 +41,16 @@ def toxic_targets(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.coalesce(F.lower("text").rlike(r"\b(?:" + "|".join(words) + r")\b"), F.lit(False)).alias(name)
         for name, words in (("insult", INSULTS), ("contempt", CONTEMPT))
     ]
-    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null")
-    seen = docs.where("doc_id is not null").select("doc_id", *kinds)
-    return seen.join(marks, "doc_id").select(
+    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(
+        "doc_id is not null and toxic is not null"
+    )
+    # only toxic documents can be of a kind, so only their texts are searched
+    toxic = few(marks.where("toxic = 1").select("doc_id").distinct())
+    seen = docs.join(toxic, "doc_id", "left_semi").select("doc_id", *kinds)
+    return marks.join(seen, "doc_id", "left").select(
         "doc_id",
-        (F.col("insult").cast("int") * F.col("toxic")).alias("insult"),
-        (F.col("contempt").cast("int") * F.col("toxic")).alias("contempt"),
+        F.coalesce(F.col("insult").cast("int"), F.lit(0)).alias("insult"),
+        F.coalesce(F.col("contempt").cast("int"), F.lit(0)).alias("contempt"),
         "toxic",
     )
 
