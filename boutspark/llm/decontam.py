@@ -3,9 +3,9 @@
 A mask of fixed length keeps some token positions and ignores the others, so its hash
 survives substitutions at the ignored ones. Every position of every document and item is
 hashed under each mask; equal hashes put document and item on a diagonal, and each
-diagonal is verified token by token around its hits: the passage is the item's overlap
-with the document on that diagonal, widened from the hits as long as at least
-`MIN_SHARE` of its tokens are equal.
+diagonal is verified token by token: of all its stretches of `MIN_TOKENS` or more, at least
+`MIN_SHARE` of whose tokens are equal, the one with the most equal tokens is the passage,
+from its first to its last equal token (widened to `MIN_TOKENS` if that is shorter).
 
 Item hashes are joined by broadcast only when their counted number is within
 `BROADCAST_ROWS`; beyond it the same join shuffles. Documents whose texts are read again
@@ -62,6 +62,45 @@ def _seeds(df: DataFrame, id_col: str, masks=MASKS) -> DataFrame:
     return at.select(id_col, "at", F.array(*cases).alias("seeds"))
 
 
+def _best_stretch(equal: Column, min_tokens: int, min_share: float) -> Column:
+    """(n_equal, back, n) of the best stretch of a diagonal, from an equal token to an equal token; null if none.
+
+    From the k-th equal token, at p, to the l-th, at q, the share is kept where
+    k - share * p <= l + 1 - share * (q + 1). In the order of these values the least k met
+    before an l begins its longest stretch, so one sort and one pass see all stretches.
+    """
+    places = F.filter(F.transform(equal, lambda x, i: F.when(x == 1, i)), lambda i: i.isNotNull())
+
+    def ends(of: Column, side: int) -> Column:
+        return F.transform(
+            of,
+            lambda p, k: F.struct(
+                F.round((k + side - min_share * (p + side)) * 1e6).cast("bigint").alias("value"),
+                F.lit(side).alias("side"),
+                k.alias("k"),
+                p.alias("p"),
+            ),
+        )
+
+    kind = "struct<k:int,p:int,best:struct<n_equal:int,back:int,n:int>>"
+    none = F.lit(None).cast("struct<n_equal:int,back:int,n:int>")
+    zero = F.struct(F.lit(2**31 - 1).alias("k"), F.lit(0).alias("p"), none.alias("best")).cast(kind)
+
+    def step(s: Column, x: Column) -> Column:
+        first = (x["side"] == 0) & (x["k"] < s["k"])
+        n_equal, n = x["k"] - s["k"] + 1, x["p"] - s["p"] + 1
+        # with unequal tokens beside it a shorter stretch can keep the share, too
+        fits = (x["side"] == 1) & ((n >= min_tokens) | (n_equal >= min_share * min_tokens - 1e-6))
+        now = F.struct(n_equal.alias("n_equal"), (-s["p"]).alias("back"), n.alias("n"))
+        return F.struct(
+            F.when(first, x["k"]).otherwise(s["k"]).alias("k"),
+            F.when(first, x["p"]).otherwise(s["p"]).alias("p"),
+            F.when(fits, F.greatest(s["best"], now)).otherwise(s["best"]).alias("best"),
+        ).cast(kind)
+
+    return F.aggregate(F.array_sort(F.concat(ends(places, 0), ends(places, 1))), zero, step)["best"]
+
+
 def find_overlaps(
     docs: DataFrame,
     items: DataFrame,
@@ -89,9 +128,7 @@ def find_overlaps(
     read = train.select("id", tokens(F.col("text")).alias("words"))
     seeds = _seeds(read, "id", masks)
     hits = seeds.select("id", "at", F.explode("seeds").alias("seed")).join(side, "seed")
-    lanes = hits.groupBy("id", "item", (F.col("at") - F.col("place")).alias("shift")).agg(
-        F.min("place").alias("lo"), F.max("place").alias("hi")
-    )
+    lanes = hits.select("id", "item", (F.col("at") - F.col("place")).alias("shift")).distinct()
     lanes = stage(lanes, "lanes")
     # read again only what has a hit; tokens are made after the join
     texts = train.join(few(lanes.select("id").distinct()), "id", "left_semi").select(
@@ -100,48 +137,26 @@ def find_overlaps(
     both = lanes.join(texts, "id").join(test.select("item", F.col("words").alias("wanted")), "item")
     first = F.greatest(F.lit(0), -F.col("shift"))
     last = F.least(F.size("wanted"), F.size("words") - F.col("shift"))
-    both = both.select("id", "item", "shift", "lo", "hi", first.alias("first"), last.alias("last"), "words", "wanted")
+    both = both.select("id", "item", "shift", first.alias("first"), last.alias("last"), "words", "wanted")
     equal = F.zip_with(
         F.slice("wanted", F.col("first") + 1, F.col("last") - F.col("first")),
         F.slice("words", F.col("first") + F.col("shift") + 1, F.col("last") - F.col("first")),
         lambda a, b: F.when(a == b, 1).otherwise(0),
     )
-    lanes = both.select("id", "item", "shift", "first", (F.col("lo") - F.col("first")).alias("lo"),
-                        (F.col("hi") - F.col("first")).alias("hi"), equal.alias("equal"))
-    # tokens before and after the hits: the widest stretch on either side that keeps the share
-    fair = 1.0 - min_share
-
-    def widest(part: Column) -> Column:
-        """How many tokens of `part`, from its start, to take."""
-        zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.lit(0).alias("best"))
-        step = lambda s, x: F.struct(
-            (s["n"] + 1).alias("n"),
-            (s["sum"] + x - min_share).alias("sum"),
-            F.when((x == 1) & (s["sum"] + x - min_share >= -fair), s["n"] + 1).otherwise(s["best"]).alias("best"),
-        )
-        return F.aggregate(part, zero, step)["best"]
-
-    size = F.size("equal")
-    span = F.least(F.col("hi") + masks[0][-1] + 1, size)
-    left = widest(F.reverse(F.slice("equal", F.lit(1), F.col("lo"))))
-    right = widest(F.slice("equal", span + 1, F.greatest(size - span, F.lit(0))))
-    sized = lanes.select(
-        "id", "item", "shift", "first", "equal",
-        (F.col("lo") - left).alias("from"), (span + right).alias("to"),
-    )
-    spans = sized.select(
+    lanes = both.where(F.col("last") - F.col("first") >= min_tokens).select(
+        "id", "item", "shift", "first", (F.col("last") - F.col("first")).alias("size"), equal.alias("equal")
+    )
+    found = lanes.withColumn("found", _best_stretch(F.col("equal"), min_tokens, min_share)).where("found is not null")
+    # a stretch below the least length takes in tokens beside it
+    n_tokens = F.greatest(F.col("found.n"), F.lit(min_tokens))
+    sure = found.select(
         "id",
         "item",
-        (F.col("first") + F.col("shift") + F.col("from")).cast("bigint").alias("start"),
-        (F.col("to") - F.col("from")).cast("bigint").alias("n_tokens"),
-        F.aggregate(
-            F.slice("equal", F.col("from") + 1, F.col("to") - F.col("from")), F.lit(0), lambda s, x: s + x
-        )
+        (F.col("first") + F.col("shift") + F.least(-F.col("found.back"), F.col("size") - n_tokens))
         .cast("bigint")
-        .alias("n_equal"),
-    )
-    sure = spans.where(
-        (F.col("n_tokens") >= min_tokens) & (F.col("n_equal") >= min_share * F.col("n_tokens"))
+        .alias("start"),
+        n_tokens.cast("bigint").alias("n_tokens"),
+        F.col("found.n_equal").cast("bigint").alias("n_equal"),
     )
     best = sure.groupBy("id", "item").agg(
         F.max(F.struct("n_equal", (-F.col("start")).alias("back"), "n_tokens")).alias("best")

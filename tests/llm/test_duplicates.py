@@ -259,6 +259,41 @@ def test_overlaps_without_broadcast(spark, make, monkeypatch):
     assert {r["doc_id"]: r["item_id"] for r in got.collect()} == planted
 
 
+def test_two_parts_of_an_item_around_foreign_text(spark, make):
+    item = [f"i{k}" for k in range(60)]
+    other = [f"o{k}" for k in range(60)]
+    around = [f"d{k}" for k in range(30)]
+    docs = [
+        " ".join([*around, *item[:20], *other[20:40], *item[40:], *around]),
+        " ".join([*around, *item[:11], *other[11:49], *item[49:], *around]),
+        " ".join([*around, *item[:5], *other[5:20], *item[20:45], *other[45:50], *item[50:], *around]),
+        " ".join([*around, *item[:9], *other[9:51], *item[51:]]),
+    ]
+    table = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["n_equal"]) for r in decontam.find_overlaps(make(docs), table).collect()}
+    assert got == {0: (30, 20, 20), 1: (30, 12, 11), 2: (50, 40, 35)}
+    assert [r["doc_id"] for r in decontam.decontaminate(make(docs), table).collect()] == [3]
+
+
+def plain_stretch(equal, least=12):
+    """Most equal tokens of any stretch that keeps 4 of 5."""
+    total = np.r_[0, np.cumsum(equal)]
+    return max(
+        (int(total[e] - total[s]) for s in range(len(equal)) for e in range(s + least, len(equal) + 1)
+         if 5 * (total[e] - total[s]) >= 4 * (e - s)), default=None,
+    )
+
+
+def test_the_best_stretch_of_any_diagonal(spark):
+    r = random.Random(4)
+    rows = [[int(r.random() < p) for _ in range(r.randrange(60))] for p in (0.5, 0.7, 0.8, 0.9) for _ in range(100)]
+    # a diagonal shorter than the least length is dropped before
+    rows = [x for x in rows if len(x) >= 12]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, equal array<int>")
+    got = df.select("i", decontam._best_stretch(df.equal, 12, 0.8).alias("b")).collect()
+    assert {g["i"]: g["b"] and g["b"]["n_equal"] for g in got} == {i: plain_stretch(x) for i, x in enumerate(rows)}
+
+
 def test_overlaps_of_nothing(spark, make):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontam.find_overlaps(make(["a b c"]), none).count() == 0
