@@ -1,6 +1,7 @@
 """Near-duplicates, repeated strings, components and contamination against plain versions."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -294,6 +295,40 @@ def test_the_best_stretch_of_any_diagonal(spark):
     assert {g["i"]: g["b"] and g["b"]["n_equal"] for g in got} == {i: plain_stretch(x) for i, x in enumerate(rows)}
 
 
+def test_masks_fit_into_every_passage():
+    """All ways to change 2 of 12, 3 of 15, 4 of 20 and 5 of 25 tokens; longer passages hold one of these."""
+    for n, k in ((12, 2), (15, 3), (20, 4), (25, 5)):
+        at = np.array([*itertools.combinations(range(n), k)])
+        changed = (1 << at).sum(axis=1)
+        hit = np.zeros(len(changed), bool)
+        for mask in decontam.MASKS:
+            for s in range(n - mask[-1]):
+                hit |= changed & sum(1 << (s + p) for p in mask) == 0
+        assert hit.all(), (n, at[~hit][0])
+
+
+def test_overlaps_with_changed_tokens(spark, make):
+    r = random.Random(6)
+    around = [f"d{k}" for k in range(20)]
+    items, docs = [], []
+
+    def plant(n, at):
+        item = [f"i{len(items)}x{k}" for k in range(n)]
+        items.append(" ".join(item))
+        docs.append(" ".join([*around, *["other" if k in at else w for k, w in enumerate(item)], *around]))
+
+    for at in itertools.combinations(range(12), 2):
+        plant(12, at)
+    plant(15, (3, 7, 11))
+    for n in (15, 16, 20, 24, 30, 100, 504):
+        plant(n, range(4, n, 5))
+        for _ in range(10):
+            plant(n, r.sample(range(n), n // 5))
+    table = spark.createDataFrame([*enumerate(items)], "item_id bigint, text string")
+    got = decontam.find_overlaps(make(docs), table).collect()
+    assert sorted((g["doc_id"], g["item_id"]) for g in got) == [(i, i) for i in range(len(items))]
+
+
 def test_overlaps_of_nothing(spark, make):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontam.find_overlaps(make(["a b c"]), none).count() == 0
