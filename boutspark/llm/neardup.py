@@ -5,8 +5,8 @@
    the first round that reaches it; from round `BINS` on, round i fills bin i - BINS. So
    every coordinate fills, after few rounds for larger sets.
 2. Texts with equal sets are one class; only class representatives go on. Their sketches
-   are cut into `BANDS` bands of `ROWS` coordinates; equal bands make a bucket. Two sets of
-   similarity 0.85 miss each other in all bands with probability below 1e-6.
+   are cut into bands of `rows_of(percent)` coordinates; equal bands make a bucket. Two sets
+   of the similarity asked for miss each other in all bands with probability below `MISS`.
 3. In every bucket the least representative is compared with all others on full sets: at
    most one comparison per row of a bucket. Links are joined to components.
 4. Pairs of a bucket that are still in different components, and whose sketches do not
@@ -42,8 +42,8 @@ from boutspark.staging import stage
 SHINGLE = 5
 PERCENT = 85
 BINS = 128
-ROWS = 5
-BANDS = BINS // ROWS
+#: Bound of the probability that two sets just similar enough share no bucket.
+MISS = 1e-6
 #: Rows of a piece of a bucket; two pieces meet in one block of the last step.
 BLOCK = 500
 #: Elements of the block's sets that are counted at a time.
@@ -110,13 +110,19 @@ def sketch(values: np.ndarray, bins: int = BINS) -> np.ndarray:
     return out
 
 
-def bands(coordinates: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def rows_of(percent: int) -> int:
+    """Coordinates of a band: as many as keep the bound on misses (85: 25 bands of 5, 80: 32 of 4)."""
+    share = percent / 100
+    return max([1, *(r for r in range(1, 17) if (1 - share**r) ** (BINS // r) < MISS)])
+
+
+def bands(coordinates: np.ndarray, rows: int) -> np.ndarray:
     n = len(coordinates) // rows
     total = (coordinates[: n * rows].reshape(n, rows) * _ODD[8 : 8 + rows]).sum(axis=1, dtype=np.uint64)
     return mix(total + np.arange(n, dtype=np.uint64) * _GOLD)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_128_digest
 
     for batch in batches:
@@ -129,7 +135,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(values):
                     coordinates = sketch(values)
                     digests.append(xxh3_128_digest(values.tobytes()))
-                    keys.append(bands(coordinates).view(np.int64))
+                    keys.append(bands(coordinates, rows).view(np.int64))
                     low.append((coordinates & np.uint64(255)).astype(np.uint8).tobytes())
                 else:
                     digests.append(None)
@@ -264,9 +270,10 @@ def near_duplicates(
     """(id, n_shingles, component_id, kept) of every row."""
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    band = rows_of(percent)
     signed = stage(
         docs.mapInArrow(
-            lean(_signatures), "id bigint, n bigint, digest binary, bands array<bigint>, low binary"
+            lean(lambda batches: _signatures(batches, band)), "id bigint, n bigint, digest binary, bands array<bigint>, low binary"
         ),
         "signatures",
     )

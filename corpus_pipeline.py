@@ -3,7 +3,7 @@
 Every stage takes (spark, docs, sf_dir) and works on all documents that the stage before kept:
 
 1. quality: documents that the quality classifier rejects go.
-2. near_duplicates: of every group of near copies the document with the least id stays.
+2. near_duplicates: of every group of near copies (5-word shingles, similarity 0.8) the document with the least id stays.
 3. repeats: byte strings of 200 or more that occur elsewhere are cut out; every document
    stays, with `n_chars` counted anew, also when nothing of its text is left.
 4. decontaminate: documents with a verified passage of a benchmark item go.
@@ -25,6 +25,10 @@ from boutspark.llm.lean import small_batches
 from boutspark.staging import stage
 
 
+# Fixed value: shingle similarity from which documents are near copies (op5 asks for 85).
+NEAR_PERCENT = 80
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,7 +41,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return neardup.keep_first(docs)
+    return neardup.keep_first(docs, percent=NEAR_PERCENT)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

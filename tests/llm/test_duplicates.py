@@ -75,6 +75,18 @@ def test_near_duplicates(make):
     assert sorted(g["n_shingles"] for g in got) == sizes
 
 
+def test_near_duplicates_at_80(make):
+    rows = [r for r in near_rows(11) if r[0] not in (5, None)]
+    got = neardup.near_duplicates(make(rows), percent=80).collect()
+    assert {g["doc_id"]: g["component_id"] for g in got} == plain_near(rows, 80)
+
+
+@pytest.mark.parametrize(("percent", "rows"), [(85, 5), (80, 4)])
+def test_bands_for_a_similarity(percent, rows):
+    assert neardup.rows_of(percent) == rows
+    assert (1 - (percent / 100) ** rows) ** (neardup.BINS // rows) < 1e-6
+
+
 def test_near_duplicates_of_nothing(make):
     assert neardup.near_duplicates(make([])).count() == 0
     assert neardup.near_duplicates(make([None, ""])).where("kept").count() == 2

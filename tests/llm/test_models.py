@@ -150,6 +150,14 @@ def test_pipeline_decisions(spark, stages):
         assert (lost > 0) == (removed[r["doc_id"]] > 0)
 
 
+def test_pipeline_drops_near_copies_from_080(spark):
+    words = [f"w{i}" for i in range(200)]
+    copy = [f"x{i}" if i in (20, 70, 120, 170) else w for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy))], "doc_id bigint, text string")
+    # 176 of 216 shingles: 0.81
+    assert [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()] == [1]
+
+
 def test_pipeline_run_equals_stages(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, stages[-1].collect()))
