@@ -243,7 +243,10 @@ class Encoder:
         self._old: dict[str, tuple] = {}
 
     def _matches(self, chunk: str) -> list[str]:
-        return [chunk] if chunk[1:].isalpha() else self._find(chunk)
+        # letters behind a space or a letter; behind other signs, such as an apostrophe, the pattern decides
+        if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+            return [chunk]
+        return self._find(chunk)
 
     def _codes(self, words: set[str]) -> dict[str, list[int]]:
         codes: dict[str, list[int]] = {}

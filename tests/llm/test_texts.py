@@ -86,6 +86,13 @@ def test_bpe_equals_the_library(make, texts):
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_bpe_of_texts_that_start_with_a_sign(make):
+    words = ["'still here", "'see", "'several of them", "'tis", "'Re 'LL", "(still so", "1st of", "-see", "_s", "\tstill", "é'see a"]
+    own = library()
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(make(words), RANKS, P.PATTERN).collect()}
+    assert got == {i: own.encode_ordinary(t) for i, t in enumerate(words)}
+
+
 def test_bpe_round_trip_of_ids(make, texts):
     encoded = bpe.encode(make(texts), RANKS, P.PATTERN)
     own = library()
