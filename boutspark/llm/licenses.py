@@ -7,8 +7,8 @@ usually are one line of a document. No text is compared with another.
 
 Defined results: null and empty texts, and texts without letters or digits, have the
 digest of "" and match nothing; of several known texts with one digest the least name
-counts; repeated rows with repeated or null ids give one row each (they are told apart by
-row, not by id); an empty table gives an empty result; other columns are ignored.
+counts; repeated rows with repeated or null ids give one row each, with the notices of
+their own text (no id is a key of a group or join); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutspark.llm.sides import few
+from boutspark.staging import stage
 
 #: Known texts up to this number are joined by broadcast (their digests take some 100 bytes each).
 BROADCAST_ROWS = 20_000
@@ -127,38 +128,32 @@ def scan(
         .agg(F.min("license").alias("license"))
     )
     side = few(digests, BROADCAST_ROWS)
-    base = docs.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("lines"))
-    # whole texts and their lines are looked up alike; a line stands for itself only
-    units = base.select(
-        "id",
-        F.explode(
-            F.concat(
-                F.array(
-                    F.struct(
-                        F.lit(True).alias("whole"), words_digest(F.col("lines")).alias("digest")
-                    )
-                ),
-                F.transform(
-                    F.filter(F.split("lines", "\n"), lambda x: F.length(F.trim(x)) > 0),
-                    lambda x: F.struct(F.lit(False).alias("whole"), F.sha2(F.trim(x), 256).alias("digest")),
-                ),
-            )
-        ).alias("unit"),
-    ).select("id", "unit.whole", "unit.digest")
-    found = units.join(side, "digest", "left").where(F.col("whole") | F.col("license").isNotNull())
-    return found.transform(lambda df: _per_document(df, id_col))
-
-
-def _per_document(found: DataFrame, id_col: str) -> DataFrame:
-    """One row per whole text; notices of rows with one id and text are shared out evenly."""
-    per = found.groupBy("id").agg(
-        F.collect_list(F.when(F.col("whole"), F.struct("digest", "license"))).alias("wholes"),
-        F.sort_array(F.collect_set(F.when(~F.col("whole"), F.col("license")))).alias("names"),
-        F.count(F.when(~F.col("whole"), 1)).alias("n"),
+    lines = canonical(F.col(text_col))
+    # rows of one canonical text have the same notices, so these are found once per text, by its digest
+    marks = (
+        docs.select(lines.alias("lines"))
+        .select(F.sha2("lines", 256).alias("lines_digest"), F.posexplode(F.split("lines", "\n")).alias("at", "line"))
+        .where(F.length(F.trim("line")) > 0)
+        .select("lines_digest", "at", F.sha2(F.trim("line"), 256).alias("digest"))
+        .join(side, "digest")
+        .select("lines_digest", "at", "license")
+        .distinct()
+    )
+    notices = stage(
+        marks.groupBy("lines_digest").agg(
+            F.count("*").alias("n_notices"),
+            F.array_join(F.sort_array(F.collect_set("license")), ", ").alias("notices"),
+        ),
+        "notices",
+    )
+    rows = docs.select(F.col(id_col), lines.alias("lines")).select(
+        id_col, words_digest(F.col("lines")).alias("digest"), F.sha2("lines", 256).alias("lines_digest")
+    )
+    found = rows.join(side, "digest", "left").join(few(notices, BROADCAST_ROWS), "lines_digest", "left")
+    return found.select(
+        id_col,
+        "digest",
+        "license",
+        F.coalesce("n_notices", F.lit(0)).cast("bigint").alias("n_notices"),
+        F.coalesce("notices", F.lit("")).alias("notices"),
     )
-    return per.select(
-        F.col("id").alias(id_col),
-        F.explode("wholes").alias("w"),
-        F.array_join("names", ", ").alias("notices"),
-        (F.col("n") / F.size("wholes")).cast("bigint").alias("n_notices"),
-    ).select(id_col, "w.digest", "w.license", "n_notices", "notices")

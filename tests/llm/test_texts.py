@@ -251,3 +251,11 @@ def test_license_scan(make):
     ]
     assert found == sorted(map(str, want))
     assert licenses.scan(make([])).count() == 0
+
+
+def test_licenses_of_rows_with_one_id(make):
+    notice = "Released under the MIT License."
+    rows = [(None, f"{notice}\nx"), (None, "clean"), (3, f"{notice}\n{notice}"), (3, "clean"), (3, f"x\n{notice}"), (None, f"{notice}\nx")]
+    got = licenses.scan(make(rows)).collect()
+    found = sorted((r["doc_id"] or 0, r["n_notices"], r["notices"]) for r in got)
+    assert found == [(0, 0, ""), (0, 1, "MIT"), (0, 1, "MIT"), (3, 0, ""), (3, 1, "MIT"), (3, 2, "MIT")]
