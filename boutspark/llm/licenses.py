@@ -13,12 +13,17 @@ their own text (no id is a key of a group or join); an empty table gives an empt
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutspark.llm.sides import few
 from boutspark.staging import stage
 
+#: Whole licence texts, one file each, named by identifier; read on the driver.
+TEXTS = Path(__file__).resolve().parent / "license_texts"
 #: Known texts up to this number are joined by broadcast (their digests take some 100 bytes each).
 BROADCAST_ROWS = 20_000
 
@@ -42,7 +47,7 @@ COPYRIGHT_LINE = (
 )
 
 # Short notices and short licence texts, by name.
-KNOWN = (
+SHORT = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("MIT", "Released under the MIT License."),
@@ -92,6 +97,46 @@ PERFORMANCE OF THIS SOFTWARE.""",
     ),
 )
 
+# Identifiers that stand in SPDX lines, beside those above.
+SPDX = (
+    "0BSD", "AFL-3.0", "Artistic-2.0", "BSD-2-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0",
+    "CC0-1.0", "CDDL-1.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "MIT-0", "MPL-1.1", "MPL-2.0", "MS-PL", "OFL-1.1",
+    "PostgreSQL", "Python-2.0", "Unlicense", "WTFPL", "Zlib",
+)
+# Families with three forms of identifier: bare, -only and -or-later.
+FAMILIES = (
+    "AGPL-3.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0",
+)
+#: Where the terms of a long text end; what follows tells how to apply them and is often left out.
+END = "END OF TERMS AND CONDITIONS"
+
+
+def _forms(text: str) -> set[str]:
+    """A text, the same without its appendix, without its title, and without the blank of a right holder."""
+    forms = {text}
+    if END in text:
+        forms.add(text[: text.index(END) + len(END)])
+        forms.add(text[: text.index(END)])
+    title, _, rest = text.partition("\n\n")
+    if "\n" not in title and title.endswith("License") and rest:
+        forms |= {rest, f"The {title}\n\n{rest}"}
+    return forms | {re.sub(r"(?m)^.*Copyright \[yyyy\].*$", "", x) for x in forms}
+
+
+def _known() -> tuple[tuple[str, str], ...]:
+    """(name, text) of the short ones above, of the SPDX lines and of the whole texts in `license_texts`."""
+    names = [(x, x) for x in SPDX]
+    for x in FAMILIES:
+        names += [(x, x), (x, f"{x}-only"), (f"{x}-or-later", f"{x}-or-later")]
+    lines = [(name, f"SPDX-License-Identifier: {x}") for name, x in names]
+    whole = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt"))]
+    whole += [(name, text) for name, text in SHORT if "\n" in text]
+    forms = [(name, form) for name, text in whole for form in sorted(_forms(text))]
+    return tuple(dict.fromkeys([*SHORT, *lines, *forms]))
+
+
+KNOWN = _known()
+
 
 def canonical(text: Column) -> Column:
     """Canonical lines of a text, joined by new lines."""

@@ -259,3 +259,16 @@ def test_licenses_of_rows_with_one_id(make):
     got = licenses.scan(make(rows)).collect()
     found = sorted((r["doc_id"] or 0, r["n_notices"], r["notices"]) for r in got)
     assert found == [(0, 0, ""), (0, 1, "MIT"), (0, 1, "MIT"), (3, 0, ""), (3, 1, "MIT"), (3, 2, "MIT")]
+
+
+def test_whole_texts_and_lines_of_usual_licenses(make):
+    names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"]
+    texts = [(licenses.TEXTS / f"{n}.txt").read_text() for n in names]
+    apache = texts[0][: texts[0].index("APPENDIX")]
+    filled = texts[0].replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2019 Some Body")
+    bare = texts[2].partition("\n\n")[2]
+    lines = ["GPL-2.0-only", "GPL-3.0-or-later", "MPL-2.0", "Unlicense"]
+    docs = [*texts, apache, filled, f"Copyright (c) 2020, X\n\n{bare}", *[f"// SPDX-License-Identifier: {x}" for x in lines]]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(make(docs)).collect()}
+    want = [*names, "Apache-2.0", "Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0-or-later", "MPL-2.0", "Unlicense"]
+    assert got == dict(enumerate(want))
