@@ -59,6 +59,17 @@ def error_counts(rows: DataFrame, keys: Sequence[str], code: str = "error_code")
     return per_key.select(*keys, "NonNull", "Flagged", F.inline(pairs))
 
 
+def _present(text: Column) -> Column:
+    """An entry of an error column without outer blanks; null if nothing is left."""
+    return F.when(F.trim(text) != "", F.trim(text))
+
+
+def _is_flag(text: Column) -> Column:
+    """A number is a flag unless it is 0, a word unless it is "na"."""
+    number = text.try_cast("double")
+    return F.when(number.isNotNull(), number != 0).otherwise(text.isNotNull() & (F.lower(text) != "na"))
+
+
 def error_columns(rows: DataFrame, keys: Sequence[str], errors: str = "errors") -> DataFrame:
     """Present, missing and flagged entries of every error column (a map of names to text).
 
@@ -66,13 +77,9 @@ def error_columns(rows: DataFrame, keys: Sequence[str], errors: str = "errors")
     flagged whole numbers are counted by name.
     """
     entries = rows.select(*keys, F.explode(errors).alias("Column", "_text"))
-    text = F.trim(F.col("_text"))
-    entries = entries.withColumn("_text", F.when(text != "", text))
-    number = F.expr("try_cast(_text as double)")
+    entries = entries.withColumn("_text", _present(F.col("_text")))
     code = F.expr("try_cast(_text as bigint)")
-    flagged = F.when(number.isNotNull(), number != 0).otherwise(
-        F.col("_text").isNotNull() & (F.lower("_text") != "na")
-    )
+    flagged = _is_flag(F.col("_text"))
     entries = entries.withColumn("_flagged", flagged).withColumn("_code", F.when(F.col("_flagged"), code))
     return entries.groupBy(*keys, "Column").agg(
         F.count("_text").alias("NonMissing"),
@@ -97,8 +104,12 @@ def integrity(
     clock: str | None = "ts",
     index: str | None = "sample",
     code: str | None = "error_code",
+    errors: str | None = None,
 ) -> DataFrame:
-    """Rows, start, end, elapsed minutes, flagged rows, index steps of one each."""
+    """Rows, start, end, elapsed minutes, flagged rows, index steps of one each.
+
+    With `errors`, a map of error columns, a row is flagged if any of them is.
+    """
     if index:
         rows = ordered_scan(rows, keys, ["pos"], lags={"_index": F.col(index)})
     aggs = [
@@ -110,7 +121,11 @@ def integrity(
             F.min_by(clock, "pos").alias("StartTime"),
             F.max_by(clock, "pos").alias("EndTime"),
         ]
-    if code:
+    if errors:
+        entries = F.coalesce(F.map_values(errors), F.array().cast("array<string>"))
+        any_flag = F.exists(entries, lambda x: F.coalesce(_is_flag(_present(x)), F.lit(False)))
+        aggs.append(F.sum(any_flag.cast("bigint")).alias("Flagged"))
+    elif code:
         aggs.append(
             F.sum((F.coalesce(F.col(code), F.lit(0)) != 0).cast("bigint")).alias("Flagged")
         )

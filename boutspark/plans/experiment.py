@@ -27,6 +27,8 @@ class BasicAnalysis(NamedTuple):
     intervals: DataFrame
     well_rows: DataFrame | None
     weighted: DataFrame | None
+    #: Entries of every error column, where the samples carry `errors`.
+    errors: DataFrame | None = None
 
 
 def detect_contacts(
@@ -94,6 +96,7 @@ def basic_analysis(
             clock="ts" if "ts" in base.columns else None,
             index="sample" if "sample" in base.columns else None,
             code="error_code" if "error_code" in base.columns else None,
+            errors="errors" if "errors" in base.columns else None,
         ),
         breaks=quality.data_breaks(
             quality.device_ticks(base, seconds, by), by, settings.samples_per_second, multiplier, seconds
@@ -105,6 +108,7 @@ def basic_analysis(
         intervals=feeding_intervals(labelled, settings, by),
         well_rows=groups.well_rows(table, factors, "MedDuration", by) if hedonic and two else None,
         weighted=groups.weighted_durations(table) if hedonic and two else None,
+        errors=quality.error_columns(base, keys) if "errors" in base.columns else None,
     )
 
 

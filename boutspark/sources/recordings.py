@@ -211,8 +211,9 @@ def _scan(spark: SparkSession, paths: Sequence[str], version: int) -> DataFrame:
 
 
 def samples_from_ticks(ticks: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """One row per well and tick: training mark removed, light bit decoded."""
-    keep = [*REC, "version", "chunk", "pos", "sample", "seconds", "minutes", *extra]
+    """One row per well and tick: training mark removed, light bit decoded; error columns stay."""
+    carried = [c for c in ("error_code", "errors") if c in ticks.columns and c not in extra]
+    keep = [*REC, "version", "chunk", "pos", "sample", "seconds", "minutes", *carried, *extra]
     opto = F.col("OptoCol1") if "OptoCol1" in ticks.columns else F.lit(None).cast("bigint")
     rows = wells_long(ticks.withColumn("opto", opto), [*keep, "opto"])
     signal = F.when(

@@ -328,6 +328,34 @@ oracle(
 )
 
 
+# the code of the events, and a column of words made from it
+STATE = "case when error_code = 0 then 'na' when error_code % 3 = 0 then '' when error_code % 3 = 1 then 'bad' else 'worse' end"
+
+
+@query
+def error_columns(spark, sf):
+    """Two error columns, one of them words; rows that either flags."""
+    rows = event_recording(spark, sf).withColumn(
+        "errors", F.expr(f"map('Code', cast(error_code as string), 'State', {STATE})")
+    )
+    counts = quality.error_columns(rows, REC).select(*REC, "Column", "NonMissing", "Missing", "Flagged")
+    flagged = quality.integrity(rows, REC, index=None, errors="errors").select(*REC, F.col("Flagged").alias("AnyFlagged"))
+    return shown(counts.join(flagged, list(REC)))
+
+
+oracle(
+    "error_columns",
+    f"""select c.*, a.n as AnyFlagged from (
+select dfm, 'Code' as "Column", count(error_code) as NonMissing, count(*) - count(error_code) as Missing,
+       count(*) filter (error_code <> 0) as Flagged from sig group by dfm
+union all
+select dfm, 'State', count(*) filter (state <> ''), count(*) filter (state = ''),
+       count(*) filter (state in ('bad', 'worse')) from (select dfm, {STATE} as state from sig) group by dfm
+) c join (select dfm, count(*) filter (error_code <> 0) as n from sig group by dfm) a using (dfm)""",
+    "sig",
+)
+
+
 def checked(spark, sf):
     return quality.integrity(event_recording(spark, sf), WELL)
 

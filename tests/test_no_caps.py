@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from boutspark import staging
 from boutspark.functions import tails
-from boutspark.operators import quality, stats
-from boutspark.params import REC
-from boutspark.plans.experiment import load_window
-from boutspark.sources.recordings import natural_key, read_ticks
+from boutspark.operators import access, quality, stats
+from boutspark.params import REC, Params
+from boutspark.plans.experiment import basic_analysis, detect_contacts, load_window
+from boutspark.sources.recordings import natural_key, read_ticks, samples_from_ticks
 from boutspark.staging import release, run_folder, stage
 
 WELLS = [f"W{w}" for w in range(1, 13)]
@@ -134,3 +134,19 @@ def test_staged_tables_can_be_released(spark, tmp_path, monkeypatch):
     assert release(spark) and not folder.exists()
     assert not release(spark)
     assert stage(spark.range(3), "numbers").count() == 3
+
+
+def test_basic_analysis_judges_every_error_column(spark, tmp_path):
+    head = ["Sample", "Seconds", *WELLS, "I2CError", "StateError"]
+    states = ["na", "bad", "", "0", "worse", "na"]
+    rows = [[i + 1, i / 5, *[1.0] * 12, 5 if i == 5 else 0, states[i]] for i in range(6)]
+    write(tmp_path / "one" / "data" / "DFM1_1.csv", head, rows)
+    params = Params.two_well()
+    samples = samples_from_ticks(read_ticks(spark, str(tmp_path)))
+    seated = access.seat_samples(samples, access.seats_from_params(spark, params))
+    base, labelled = detect_contacts(seated, params)
+    design = spark.createDataFrame([("one", 1, c, "T") for c in range(1, 7)], "project string, dfm int, chamber int, Treatment string")
+    found = basic_analysis(base, labelled, design, params)
+    assert {r["Flagged"] for r in found.integrity.collect()} == {3}
+    counts = {(r["Column"], r["Flagged"], r["Missing"]) for r in found.errors.collect()}
+    assert counts == {("I2CError", 1, 0), ("StateError", 2, 1)}
