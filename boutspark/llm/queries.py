@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutspark.llm import bpe, decontam, extract, licenses, media, neardup, quality, suffixes, tokencount, toxicity
+from boutspark.llm import (
+    bpe,
+    decontam,
+    extract,
+    licenses,
+    media,
+    mixing,
+    neardup,
+    quality,
+    suffixes,
+    tokencount,
+    toxicity,
+)
 from boutspark.llm.lean import small_batches
 from boutspark.llm.sides import few
 
@@ -88,6 +100,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "times")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -101,6 +118,7 @@ QUERIES = {
         op8_main_text,
         op9_contamination,
         op10_bpe,
+        op12_mixture,
     )
 }
 
