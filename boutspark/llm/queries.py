@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutspark.llm import (
+    alignment,
     bpe,
     decontam,
     extract,
@@ -105,6 +106,11 @@ def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "times")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf_dir, "documents"), a, b)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -119,6 +125,7 @@ QUERIES = {
         op9_contamination,
         op10_bpe,
         op12_mixture,
+        op13_alignment,
     )
 }
 
