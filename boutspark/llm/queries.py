@@ -15,6 +15,7 @@ from boutspark.llm import (
     media,
     mixing,
     neardup,
+    negatives,
     quality,
     suffixes,
     tokencount,
@@ -101,6 +102,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components in 256ths; every label of an id divisible by 7 is moved to the next."""
+    rows = table(spark, sf_dir, "embeddings")
+    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = rows.where(F.col("embedding").isNotNull() & ~odd).select(
+        "vec_id",
+        F.expr("if(vec_id % 7 = 0, (cast(label as bigint) + 1) % 10, label)").alias("label"),
+        F.expr("transform(embedding, x -> floor(256 * cast(x as double)))").alias("vector"),
+    )
+    return negatives.mine(rows, every=100, positives=5, negatives=10, low=30, high=90)
+
+
 def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "times")
@@ -124,6 +137,7 @@ QUERIES = {
         op8_main_text,
         op9_contamination,
         op10_bpe,
+        op11_hard_negatives,
         op12_mixture,
         op13_alignment,
     )
@@ -164,4 +178,26 @@ left join known k using (digest) left join notices n on n.row = b.row
 """
 
 
-ORACLES = {"op1_license_scan": _license_sql()}
+_NEGATIVES_SQL = """
+with rows as (
+  select vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scores as (
+  select a.vec_id as anchor_id, a.label = r.label as same, r.vec_id, list_inner_product(a.q, r.q)::bigint as score
+  from rows a join rows r on a.vec_id <> r.vec_id where a.vec_id % 100 = 0
+), positives as (
+  select * from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, p.vec_id as positive_id,
+       row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id)::int as rank,
+       n.vec_id as negative_id, p.score as positive_score, n.score as negative_score
+from positives p join scores n
+  on n.anchor_id = p.anchor_id and not n.same and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score
+qualify rank <= 10
+"""
+
+ORACLES = {"op1_license_scan": _license_sql(), "op11_hard_negatives": _NEGATIVES_SQL}
