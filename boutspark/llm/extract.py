@@ -5,7 +5,8 @@ and commas to its parent and, halved, to its grandparent; a container's points a
 discounted by its share of linked text and adjusted by the wording of its class and id.
 The best container and the siblings that score or read like it are kept; blocks of
 menus, headers, footers, sidebars, notices, adverts, forms and comments are left out
-by tag, role and wording before and inside it.
+by tag, role and wording before and inside it, but wording alone removes no element that
+holds an article or most of a page's text. Time is linear in a page's length and nesting.
 
 Pages are independent: one pass without a shuffle.
 
@@ -18,7 +19,8 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,6 +60,20 @@ UNLIKELY = re.compile(
     r"contentinfo|navigation|search|alert|dialog)(?:$|[\s_-])",
     re.I,
 )
+# names of such a part as a whole, beside single words of the list above
+WHOLE = re.compile(
+    r"comments?[-_](?:list|area|section|thread|wrapper|container|body)|commentlist|site-footer|related[-_](?:posts|articles|stories)",
+    re.I,
+)
+# wording such as "main-header content" or "entry-header" names the article's own parts
+OWN = re.compile(
+    r"\b(?:article|main|content|entry|post)[\w-]*(?:body|text|content)\b|"
+    r"\b(?:article|content|entry|post|story|single)[-_]{1,2}(?:header|head)\b",
+    re.I,
+)
+#: Share of a page's unlinked text above which wording alone does not remove an element, and
+#: the share that must stand beside an element whose whole name says what it is.
+MOST, LEAST = 0.3, 0.2
 LIKELY = re.compile(r"article|body|content|entry|hentry|main|post|story|text|blog", re.I)
 
 _TAG = re.compile(
@@ -67,6 +83,7 @@ _TAG = re.compile(
 )
 _NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_END_OF = {name: re.compile("</" + name, re.I | re.A) for name in RAW}
 _WHITE = re.compile(r"\s+")
 
 
@@ -79,12 +96,63 @@ class Node:
         self.score = 0.0
 
 
+class _Open:
+    """The open elements from the root down; where each tag stands, so that no step walks up."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.where: dict[str, list[int]] = {root.tag: [0]}
+        self.blocks = [0]
+
+    def push(self, node: Node) -> None:
+        at = len(self.stack)
+        self.stack.append(node)
+        self.where.setdefault(node.tag, []).append(at)
+        if node.tag in BLOCK:
+            self.blocks.append(at)
+
+    def last(self, tag: str) -> int:
+        places = self.where.get(tag)
+        return places[-1] if places else -1
+
+    def close(self, at: int) -> None:
+        """Close the element at this place and all inside it."""
+        while len(self.stack) > at:
+            node = self.stack.pop()
+            self.where[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+    def end(self, name: str) -> None:
+        at = self.last(name)
+        # an end tag inside a table does not reach beyond it
+        if at > 0 and (at >= self.last("table") or name in ("body", "html")):
+            self.close(at)
+
+    def start(self, name: str) -> None:
+        """Close what the start of such an element ends."""
+        if name in ENDS_P and self.stack[self.blocks[-1]].tag == "p":
+            self.close(self.blocks[-1])
+        if name in CLOSES:
+            ended, within = CLOSES[name]
+            scope = max(map(self.last, within))
+            ends = []
+            for tag in ended.split():
+                places = self.where.get(tag, [])
+                k = bisect_right(places, scope)
+                if k < len(places):
+                    ends.append(places[k])
+            if ends:
+                self.close(min(ends))
+
+
 def parse(page: str) -> Node:
     """The tree of a page; what scripts, styles and comments hold is skipped."""
-    root = node = Node("html", None)
+    root = Node("html", None)
+    open_ = _Open(root)
     at, end = 0, len(page)
-    low = None
     while at < end:
+        node = open_.stack[-1]
         m = _TAG.search(page, at)
         if m is None:
             node.inside.append(page[at:])
@@ -97,28 +165,12 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if slash:
-            up = node
-            while up is not None and up.tag != name:
-                # an end tag inside a cell or item does not reach beyond it
-                up = None if up.tag in ("table",) and name not in ("body", "html") else up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            open_.end(name)
             continue
         if name in ("html", "body") and node is root:
             continue
-        if name in ENDS_P:
-            up = node
-            while up is not None and up.tag not in BLOCK:
-                up = up.parent
-            if up is not None and up.tag == "p":
-                node = up.parent
-        if name in CLOSES:
-            ended, within = CLOSES[name]
-            up = node
-            while up is not None and up.tag not in within:
-                if up.tag in ended.split():
-                    node = up.parent
-                up = up.parent
+        open_.start(name)
+        node = open_.stack[-1]
         named, gone = "", name in DROPPED
         if rest and not rest.isspace():
             for key, value in _NAMED.findall(rest):
@@ -132,48 +184,65 @@ def parse(page: str) -> Node:
         new = Node(name, node, named, gone)
         node.inside.append(new)
         if name in RAW:
-            low = page.lower() if low is None else low
-            stop = low.find("</" + name, at)
-            if stop < 0:
+            stop = _END_OF[name].search(page, at)
+            if stop is None:
                 # an unclosed script hides the rest, as in browsers
                 at = end
             else:
-                close = page.find(">", stop)
+                close = page.find(">", stop.end())
                 at = end if close < 0 else close + 1
-        elif name not in VOID and not rest.endswith("/"):
-            node = new
-        elif name not in VOID and name in BLOCK:
-            node = new
+        elif name not in VOID and (name in BLOCK or not rest.endswith("/")):
+            open_.push(new)
     return root
 
 
-def _unwanted(node: Node) -> bool:
-    if node.gone:
-        return True
-    if node.tag in ("html", "body", "article", "main"):
-        return False
-    if node.tag == "header":
-        # a page's header, not an article's
-        up = node.parent
-        while up is not None:
-            if up.tag in ("article", "main", "section"):
-                return False
-            up = up.parent
-        return True
-    if node.named and UNLIKELY.search(node.named):
-        # wording such as "main-header content" still names the article's own parts
-        return not re.search(r"\b(?:article|main|content|entry|post)[\w-]*(?:body|text|content)\b", node.named, re.I)
-    return False
-
-
-def _prune(node: Node) -> None:
+def _keep(node: Node, wanted: Callable[[Node, Node], bool]) -> None:
     stack = [node]
     while stack:
         n = stack.pop()
-        n.inside = [c for c in n.inside if isinstance(c, str) or not _unwanted(c)]
+        n.inside = [c for c in n.inside if isinstance(c, str) or wanted(n, c)]
         stack.extend(c for c in n.inside if not isinstance(c, str))
 
 
+def _prune(root: Node) -> None:
+    """Leave out what tags, styles and wording name as no part of the article.
+
+    Wording alone decides only about parts: what holds an article or a large share of the
+    page's unlinked text is a wrapper whatever it is called, unless its whole name is that of
+    a comment section, menu or the like and enough text stands beside it.
+    """
+    _keep(root, lambda _n, c: not c.gone)
+    size = _measure(root)
+    free = {k: chars - linked for k, (chars, linked, _) in size.items()}
+    holds = {id(n) for n in _walk(root) if n.tag in ("article", "main") and free[id(n)]}
+    marked = bool(holds)  # the page says where its article is
+    for n in _walk(root):
+        if id(n) in holds and n.parent is not None:
+            holds.add(id(n.parent))
+    page = max(free[id(root)], 1)
+    inside: set[int] = set()  # nodes inside an article's own elements or wording
+
+    def wanted(parent: Node, node: Node) -> bool:
+        within = id(parent) in inside
+        if within or node.tag in ("article", "main", "section") or node.named and LIKELY.search(node.named):
+            inside.add(id(node))
+        if node.tag in ("article", "main", "html", "body"):
+            return True
+        share = free[id(node)] / page
+        if node.tag == "header":
+            # a page's header, not an article's, unless it holds the article
+            return within or id(node) in holds or share > MOST and not marked
+        if not node.named or not UNLIKELY.search(node.named) or OWN.search(node.named):
+            return True
+        if id(node) in holds:
+            return True
+        if share <= MOST or marked and not within:
+            return False
+        return share > 1 - LEAST or not any(WHOLE.fullmatch(w) or UNLIKELY.fullmatch(w) for w in node.named.split())
+
+    _keep(root, wanted)
+
+
 def _walk(node: Node) -> Iterator[Node]:
     """Children before parents."""
     order, stack = [], [node]

@@ -138,7 +138,7 @@ def test_pipeline_decisions(spark, stages):
     model = quality.fit(stages[0], spark.read.parquet(f"{SF}/labels.parquet"))
     good = {r["doc_id"] for r in quality.score(stages[0], model).where("predicted = 1").collect()}
     assert {r["doc_id"] for r in stages[1].collect()} == good
-    kept = {r["doc_id"] for r in neardup.near_duplicates(stages[1]).where("kept").collect()}
+    kept = {r["doc_id"] for r in neardup.near_duplicates(stages[1], percent=corpus_pipeline.NEAR_PERCENT).where("kept").collect()}
     assert {r["doc_id"] for r in stages[2].collect()} == kept
     removed = {r["doc_id"]: r["n_removed"] for r in suffixes.repeats(stages[2]).collect()}
     before = {r["doc_id"]: r["text"] for r in stages[2].collect()}

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import public_tokenizers as P
@@ -272,3 +273,58 @@ def test_whole_texts_and_lines_of_usual_licenses(make):
     got = {r["doc_id"]: r["license"] for r in licenses.scan(make(docs)).collect()}
     want = [*names, "Apache-2.0", "Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0-or-later", "MPL-2.0", "Unlicense"]
     assert got == dict(enumerate(want))
+
+
+PARA = "<p>" + "The river ran past the old mill, slow and brown, and nobody came by all day. " * 4 + "</p>"
+WRAPPERS = (
+    "layout has-sidebar", "site no-header", "container header-fixed", "wrapper extra", "search-page", "with-comments",
+    "page-header-wrap", "post-share-enabled",
+)
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+@pytest.mark.parametrize("tag", ["", "article"])
+def test_wording_of_wrappers_removes_no_article(name, tag):
+    inner = f"<{tag}>{PARA * 3}</{tag}>" if tag else PARA * 3
+    page = f"<body><div class='{name}'><div class='menu'><a href='/'>Home</a></div>{inner}<div class='sidebar'>Buy now</div></div></body>"
+    text = extract.main_text(page)
+    assert text.count("The river") == 12 and "Buy" not in text and "Home" not in text
+
+
+def test_headlines_in_headers_of_the_article():
+    for head in ('<div class="entry-header"><h1>Old mill</h1></div>', "<header><h1>Old mill</h1></header>"):
+        page = f"<body><header><h1>Site</h1></header><div class='content'>{head}{PARA * 3}</div><footer>x</footer></body>"
+        assert extract.main_text(page).split("\n")[0] == "Old mill"
+
+
+def test_long_comments_are_left_out():
+    said = "<div class='comment'><p>" + "I do not agree with any of this, and neither does my cousin. " * 6 + "</p></div>"
+    page = f"<body><div class='post'>{PARA * 3}</div><div id='comments' class='comments'>{said * 4}</div></body>"
+    text = extract.main_text(page)
+    assert "cousin" not in text and text.count("The river") == 12
+
+
+def test_letters_whose_lower_case_is_longer():
+    odd = "İ" * 12
+    for page in (
+        f"<body><p>{odd}</p><script>var x = '<p>no</p>';</script>{PARA}<SCRIPT>y</Script>{PARA}</body>",
+        f"<html><head><title>{odd}</title></head><body>{PARA * 2}</body></html>",
+    ):
+        text = extract.main_text(page)
+        assert text.count("The river") == 8 and "var x" not in text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 20_000 + "<li>" * 20_000 + PARA,
+        "<b>" * 20_000 + "<div>a</div></i>" * 20_000 + PARA,
+        "<p>" + "<span>" * 20_000 + "</td>" * 20_000 + PARA,
+        "<table><tr><td>" + "<header>" * 15_000 + "</div>" * 15_000 + PARA * 3_000,
+        "<ul>" + "<li><a>x</a>" * 50_000 + "</ul>" + PARA,
+    ],
+)
+def test_time_is_linear_in_nesting(page):
+    start = time.perf_counter()
+    extract.main_text(page)
+    assert time.perf_counter() - start < 8
