@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from boutspark.operators.scan import CHUNK_ROWS, chunk_of
 
-_EDGE_LANE = -1
+EDGE_LANE = -1
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -27,6 +27,23 @@ def _number_groups(df: DataFrame, lane: Sequence[str], gap: Column) -> DataFrame
     )
 
 
+def join_pieces(
+    pieces: DataFrame, keys: Sequence[str], merged: Sequence[Column], chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Runs from their pieces inside chunks: pieces that touch a chunk's edge are joined in one lane per well."""
+    first = F.col("chunk") * chunk_rows
+    edge = (F.col("start") == first) | (F.col("end") == first + (chunk_rows - 1))
+    laned = pieces.withColumn("lane", F.when(edge, F.lit(EDGE_LANE).cast("bigint")).otherwise(F.col("chunk")))
+    return (
+        _number_groups(laned, [*keys, "lane"], F.lit(0))
+        .groupBy(*keys, "lane", "_grp")
+        .agg(F.min("start").alias("_start"), F.max("end").alias("end"), *merged)
+        .withColumnRenamed("_start", "start")
+        .withColumn("length", F.col("end") - F.col("start") + 1)
+        .drop("_grp")
+    )
+
+
 def flag_runs(
     df: DataFrame,
     flag: Column,
@@ -47,11 +64,7 @@ def flag_runs(
         F.max("pos").alias("end"),
         F.min_by("minutes", "pos").alias("minutes"),
     ]
-    merged = [
-        F.min("start").alias("_start"),
-        F.max("end").alias("end"),
-        F.min_by("minutes", "start").alias("minutes"),
-    ]
+    merged = [F.min_by("minutes", "start").alias("minutes")]
     if confirm is not None:
         piece.append(F.bool_or(F.coalesce(confirm, F.lit(False))).alias("confirmed"))
         merged.append(F.bool_or("confirmed").alias("confirmed"))
@@ -78,26 +91,7 @@ def flag_runs(
         ]
     here = Window.partitionBy(*keys, "chunk").orderBy("pos")
     hits = df.filter(flag).withColumn("_island", F.col("pos") - F.row_number().over(here))
-    first = F.col("chunk") * chunk_rows
-    pieces = (
-        hits.groupBy(*keys, "chunk", "_island")
-        .agg(*piece)
-        .withColumn(
-            "lane",
-            F.when(
-                (F.col("start") == first) | (F.col("end") == first + (chunk_rows - 1)),
-                F.lit(_EDGE_LANE).cast("bigint"),
-            ).otherwise(F.col("chunk")),
-        )
-    )
-    runs = (
-        _number_groups(pieces, [*keys, "lane"], F.lit(0))
-        .groupBy(*keys, "lane", "_grp")
-        .agg(*merged)
-        .withColumnRenamed("_start", "start")
-        .withColumn("length", F.col("end") - F.col("start") + 1)
-        .drop("_grp")
-    )
+    runs = join_pieces(hits.groupBy(*keys, "chunk", "_island").agg(*piece), keys, merged, chunk_rows)
     if measure is not None:
         runs = (
             runs.withColumn("mean", F.col("total") / F.col("n"))
@@ -130,7 +124,7 @@ def link_runs(runs: DataFrame, keys: Sequence[str], gap: Column | int) -> DataFr
     w = Window.partitionBy(*lane).orderBy("start")
     outer = F.lag("start").over(w).isNull() | F.lead("start").over(w).isNull()
     moved = groups.withColumn("_outer", outer).withColumn(
-        "lane", F.when(F.col("_outer"), F.lit(_EDGE_LANE).cast("bigint")).otherwise(F.col("lane"))
+        "lane", F.when(F.col("_outer"), F.lit(EDGE_LANE).cast("bigint")).otherwise(F.col("lane"))
     )
     return (
         _number_groups(moved.drop("_grp", "_outer"), lane, gap)

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutspark.operators import compare, detect, groups, quality, summary
+from boutspark.operators import compare, detect, groups, quality, summary, sweep
 from boutspark.operators.baseline import subtract_baseline
 from boutspark.operators.bouts import feeding_bouts, feeding_intervals
 from boutspark.operators.scan import chunk_of, ordered_scan
@@ -124,24 +124,8 @@ def parameter_sweep(
     window: int | None = None,
     transform_licks: bool = True,
 ) -> DataFrame:
-    """Detect again for every value of one parameter, all values in one job.
-
-    The value becomes part of the recording key. Only a changed baseline
-    window or rate needs the running median again; otherwise it is computed
-    once and the samples are multiplied after it.
-    """
+    """Contacts under every value of one parameter, from one pass over the samples."""
     swept = Swept(settings, field, tuple(float(v) for v in values))
-    keys = [*by, swept.column]
-    spread = F.explode(F.array(*[F.lit(v) for v in swept.values]))
-    early = field in ("baseline_window_minutes", "samples_per_second") and window is None
-    if early:
-        base = subtract_baseline(rows.withColumn(swept.column, spread), swept, keys)
-    else:
-        base = subtract_baseline(rows, settings, by, window).withColumn(swept.column, spread)
-    labelled = detect.detect(stage(base, "swept"), swept, keys)
-    two = settings.chamber_size == 2
-    table = summary.feeding_summary(
-        labelled, swept, keys, two_wells=two, transform_licks=transform_licks
-    )
+    table = sweep.swept_summary(rows, settings, swept, by, window=window, transform_licks=transform_licks)
     designed = table.join(design.select(*by, "chamber", "Treatment", *factors), [*by, "chamber"])
     return compare.sweep_table(designed, swept.column, factors)

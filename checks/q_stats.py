@@ -307,7 +307,19 @@ from {two} join design using (dfm, chamber) group by Treatment, Sex"""
 detection("_g0", "bas", gap=0)
 detection("_g5", "bas", gap=5)
 detection("_t40", "bas", high="40")
-for t in ("_g0", "_g5", "_t40", "_other"):
+for level in ("10", "35"):
+    detection(f"_m{level}", "bas", low=level)
+for w in (5, 11, 21, 41, 81):
+    part(
+        f"bas_w{w}",
+        ("sig",),
+        f"""
+select *, signal - median(signal) over (partition by dfm, well order by sample
+                                        rows between {w // 2} preceding and {w // 2} following) as base
+from sig""",
+    )
+    detection(f"_w{w}", f"bas_w{w}")
+for t in ("_g0", "_g5", "_t40", "_other", "_m10", "_m35", "_w5", "_w11", "_w21", "_w41", "_w81"):
     add_summary(t)
 
 
@@ -334,6 +346,47 @@ def sweep_threshold(spark, sf):
 oracle("sweep_threshold", sweep_sql([(40.0, "two_t40"), (60.0, "two")]), "two_t40", "two", "design")
 
 
+@query
+def sweep_minimum(spark, sf):
+    """Lower levels nest: runs above each come from one read."""
+    return sweep(spark, sf, "feeding_minimum", [10, 20, 35])
+
+
+oracle(
+    "sweep_minimum",
+    sweep_sql([(10.0, "two_m10"), (20.0, "two"), (35.0, "two_m35")]),
+    "two_m10",
+    "two",
+    "two_m35",
+    "design",
+)
+
+# window lengths in samples at one sample a second
+WINDOWS = (5, 11, 21, 41, 81)
+
+
+@query
+def sweep_window(spark, sf):
+    """Five baseline windows from one structure."""
+    got = parameter_sweep(
+        event_recording(spark, sf),
+        event_design(spark, sf),
+        EVENT_PARAMS,
+        "baseline_window_minutes",
+        [w / 60.0 for w in WINDOWS],
+        factors=["Treatment", "Sex"],
+    )
+    return shown(got.withColumn("sweep_value", F.col("sweep_value") * 60.0))
+
+
+oracle(
+    "sweep_window",
+    sweep_sql([(float(w), f"two_w{w}") for w in WINDOWS]),
+    *[f"two_w{w}" for w in WINDOWS],
+    "design",
+)
+
+
 @query
 def compare_two(spark, sf):
     """Two detections of the same recording."""
