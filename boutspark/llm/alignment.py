@@ -4,7 +4,8 @@ A byte-level BPE (A) reads a space and the text, a SentencePiece model with byte
 the text, before which it puts that space. Where tokens of both end at one byte, the text can
 be cut; what lies between two cuts is a group, and all its A and B tokens are linked.
 
-Cuts are found by divide and conquer: for an interval with the same bytes on both sides the
+Ids come from the libraries, once for each distinct piece between single spaces that a task
+meets; the alignment works on whole documents. Cuts are found by divide and conquer: for an interval with the same bytes on both sides the
 common end nearest to its middle token is located, A's ends being looked up among B's by
 bisect, in rings that double their width; both halves go on by themselves, and an interval
 without a common end inside is a leaf group. All intervals of a block of documents take such
@@ -30,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,8 @@ from boutspark.staging import stage
 
 BLOCK_BYTES = 8_000_000  # text of a block
 BLOCK_ROWS = 20_000
-CHUNK_CHARS = 1_000_000  # text that is aligned at once
+CHUNK_CHARS = 250_000  # text that is aligned at once
+KEPT_PIECES, KEPT_IDS = 300_000, 4_000_000  # pieces with their ids that a task keeps, only to save time
 SMALL_GROUP = 4_096  # links up to which a group's links are listed one by one
 
 
@@ -54,6 +57,34 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def pieces(text: str) -> list[str]:
+    """The text cut at single spaces between two other characters, without those spaces.
+
+    Both tokenizers start anew at such a space: A's pattern takes it to what follows, and
+    no piece of B has its space mark after another character.
+    """
+    parts = text.split(" ")
+    if parts == text.split():
+        return parts
+    out, held, last = [], [parts[0]], parts[0][-1:]
+    for part in parts[1:]:
+        if part and last and not part[0].isspace() and not last.isspace():
+            out.append(" ".join(held))
+            held = []
+        held.append(part)
+        last = part[-1:]
+    out.append(" ".join(held))
+    return out
+
+
+class Numbers(dict):
+    """Numbers keys in the order of their first use."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 class Tokens:
     """Both tokenizers of a task; ids and the bytes of each id."""
 
@@ -75,19 +106,55 @@ class Tokens:
             bytes([int(piece[3:5], 16)]) if b.is_byte(i) else piece.replace("▁", " ").encode()
             for i, piece in enumerate(map(b.id_to_piece, range(b.get_piece_size())))
         ]
-
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and of B for every text; none where a side does not give the text back."""
-        full = [t or "" for t in texts]
-        a = [x.ids for x in self._a.encode_batch_fast([" " + t for t in full], add_special_tokens=False)]
-        b = self._b.encode(full, num_threads=1)
-        for i, t in enumerate(full):
-            raw = b" " + t.encode()
-            if not t or any(
-                b"".join(map(said.__getitem__, ids)) != raw for said, ids in ((self.a_bytes, a[i]), (self.b_bytes, b[i]))
-            ):
-                a[i], b[i] = [], []
-        return a, b
+        if any("▁" in b.id_to_piece(i).lstrip("▁") for i in range(b.get_piece_size())):
+            raise ValueError("a piece of this model crosses the start of a run of spaces")
+        self.a_sizes, self.b_sizes = (np.fromiter(map(len, x), np.int64) for x in (self.a_bytes, self.b_bytes))
+
+        self._forget()
+
+    def _forget(self) -> None:
+        self._number = Numbers()
+        self._right = np.zeros(0, bool)
+        self._ids = [(np.zeros(0, np.int64), np.zeros(1, np.int64)) for _ in "ab"]
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of pieces not met before, each as a text of its own."""
+        sides = (
+            [x.ids for x in self._a.encode_batch_fast([" " + t for t in new], add_special_tokens=False)],
+            self._b.encode(new, num_threads=1),
+        )
+        raw = [b" " + t.encode() for t in new]
+        right = np.ones(len(new), bool)
+        for k, (ids, said) in enumerate(zip(sides, (self.a_bytes, self.b_bytes), strict=True)):
+            right &= [b"".join(map(said.__getitem__, x)) == r for x, r in zip(ids, raw, strict=True)]
+            flat, bounds = self._ids[k]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.r_[flat, np.fromiter(chain.from_iterable(ids), np.int64, sizes.sum())]
+            self._ids[k] = (flat, np.r_[bounds, bounds[-1] + np.cumsum(sizes)])
+        self._right = np.r_[self._right, right]
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids of all texts, bounds of each) of A and of B; none where a side does not give the text back."""
+        if len(self._number) > KEPT_PIECES or max(len(x) for x, _ in self._ids) > KEPT_IDS:
+            self._forget()
+        number = self._number
+        before = len(number)
+        found = []
+        for text in texts:
+            cut = pieces(text) if text else []
+            found.append(np.fromiter(map(number.__getitem__, cut), np.int64, len(cut)))
+        if len(number) > before:
+            self._learn(list(islice(number, before, None)))
+        found = [x if self._right[x].all() else x[:0] for x in found]
+        pieces_of = np.cumsum([0, *map(len, found)])
+        taken = np.concatenate(found) if found else np.zeros(0, np.int64)
+        out = []
+        for flat, bounds in self._ids:
+            sizes = np.diff(bounds)[taken]
+            ends = np.r_[0, np.cumsum(sizes)]
+            at = np.arange(ends[-1]) + np.repeat(bounds[taken] - ends[:-1], sizes)
+            out.append((flat[at], ends[pieces_of]))
+        return out
 
 
 def leaf_groups(a_ends: np.ndarray, b_ends: np.ndarray, a_bounds: np.ndarray, b_bounds: np.ndarray):
@@ -145,13 +212,8 @@ class Aligned:
     """Tokens and groups of some texts, laid end to end."""
 
     def __init__(self, tokens: Tokens, texts: list[str | None]):
-        a, b = tokens.encode(texts)
-        self.a_bounds = np.cumsum([0, *map(len, a)])
-        self.b_bounds = np.cumsum([0, *map(len, b)])
-        self.a = np.fromiter((i for x in a for i in x), np.int64, self.a_bounds[-1])
-        self.b = np.fromiter((i for x in b for i in x), np.int64, self.b_bounds[-1])
-        a_ends = np.cumsum(np.fromiter(map(len, tokens.a_bytes), np.int64)[self.a])
-        b_ends = np.cumsum(np.fromiter(map(len, tokens.b_bytes), np.int64)[self.b])
+        (self.a, self.a_bounds), (self.b, self.b_bounds) = tokens.encode(texts)
+        a_ends, b_ends = np.cumsum(tokens.a_sizes[self.a]), np.cumsum(tokens.b_sizes[self.b])
         self.a_start, self.b_start = leaf_groups(a_ends, b_ends, self.a_bounds, self.b_bounds)
         #: First group of each document.
         self.g_bounds = np.searchsorted(self.a_start, self.a_bounds)
