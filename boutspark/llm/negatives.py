@@ -11,7 +11,7 @@ negatives, its windows above the worst row kept. Edges of length 0 (copies) give
 How much the bounds save depends on the data: much for copies and tight clusters, nothing
 where the nearest anchors are as far apart as norms are long. Results do not depend on it.
 
-Groups meet blocks by a broadcast join in rounds of at most `TILE` groups, so what is sent to
+Groups meet blocks by a broadcast join in rounds of at most `TILE` full groups, so what is sent to
 all tasks is bounded, and rows never shuffle. A task keeps the best rows of each anchor of a
 round over all its blocks; what tasks keep is merged by anchor.
 
@@ -37,7 +37,7 @@ from boutspark.staging import stage
 
 BLOCK = 2_048  # rows of a block
 GROUP = 1_024  # anchors of a tree
-TILE = 16  # groups that are sent to all tasks at once
+TILE = 16  # full groups' worth of anchors that is sent to all tasks at once
 LIMIT = float(1 << 62)  # squared norm
 EXACT = float(1 << 53)
 PLANES = 20  # signs that put near anchors next to each other
@@ -253,7 +253,7 @@ def _singles(every: int):
 
 
 def _grouped(batches):
-    """Sorted single anchors packed into groups; `tile` numbers the groups of a task by sixteens."""
+    """Sorted single anchors packed into groups."""
     part = TaskContext.get().partitionId()
     held: list[Rows] = []
     n = 0
@@ -271,26 +271,36 @@ def _group(held: list[Rows], part: int, n: int) -> pa.RecordBatch:
     dim = max(r.q.shape[1] for r in held)
     q = np.concatenate([r.wide(dim) for r in held])
     ids, labels, rows = (np.concatenate([getattr(r, c) for r in held]) for c in ("ids", "labels", "rows"))
-    numbers = [pa.array([(part << 32) + n], pa.int64()), pa.array([(part << 32) + n // TILE], pa.int64())]
+    numbers = [pa.array([(part << 32) + n], pa.int64())]
     tree = [pa.array([x]) for x in spanning_tree(q)]
     return pa.RecordBatch.from_arrays(
         [*numbers, *_pack(ids, labels, rows, q), *tree],
-        ["gid", "tile", "a_dim", "a_ids", "a_labels", "a_rows", "a_data", "a_parent", "a_edge", "a_depth"],
+        ["gid", "a_dim", "a_ids", "a_labels", "a_rows", "a_data", "a_parent", "a_edge", "a_depth"],
     )
 
 
 _PAIR = [p + n for p in ("", "a_") for n in ("dim", "ids", "labels", "rows", "data")] + ["a_parent", "a_edge", "a_depth"]
 
 
+def _tiles(groups: DataFrame) -> list[list[int]]:
+    """Numbers of the groups of each round: about `TILE * GROUP` anchors, in however small groups they come."""
+    tiles: list[list[int]] = []
+    size = TILE * GROUP
+    for gid, n in sorted(map(tuple, groups.select("gid", F.size("a_ids")).collect())):
+        if size + n > TILE * GROUP:
+            tiles.append([])
+            size = 0
+        tiles[-1].append(gid)
+        size += n
+    return tiles
+
+
 def _meet(blocks: DataFrame, groups: DataFrame, run, schema: str) -> DataFrame:
     """`run` over all (block, group) pairs, tile by tile; groups of a tile are broadcast."""
-    tiles: dict[int, list[int]] = {}
-    for row in groups.select("tile", "gid").collect():  # numbers of groups, to plan the rounds
-        tiles.setdefault(row["tile"], []).append(row["gid"])
     out = None
-    for tile, gids in sorted(tiles.items()):
-        names = F.explode(F.array(*[F.lit(g).cast("bigint") for g in sorted(gids)]))
-        pairs = blocks.withColumn("gid", names).join(F.broadcast(groups.where(F.col("tile") == tile)), "gid")
+    for gids in _tiles(groups):
+        names = F.explode(F.array(*[F.lit(g).cast("bigint") for g in gids]))
+        pairs = blocks.withColumn("gid", names).join(F.broadcast(groups.where(F.col("gid").isin(gids))), "gid")
         met = stage(pairs.select("gid", *_PAIR, *[c for c in groups.columns if c == "aims"]).mapInArrow(run, schema), "met")
         out = met if out is None else out.union(met)
     return out
@@ -435,7 +445,7 @@ def mine(
         stage(singles, "anchors")
         .orderBy("near", F.col("rows")[0])
         .select("dim", "ids", "labels", "rows", "data")
-        .mapInArrow(_grouped, f"gid bigint, tile bigint, {pack}, {_TREE}"),
+        .mapInArrow(_grouped, f"gid bigint, {pack}, {_TREE}"),
         "groups",
     )
     schema = "gid bigint, slot int, {}id bigint, score bigint"
