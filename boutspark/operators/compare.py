@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutspark.functions.scalars import standard_error
-from boutspark.operators.groups import group_label, sweep_metric
+from boutspark.operators.groups import APART, group_label, kept_apart, sweep_metric
 
 # Metrics of sweeps and comparisons.
 METRICS = ("Licks", "Events", "MedDuration")
 
 
-def _group_means(summary: DataFrame, factors: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+def _group_means(
+    summary: DataFrame, factors: Sequence[str], metrics: Sequence[str], apart: Sequence[str]
+) -> DataFrame:
     cells = F.array(
         *[
             F.struct(F.lit(m).alias("Metric"), sweep_metric(summary.columns, m).alias("v"))
@@ -22,9 +24,9 @@ def _group_means(summary: DataFrame, factors: Sequence[str], metrics: Sequence[s
         ]
     )
     return (
-        summary.select(group_label(factors).alias("Group"), F.inline(cells))
-        .groupBy("Group", "Metric")
-        .agg(F.avg("v").alias("mean"))
+        summary.select(*apart, group_label(factors).alias("Group"), F.inline(cells))
+        .groupBy(*apart, "Group", "Metric")
+        .agg(F.avg("v").alias("mean"), F.count("v").alias("n"))
     )
 
 
@@ -33,11 +35,18 @@ def compare_experiments(
     second: DataFrame,
     factors: Sequence[str] = (),
     metrics: Sequence[str] = METRICS,
+    apart: Sequence[str] = (),
 ) -> DataFrame:
-    """Group means of two summaries beside each other; groups of either appear."""
-    a = _group_means(first, factors, metrics).withColumnRenamed("mean", "mean_a")
-    b = _group_means(second, factors, metrics).withColumnRenamed("mean", "mean_b")
-    both = a.join(b, ["Group", "Metric"], "full_outer")
+    """Group means of two summaries beside each other; groups of either appear.
+
+    `n_a` and `n_b` are the observations behind a mean. Two detections of several
+    experiments are compared experiment by experiment with `apart=["project"]`.
+    """
+    a, b = (
+        _group_means(t, factors, metrics, apart).withColumnsRenamed({"mean": f"mean_{x}", "n": f"n_{x}"})
+        for t, x in ((first, "a"), (second, "b"))
+    )
+    both = a.join(b, [*apart, "Group", "Metric"], "full_outer").fillna(0, ["n_a", "n_b"])
     delta = F.col("mean_b") - F.col("mean_a")
     return both.withColumn("delta", delta).withColumn(
         "pct_change", F.when(F.col("mean_a") != 0, F.col("delta") / F.col("mean_a") * 100.0)
@@ -49,9 +58,12 @@ def sweep_table(
     value_column: str,
     factors: Sequence[str] = (),
     metrics: Sequence[str] = METRICS,
+    apart: Sequence[str] = APART,
 ) -> DataFrame:
     """Chambers, mean and error of every metric per parameter value and group."""
+    apart = kept_apart(summary, apart)
     rows = summary.select(
+        *apart,
         value_column,
         group_label(factors).alias("Group"),
         *[sweep_metric(summary.columns, m).alias(m) for m in metrics],
@@ -59,4 +71,4 @@ def sweep_table(
     stats = [F.count(F.lit(1)).alias("n_chambers")]
     for m in metrics:
         stats += [F.avg(m).alias(f"mean_{m}"), standard_error(m).alias(f"sem_{m}")]
-    return rows.groupBy(value_column, "Group").agg(*stats)
+    return rows.groupBy(*apart, value_column, "Group").agg(*stats)

@@ -25,6 +25,9 @@ SINGLE_FIGURE = (
 )
 TWO_WELL_FIGURE = ["PI", "EventPI", *[f"{m}{s}" for m in SINGLE_FIGURE for s in "AB"]]
 
+# Columns by which results of several experiments stay apart.
+APART = ("project",)
+
 
 def group_label(factors: Sequence[str]) -> Column:
     """Factor values joined with ` / `, or the treatment without factors."""
@@ -119,26 +122,41 @@ def mean_and_error(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame
     )
 
 
+def kept_apart(df: DataFrame, apart: Sequence[str] = APART) -> list[str]:
+    """Those of the columns that keep experiments apart which a table has."""
+    return [c for c in apart if c in df.columns]
+
+
 def time_course(
-    binned: DataFrame, factors: Sequence[str], metric: str, mode: str = "total"
+    binned: DataFrame, factors: Sequence[str], metric: str, mode: str = "total", apart: Sequence[str] = APART
 ) -> DataFrame:
-    """Group means per bin; `Label` names the group with its largest n."""
+    """Group means per bin; `Label` names the group with its largest n.
+
+    Experiments stay apart by the columns of `apart`; () pools them.
+    """
+    apart = kept_apart(binned, apart)
     rows = binned.select(
+        *apart,
         group_label(factors).alias("Group"),
         "bin",
         "Minutes",
         display_metric(binned.columns, metric, mode).alias("MetricValue"),
     )
-    stats = mean_and_error(rows, ["Group", "bin", "Minutes"], "MetricValue")
-    largest = stats.groupBy("Group").agg(F.max("N").alias("_n"))
+    stats = mean_and_error(rows, [*apart, "Group", "bin", "Minutes"], "MetricValue")
+    largest = stats.groupBy(*apart, "Group").agg(F.max("N").alias("_n"))
     label = F.concat("Group", F.lit(" (n="), F.col("_n").cast("string"), F.lit(")"))
-    return stats.join(largest, "Group").withColumn("Label", label).drop("_n")
+    return stats.join(largest, [*apart, "Group"]).withColumn("Label", label).drop("_n")
 
 
 def time_courses(
-    binned: DataFrame, factors: Sequence[str], metrics: Sequence[str], mode: str = "total"
+    binned: DataFrame,
+    factors: Sequence[str],
+    metrics: Sequence[str],
+    mode: str = "total",
+    apart: Sequence[str] = APART,
 ) -> DataFrame:
     """Several metrics at once; unknown ones are skipped."""
+    apart = kept_apart(binned, apart)
     cells = []
     for m in metrics:
         try:
@@ -151,9 +169,9 @@ def time_courses(
         except ValueError:
             continue
     rows = binned.select(
-        group_label(factors).alias("Group"), "bin", "Minutes", F.inline(F.array(*cells))
+        *apart, group_label(factors).alias("Group"), "bin", "Minutes", F.inline(F.array(*cells))
     )
-    return mean_and_error(rows, ["Group", "Metric", "bin", "Minutes"], "MetricValue")
+    return mean_and_error(rows, [*apart, "Group", "Metric", "bin", "Minutes"], "MetricValue")
 
 
 def dot_rows(
@@ -220,12 +238,13 @@ def gather_foods(
     return summary.select(*keep, F.inline(cells))
 
 
-def weighted_durations(summary: DataFrame) -> DataFrame:
+def weighted_durations(summary: DataFrame, apart: Sequence[str] = APART) -> DataFrame:
     """Plain and event-weighted mean of the median durations per treatment.
 
     Weighted spread needs the weighted mean first: group sums are computed
     once, joined back, and squared distances summed.
     """
+    keys = [*kept_apart(summary, apart), "Treatment"]
     cells = F.array(
         *[
             F.struct(
@@ -236,9 +255,9 @@ def weighted_durations(summary: DataFrame) -> DataFrame:
             for s in "AB"
         ]
     )
-    rows = stage(summary.select("Treatment", F.inline(cells)), "durations")
+    rows = stage(summary.select(*keys, F.inline(cells)), "durations")
     usable = F.col("v").isNotNull() & (F.col("w") > 0)
-    first = rows.groupBy("Treatment", "side").agg(
+    first = rows.groupBy(*keys, "side").agg(
         F.avg("v").alias("mean"),
         standard_error("v").alias("sem"),
         F.sum(F.when(usable, F.col("w"))).alias("sw"),
@@ -248,11 +267,11 @@ def weighted_durations(summary: DataFrame) -> DataFrame:
     means = first.withColumn("wmean", F.col("swv") / F.col("sw"))
     spread = (
         rows.filter(usable)
-        .join(means.select("Treatment", "side", "wmean"), ["Treatment", "side"])
-        .groupBy("Treatment", "side")
+        .join(means.select(*keys, "side", "wmean"), [*keys, "side"])
+        .groupBy(*keys, "side")
         .agg(F.sum(F.col("w") * F.pow(F.col("v") - F.col("wmean"), 2)).alias("ss"))
     )
-    per_side = means.join(spread, ["Treatment", "side"], "left").withColumn(
+    per_side = means.join(spread, [*keys, "side"], "left").withColumn(
         "wsem", F.sqrt(F.col("ss") / F.col("sw")) / F.sqrt("n")
     )
     out = []
@@ -265,5 +284,5 @@ def weighted_durations(summary: DataFrame) -> DataFrame:
             pick("wsem").alias(f"WeightedSemDuration{s}"),
             pick("n").alias(f"SampleSize{s}"),
         ]
-    return per_side.groupBy("Treatment").agg(*out)
+    return per_side.groupBy(*keys).agg(*out)
 

@@ -31,12 +31,12 @@ def light_phases(
     """
     phase = F.when(F.coalesce(F.col("opto"), F.lit(0)) != 0, "light").otherwise("dark")
     rows = labelled.withColumn("Phase", phase)
-    seconds = (
-        rows.select(*by, "Phase", "chunk", "pos", value(settings, "samples_per_second").alias("_sps"))
-        .distinct()
-        .groupBy(*by, "Phase")
-        .agg((F.count(F.lit(1)) / F.max("_sps")).alias("PhaseSeconds"))
+    # ticks are bits: wells of a device set the same one, and only bitmaps travel
+    ticks = rows.groupBy(*by, "Phase", F.bitmap_bucket_number("pos").alias("_bucket")).agg(
+        F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("pos"))).alias("_ticks"),
+        F.max(value(settings, "samples_per_second")).alias("_sps"),
     )
+    seconds = ticks.groupBy(*by, "Phase").agg((F.sum("_ticks") / F.max("_sps")).alias("PhaseSeconds"))
     sides = [("A", "A"), ("B", "B")] if two_wells else [(None, "")]
     counts = []
     for side, suffix in sides:

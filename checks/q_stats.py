@@ -401,7 +401,7 @@ def compare_two(spark, sf):
 
 def mean_sql(two: str, where: str = "true") -> str:
     return "\nunion all\n".join(
-        f"""select Treatment || ' / ' || Sex as grp, '{m}' as metric, avg({x}) as m
+        f"""select Treatment || ' / ' || Sex as grp, '{m}' as metric, avg({x}) as m, count({x}) as n
 from {two} join design using (dfm, chamber) where {where} group by Treatment, Sex"""
         for m, x in (
             ("Licks", "power(LicksA, 0.25) + power(LicksB, 0.25)"),
@@ -414,7 +414,8 @@ from {two} join design using (dfm, chamber) where {where} group by Treatment, Se
 oracle(
     "compare_two",
     f"""select grp as "Group", metric as Metric, {r6('a.m')} as mean_a, {r6('b.m')} as mean_b, {r6('b.m - a.m')} as delta,
-       {r6('case when a.m <> 0 then (b.m - a.m) / a.m * 100.0 end')} as pct_change
+       {r6('case when a.m <> 0 then (b.m - a.m) / a.m * 100.0 end')} as pct_change,
+       coalesce(a.n, 0) as n_a, coalesce(b.n, 0) as n_b
 from ({mean_sql('two')}) a
 full join ({mean_sql('two_other')}) b using (grp, metric)""",
     "two",
