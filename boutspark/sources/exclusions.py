@@ -1,4 +1,4 @@
-"""Named groups of excluded chambers, kept as CSV."""
+"""Named groups of excluded chambers, kept as CSV: one folder per group, or one table made by hand."""
 
 from __future__ import annotations
 
@@ -32,22 +32,41 @@ def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _in_one_table(spark: SparkSession, path: str) -> bool:
+    """Are there rows that do not lie in a folder of their group (a file made by hand)?"""
+    try:
+        files = spark.read.schema(SCHEMA).csv(path).inputFiles()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return any("/group=" not in f for f in files)
+
+
 def write_exclusions(path: str, group: str, chambers: DataFrame) -> None:
     """Replace one group by `chambers` (dfm, chamber[, note]); others stay.
 
-    An empty table clears the group. What stays is staged before the folder is
-    overwritten, so it is never read and written at the same time.
+    Every group has a folder of its own, and only this group's is replaced, when
+    all its rows are written: a failure before that leaves everything as it was.
+    A row without a chamber, which readers drop, stands for the group, so an
+    empty table clears it. A single table made by hand is taken apart once.
     """
     spark = chambers.sparkSession
     note = F.coalesce(F.col("note"), F.lit("")) if "note" in chambers.columns else F.lit("")
     new = chambers.select(
         F.lit(group).alias("group"), F.col("dfm").cast("bigint"), F.col("chamber").cast("bigint"), note.alias("note")
     )
-    kept = read_exclusions(spark, path).filter(F.col("group") != group)
-    rows = stage(kept.unionByName(new), "exclusions")
+    # a row that stands for the group, also when it is empty
+    new = new.unionByName(spark.range(1).select(F.lit(group).alias("group")), allowMissingColumns=True)
+    mode = "dynamic"
+    if _in_one_table(spark, path):
+        kept = read_exclusions(spark, path).filter(F.col("group") != group)
+        new, mode = stage(kept.unionByName(new), "exclusions"), "static"
     (
-        rows.select("group", F.col("dfm").alias("dfm_id"), "chamber", "note")
+        new.select("group", F.col("dfm").alias("dfm_id"), "chamber", "note")
         .write.mode("overwrite")
+        .partitionBy("group")
+        .option("partitionOverwriteMode", mode)
         .option("header", "true")
         .csv(path)
     )

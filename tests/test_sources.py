@@ -175,3 +175,30 @@ def test_clock_without_zone_ignores_the_session_zone(spark):
     spark.conf.set("spark.sql.session.timeZone", zone)
     want = [int(datetime.fromisoformat(c + "+00:00").timestamp() * 1e6) for c in clocks]
     assert got == want
+
+
+def test_replacing_a_group_leaves_the_others_alone(spark, tmp_path):
+    """Files of other groups are not touched; a failure half-way loses nothing; a table made by hand is taken over."""
+    path = tmp_path / "exclusions"
+    path.mkdir()
+    (path / "hand.csv").write_text("group,dfm_id,chamber,note\ngeneral,1,2,dry\nlate hours,5,1,\nbad,x,1,\n")
+
+    def rows(*r):
+        return spark.createDataFrame(r, "dfm bigint, chamber bigint, note string")
+
+    def now():
+        return sorted((r["group"], r["dfm"], r["chamber"], r["note"]) for r in read_exclusions(spark, str(path)).collect())
+
+    write_exclusions(str(path), "general", rows((2, 6, "again")))
+    assert now() == [("general", 2, 6, "again"), ("late hours", 5, 1, "")]
+    before = {f: f.stat().st_mtime_ns for f in path.rglob("*.csv") if "late" in str(f)}
+    write_exclusions(str(path), "general", rows((3, 3, "")))
+    assert before and before == {f: f.stat().st_mtime_ns for f in path.rglob("*.csv") if "late" in str(f)}
+    broken = rows((4, 4, ""), (5, 5, "")).repartition(2).withColumn(
+        "note", F.when(F.col("dfm") == 5, F.raise_error(F.lit("lost"))).otherwise("")
+    )
+    with pytest.raises(Exception, match="lost"):
+        write_exclusions(str(path), "general", broken)
+    assert now() == [("general", 3, 3, ""), ("late hours", 5, 1, "")]
+    write_exclusions(str(path), "general", rows().limit(0))
+    assert now() == [("late hours", 5, 1, "")]
