@@ -634,6 +634,11 @@ def _reml(table: list[tuple], design: np.ndarray) -> dict:
     }
 
 
+# Names of the tests as results carry them, and how a formula is written.
+TEST_NAMES = {"aov": "ANOVA (Type II)", "lmm": "Linear mixed model (DFM random intercept)"}
+FORMULA, TERM = "Y ~ ", "C({})"
+
+
 class Comparison(NamedTuple):
     table: DataFrame
     posthoc: DataFrame | None
@@ -649,12 +654,13 @@ def compare_treatments(
     posthoc: str = "tukey",
 ) -> Comparison:
     """Test a metric between treatments, by analysis of variance or mixed model."""
-    formula = "Y ~ " + " * ".join(f"C({f})" for f in factors)
-    if model == "aov":
-        table, name = anova(values, y, factors), "ANOVA (Type II)"
-    elif model == "lmm":
-        table, name = mixed_model(values, y, factors), "Linear mixed model (DFM random intercept)"
-    else:
-        raise ValueError("model must be 'aov' or 'lmm'")
-    pairs = tukey(values, y, factors[0]) if posthoc == "tukey" and len(factors) == 1 else None
-    return Comparison(table, pairs, name, formula)
+    if model not in TEST_NAMES:
+        raise ValueError(f"{model!r} is no test; choose one of {', '.join(TEST_NAMES)}")
+    table = (anova if model == "aov" else mixed_model)(values, y, factors)
+    single = len(factors) == 1 and posthoc == "tukey"
+    return Comparison(
+        table,
+        tukey(values, y, factors[0]) if single else None,
+        TEST_NAMES[model],
+        FORMULA + " * ".join(map(TERM.format, factors)),
+    )
