@@ -205,38 +205,58 @@ def tasting_runs(
     return runs.filter(F.col("length") >= value(settings, "tasting_minevents"))
 
 
-def simultaneous_matrix(
-    labelled: DataFrame, by: Sequence[str] = REC, stage_name: str = "after"
-) -> DataFrame:
+def simultaneous_matrices(labelled: DataFrame, by: Sequence[str] = REC) -> DataFrame:
     """Licks of both wells of a chamber, shared licks and how strong they were.
 
-    `stage_name` chooses the licks before or after dual-feeding correction.
-    Wells are physical ones in order, not A and B.
+    `stage` tells the licks before and after dual-feeding correction. Both come from one
+    pass: a tick's licks are four bits, and a chamber leaves one row per mask. Wells are
+    physical ones in order, not A and B.
     """
-    lick = "lick_before" if stage_name == "before" else "lick"
     at = lambda slot: F.max(F.when(F.col("slot") == slot, F.col("base")))
-    seen = lambda slot: F.bool_or(F.col("slot") == slot)
+    bit = lambda lick, slot, n: F.when(F.col(lick) & (F.col("slot") == slot), n).otherwise(0)
+    bits = bit("lick_before", 1, 1) + bit("lick_before", 2, 2) + bit("lick", 1, 4) + bit("lick", 2, 8)
     # only licked samples travel; chambers without any come back at the end
     ticks = (
-        labelled.filter(lick)
+        labelled.filter(_holds(F.col("lick_before")) | _holds(F.col("lick")))
         .groupBy(*by, "chamber", "chunk", "pos")
-        .agg(seen(1).alias("l1"), seen(2).alias("l2"), at(1).alias("b1"), at(2).alias("b2"))
+        .agg(F.bit_or(bits).alias("mask"), at(1).alias("b1"), at(2).alias("b2"))
+    )
+    masks = ticks.groupBy(*by, "chamber", "mask").agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        F.max(F.least("b1", "b2")).alias("strength"),
+        F.sum((F.col("b1") > F.col("b2")).cast("int")).cast("double").alias("higher"),
+    )
+    counted = masks.withColumn(
+        "_stage",
+        F.explode(
+            F.array(
+                *[F.struct(F.lit(name).alias("stage"), F.lit(low).alias("low")) for name, low in (("before", 1), ("after", 4))]
+            )
+        ),
     )
-    both = F.col("l1") & F.col("l2")
-    count = lambda c: F.sum(c.cast("int")).cast("double")
-    found = ticks.groupBy(*by, "chamber").agg(
-        count(F.col("l1")).alias("Licks1"),
-        count(F.col("l2")).alias("Licks2"),
-        count(both).alias("Both"),
-        F.max(F.when(both, F.least("b1", "b2"))).alias("MaxMinSignalAtBoth"),
-        count(both & (F.col("b1") > F.col("b2"))).alias("HigherInCol1AtBoth"),
+    has = lambda n: F.col("mask").bitwiseAND(F.col("_stage.low") * n) != 0
+    both = has(1) & has(2)
+    found = counted.groupBy(*by, "chamber", F.col("_stage.stage").alias("stage")).agg(
+        F.sum(F.when(has(1), F.col("n"))).alias("Licks1"),
+        F.sum(F.when(has(2), F.col("n"))).alias("Licks2"),
+        F.sum(F.when(both, F.col("n"))).alias("Both"),
+        F.max(F.when(both, F.col("strength"))).alias("MaxMinSignalAtBoth"),
+        F.sum(F.when(both, F.col("higher"))).alias("HigherInCol1AtBoth"),
     )
     chambers = labelled.select(*by, "chamber").distinct()
-    return chambers.join(found, [*by, "chamber"], "left").fillna(
+    every = chambers.withColumn("stage", F.explode(F.array(F.lit("before"), F.lit("after"))))
+    return every.join(found, [*by, "chamber", "stage"], "left").fillna(
         0.0, ["Licks1", "Licks2", "Both", "MaxMinSignalAtBoth", "HigherInCol1AtBoth"]
     )
 
 
+def simultaneous_matrix(
+    labelled: DataFrame, by: Sequence[str] = REC, stage_name: str = "after"
+) -> DataFrame:
+    """`simultaneous_matrices` before or after dual-feeding correction."""
+    return simultaneous_matrices(labelled, by).where(F.col("stage") == stage_name).drop("stage")
+
+
 def dual_rows(labelled: DataFrame) -> DataFrame:
     """Samples at which both wells of a chamber were licked."""
     return labelled.filter("dual")

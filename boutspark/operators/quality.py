@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from boutspark.functions.scalars import ERROR_BITS, epoch_micros, error_bit
 from boutspark.operators.scan import ordered_scan
 from boutspark.params import REC, WELLS_PER_DEVICE
+from boutspark.staging import stage
 
 
 def data_breaks(
@@ -165,40 +166,56 @@ def design_table(design: DataFrame, by: Sequence[str] = REC) -> DataFrame:
     )
 
 
+def mask_histogram(samples: DataFrame, cutoff: float, by: Sequence[str] = REC) -> DataFrame:
+    """Ticks of a device by the set of wells above the cut-off, with sums of every well.
+
+    A tick's twelve wells become one mask of bits (well 1 is bit 0), so a device of any
+    length leaves at most 4,096 rows: mask, Ticks, and S<well> and N<well>, the sum and
+    number of the values of each well at those ticks. Wells side by side is the only
+    shuffle of samples; the histogram is summed in the tasks before it moves.
+    """
+    wells = range(1, WELLS_PER_DEVICE + 1)
+    ticks = samples.groupBy(*by, "chunk", "pos").agg(
+        *[F.max(F.when(F.col("well") == w, F.col("base"))).alias(f"W{w}") for w in wells]
+    )
+    mask = F.lit(0)
+    for w in wells:
+        mask = mask + F.when(F.col(f"W{w}") > cutoff, F.lit(1 << (w - 1))).otherwise(F.lit(0))
+    return ticks.withColumn("mask", mask).groupBy(*by, "mask").agg(
+        F.count(F.lit(1)).alias("Ticks"),
+        *[F.sum(f"W{w}").alias(f"S{w}") for w in wells],
+        *[F.count(f"W{w}").alias(f"N{w}") for w in wells],
+    )
+
+
 def bleeding_matrix(
     samples: DataFrame, cutoff: float, by: Sequence[str] = REC
 ) -> tuple[DataFrame, DataFrame]:
     """Mean of every well while well i is above the cut-off; and overall means.
 
-    Wells lie side by side once per tick, so no pairs of rows are formed; the
-    twelve conditional means of a well come from one aggregation.
+    Both come from one staged histogram of masks; no tick is copied per well. A well
+    that never is above the cut-off responds with 0; a well without any value has no
+    overall mean.
     """
     wells = range(1, WELLS_PER_DEVICE + 1)
-    wide = samples.groupBy(*by, "chunk", "pos").agg(
-        *[F.max(F.when(F.col("well") == w, F.col("base"))).alias(f"W{w}") for w in wells]
+    seen = stage(mask_histogram(samples, cutoff, by), "masks")
+    signal = F.col("signal_well")
+    each = seen.withColumn("signal_well", F.explode(F.array(*[F.lit(w) for w in wells])))
+    above = F.col("mask").bitwiseAND(F.expr("shiftleft(1, signal_well - 1)")) != 0
+    mean = lambda w, c: F.sum(F.when(c, F.col(f"S{w}"))) / F.sum(F.when(c, F.col(f"N{w}")))
+    matrix = each.groupBy(*by, "signal_well").agg(
+        *[F.coalesce(mean(w, above & (F.col(f"N{w}") > 0)), F.lit(0.0)).alias(f"W{w}Resp") for w in wells]
     )
-    above = wide.select(
+    matrix = matrix.select(
         *by,
-        *[f"W{w}" for w in wells],
-        F.explode(
-            F.array_compact(F.array(*[F.when(F.col(f"W{w}") > cutoff, F.lit(w)) for w in wells]))
-        ).alias("signal_well"),
+        F.concat(F.lit("W"), signal.cast("string"), F.lit("Sig")).alias("Signal"),
+        *[f"W{w}Resp" for w in wells],
     )
-    means = above.groupBy(*by, "signal_well").agg(
-        *[F.avg(f"W{w}").alias(f"W{w}Resp") for w in wells]
-    )
-    every = (
-        samples.select(*by)
-        .distinct()
-        .withColumn("signal_well", F.explode(F.array(*[F.lit(w) for w in wells])))
-    )
-    matrix = every.join(means, [*by, "signal_well"], "left").select(
-        *by,
-        F.concat(F.lit("W"), F.col("signal_well").cast("string"), F.lit("Sig")).alias("Signal"),
-        *[F.coalesce(f"W{w}Resp", F.lit(0.0)).alias(f"W{w}Resp") for w in wells],
+    means = F.array(
+        *[F.struct(F.lit(w).alias("well"), mean(w, F.col(f"N{w}") > 0).alias("MeanBase")) for w in wells]
     )
-    overall = samples.groupBy(*by, "well").agg(F.avg("base").alias("MeanBase"))
-    return matrix, overall
+    overall = seen.groupBy(*by).agg(means.alias("_means")).select(*by, F.inline("_means"))
+    return matrix, overall.where("MeanBase is not null")
 
 
 def qc_table(

@@ -31,6 +31,20 @@ class BasicAnalysis(NamedTuple):
     errors: DataFrame | None = None
 
 
+class QualityResults(NamedTuple):
+    """Everything the quality checks found, apart per device."""
+
+    #: One row per device: integrity, number of breaks, shared licks, strongest bleeding.
+    devices: DataFrame
+    #: Every break of the device clock, and the first ones of each device (`BreakNr`).
+    breaks: DataFrame
+    first_breaks: DataFrame
+    #: Shared licks per chamber before and after correction; none for one-well chambers.
+    simultaneous: DataFrame | None
+    bleeding: DataFrame
+    mean_base: DataFrame
+
+
 def detect_contacts(
     rows: DataFrame,
     settings: Settings,
@@ -112,6 +126,49 @@ def basic_analysis(
     )
 
 
+def quality_results(
+    base: DataFrame,
+    labelled: DataFrame,
+    settings: Params,
+    by: Sequence[str] = REC,
+    *,
+    rate: float | None = None,
+    multiplier: float = 4.0,
+    bleeding_cutoff: float = 50.0,
+    seconds: str = "seconds",
+    first: int = 10,
+) -> QualityResults:
+    """All quality checks of every device; `first` is the length of the report of breaks.
+
+    `rate` is the sampling rate that breaks are judged by, that of the settings by default.
+    Breaks and the mask histogram are staged, so samples are read once for each. A table
+    without samples gives empty results; a missing clock gives no breaks.
+    """
+    found = quality.data_breaks(
+        quality.device_ticks(base, seconds, by), by, rate or settings.samples_per_second, multiplier, seconds
+    )
+    found = stage(found, "breaks")
+    shared = stage(detect.simultaneous_matrices(labelled, by), "shared") if settings.chamber_size == 2 else None
+    matrix, overall = quality.bleeding_matrix(base, bleeding_cutoff, by)
+    checked = quality.integrity(
+        base,
+        by,
+        clock=None,
+        index=None,
+        code="error_code" if "error_code" in base.columns else None,
+        errors="errors" if "errors" in base.columns else None,
+    )
+    before = None if shared is None else shared.where("stage = 'before'")
+    return QualityResults(
+        devices=quality.qc_table(checked, found, before, matrix, by),
+        breaks=found,
+        first_breaks=quality.first_breaks(found, by, first),
+        simultaneous=shared,
+        bleeding=matrix,
+        mean_base=overall,
+    )
+
+
 def parameter_sweep(
     rows: DataFrame,
     design: DataFrame,

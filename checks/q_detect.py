@@ -271,12 +271,7 @@ from pairs group by dfm, chamber"""
 @query
 def simultaneous_matrix(spark, sf):
     """Shared licks per chamber, before and after the correction."""
-    rows = labelled(spark, sf)
-    both = [
-        detect.simultaneous_matrix(rows, stage_name=s).withColumn("stage", F.lit(s))
-        for s in ("before", "after")
-    ]
-    return shown(both[0].unionByName(both[1]))
+    return shown(detect.simultaneous_matrices(labelled(spark, sf)))
 
 
 oracle(

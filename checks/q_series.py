@@ -8,6 +8,7 @@ from boutspark.functions.scalars import ERROR_BITS, epoch_micros
 from boutspark.operators import access, detect, light, quality, ratio
 from boutspark.operators.bouts import feeding_bouts
 from boutspark.params import REC
+from boutspark.plans.experiment import quality_results
 from boutspark.sources.tables import EVENT_PARAMS, event_design, event_recording
 from checks.oracle import detection, oracle, part, r6
 from checks.q_detect import pair_sql
@@ -461,6 +462,84 @@ left join (select dfm, {STRONG} as strong from wide group by dfm) w on s.dfm = w
     "wide",
 )
 
+
+def long_rows(table, part_name, item, values):
+    """(dfm, part, item, name, value) of every column of values."""
+    typed = table.select("dfm", F.col(item).cast("string").alias("item"), *[F.col(c).cast("double").alias(c) for c in values])
+    long = typed.unpivot(["dfm", "item"], values, "name", "value")
+    return long.select("dfm", F.lit(part_name).alias("part"), "item", "name", "value")
+
+
+QC_COUNTS = ["Rows", "ElapsedFromMinutes", "Flagged", "Breaks", "SharedLicks", "MaxMinSignalAtBoth", "StrongestResponse"]
+LICK_COUNTS = ["Licks1", "Licks2", "Both", "MaxMinSignalAtBoth", "HigherInCol1AtBoth"]
+RESPONSES = [f"W{w}Resp" for w in range(1, 13)]
+
+
+@query
+def qc_full(spark, sf):
+    """All a device's checks: counts, first ten breaks, shared licks, both matrices, as long rows."""
+    base = baselined(spark, sf)
+    base = base.withColumn("seconds", epoch_micros(base, "ts") / F.lit(1e6))
+    got = quality_results(base, labelled(spark, sf), EVENT_PARAMS, rate=BREAK_RATE, bleeding_cutoff=CUT)
+    breaks = got.first_breaks.withColumn("Interval", F.round("Interval", 3))
+    shared = got.simultaneous.withColumn("where", F.concat_ws(" ", "stage", F.col("chamber").cast("string")))
+    means = got.mean_base.withColumn("W", F.concat(F.lit("W"), F.col("well").cast("string")))
+    parts = [
+        long_rows(got.devices.withColumn("all", F.lit("")), "device", "all", QC_COUNTS),
+        long_rows(breaks, "break", "BreakNr", ["Index", "Interval"]),
+        long_rows(shared, "shared", "where", LICK_COUNTS),
+        long_rows(got.bleeding, "bleeding", "Signal", RESPONSES),
+        long_rows(means, "mean", "W", ["MeanBase"]),
+    ]
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    return shown(rows)
+
+
+def long_sql(rows, part_name, item, values):
+    return "\nunion all\n".join(
+        f"select dfm, '{part_name}' as part, {item} as item, '{c}' as name, "
+        f"{r6(f'cast({v} as double)')} as value from ({rows})"
+        for c, v in values
+    )
+
+
+oracle(
+    "qc_full",
+    "\nunion all\n".join(
+        [
+            long_sql("select dfm, count(*) as n, max(minutes) - min(minutes) as e, "
+                     "count(*) filter (error_code <> 0) as f from sig group by dfm",
+                     "device", "''", [("Rows", "n"), ("ElapsedFromMinutes", "e"), ("Flagged", "f")]),
+            long_sql("select d.dfm, count(b.dfm) as n from (select distinct dfm from sig) d "
+                     "left join (select dfm from steps where step > 86400) b on b.dfm = d.dfm group by d.dfm",
+                     "device", "''", [("Breaks", "n")]),
+            long_sql(f"select dfm, sum(\"Both\") as s, max(MaxMinSignalAtBoth) as m from ({pair_sql('k1', 'k2', 'before')}) group by dfm",
+                     "device", "''", [("SharedLicks", "s"), ("MaxMinSignalAtBoth", "m")]),
+            long_sql(f"select dfm, {STRONG} as strong from wide group by dfm", "device", "''", [("StrongestResponse", "strong")]),
+            long_sql("select * from (select dfm, sample, step, row_number() over (partition by dfm order by sample) as nr "
+                     "from steps where step > 86400) where nr <= 10",
+                     "break", "cast(nr as varchar)", [("Index", "sample"), ("Interval", "round(step, 3)")]),
+            *[
+                long_sql(pair_sql(a, b, name), "shared", "stage || ' ' || chamber",
+                         [(c, f'"{c}"') for c in LICK_COUNTS])
+                for a, b, name in (("k1", "k2", "before"), ("l1", "l2", "after"))
+            ],
+            *[
+                long_sql("select dfm, " + ", ".join(f"coalesce(avg(W{j}) filter (W{i} > {CUT}), 0.0) as r{j}" for j in range(1, 13))
+                         + " from wide group by dfm", "bleeding", f"'W{i}Sig'", [(f"W{j}Resp", f"r{j}") for j in range(1, 13)])
+                for i in range(1, 13)
+            ],
+            long_sql("select dfm, well, avg(base) as m from bas group by dfm, well", "mean", "'W' || well", [("MeanBase", "m")]),
+        ]
+    ),
+    "steps",
+    "pairs",
+    "wide",
+    "bas",
+)
+
 # ---- accessors -------------------------------------------------------------
 
 
