@@ -10,7 +10,9 @@ The masks miss no passage of that length and share; other lengths and shares nee
 
 Item hashes are joined by broadcast only when their counted number is within
 `BROADCAST_ROWS`; beyond it the same join shuffles. Documents whose texts are read again
-for verification are those with a hit only.
+for verification are those with a hit only; they meet the items in blocks of `BLOCK` tokens,
+so a diagonal costs what its item is long and work grows with the text, also where a text
+repeats the words of an item throughout.
 
 Defined results: null, empty and short texts (fewer tokens than the shortest mask) have no hits;
 an item shorter than a mask is looked up by the masks that fit; repeated documents are
@@ -37,6 +39,8 @@ MASKS = (
 MIN_TOKENS = 12
 MIN_SHARE = 0.8
 BROADCAST_ROWS = 300_000
+#: Tokens of a text that are moved together for verification.
+BLOCK = 256
 
 
 def tokens(text: Column) -> Column:
@@ -66,13 +70,19 @@ def _seeds(df: DataFrame, id_col: str, masks=MASKS) -> DataFrame:
 
 
 def _best_stretch(equal: Column, min_tokens: int, min_share: float) -> Column:
+    """The best stretch of a diagonal whose equal tokens are given as 1, the others as 0."""
+    places = F.filter(F.transform(equal, lambda x, i: F.when(x == 1, i)), lambda i: i.isNotNull())
+    return _best_of_places(places, min_tokens, min_share)
+
+
+def _best_of_places(places: Column, min_tokens: int, min_share: float) -> Column:
     """(n_equal, back, n) of the best stretch of a diagonal, from an equal token to an equal token; null if none.
 
-    From the k-th equal token, at p, to the l-th, at q, the share is kept where
+    `places` are the positions of its equal tokens in rising order. From the k-th, at p, to
+    the l-th, at q, the share is kept where
     k - share * p <= l + 1 - share * (q + 1). In the order of these values the least k met
     before an l begins its longest stretch, so one sort and one pass see all stretches.
     """
-    places = F.filter(F.transform(equal, lambda x, i: F.when(x == 1, i)), lambda i: i.isNotNull())
 
     def ends(of: Column, side: int) -> Column:
         return F.transform(
@@ -104,6 +114,12 @@ def _best_stretch(equal: Column, min_tokens: int, min_share: float) -> Column:
     return F.aggregate(F.array_sort(F.concat(ends(places, 0), ends(places, 1))), zero, step)["best"]
 
 
+def _blocks(low: Column, high: Column) -> Column:
+    """Numbers of the blocks that hold positions from low up to, not including, high."""
+    number = lambda x: F.floor(x / BLOCK).cast("int")
+    return F.when(high > low, F.sequence(number(low), number(high - 1)))
+
+
 def find_overlaps(
     docs: DataFrame,
     items: DataFrame,
@@ -135,21 +151,41 @@ def find_overlaps(
     lanes = stage(lanes, "lanes")
     # read again only what has a hit; tokens are made after the join
     texts = train.join(few(lanes.select("id").distinct()), "id", "left_semi").select(
-        "id", tokens(F.col("text")).alias("words")
+        "id", F.xxhash64("text").alias("version"), tokens(F.col("text")).alias("words")
     )
-    both = lanes.join(texts, "id").join(test.select("item", F.col("words").alias("wanted")), "item")
+    # texts and items meet in blocks, so a lane moves as many tokens as its item has, however
+    # long the text, and a text with very many lanes is dealt out by its blocks
+    n_words = F.size("words").alias("n_words")
+    parts = texts.select("id", "version", n_words, "words", F.explode(_blocks(F.lit(0), F.size("words"))).alias("block"))
+    parts = parts.withColumn("words", F.slice("words", F.col("block") * BLOCK + 1, BLOCK))
+    asked = lanes.join(test.select("item", F.xxhash64("words").alias("item_version"), "words"), "item")
+    low = F.greatest(F.lit(0), F.col("shift"))
+    asked = asked.select(
+        "id", "item", "item_version", "shift", F.size("words").alias("n_wanted"), F.col("words").alias("wanted"),
+        F.explode(_blocks(low, F.size("words") + F.col("shift"))).alias("block"),
+    )
+    # the first place of the item in this block, and of the block on the item
+    at = F.greatest(F.lit(0), F.col("block") * BLOCK - F.col("shift"))
+    asked = asked.withColumn("at", at)
+    upto = F.least(F.col("n_wanted"), (F.col("block") + 1) * BLOCK - F.col("shift"))
+    asked = asked.withColumn("wanted", F.slice("wanted", F.col("at") + 1, upto - F.col("at")))
+    both = asked.join(parts, ["id", "block"])
     first = F.greatest(F.lit(0), -F.col("shift"))
-    last = F.least(F.size("wanted"), F.size("words") - F.col("shift"))
-    both = both.select("id", "item", "shift", first.alias("first"), last.alias("last"), "words", "wanted")
-    equal = F.zip_with(
-        F.slice("wanted", F.col("first") + 1, F.col("last") - F.col("first")),
-        F.slice("words", F.col("first") + F.col("shift") + 1, F.col("last") - F.col("first")),
-        lambda a, b: F.when(a == b, 1).otherwise(0),
+    both = both.withColumn("first", first).withColumn(
+        "size", F.least("n_wanted", F.col("n_words") - F.col("shift")) - F.col("first")
+    )
+    here = F.slice("words", F.col("at") + F.col("shift") - F.col("block") * BLOCK + 1, F.size("wanted"))
+    same = F.zip_with("wanted", here, lambda x, y: x == y)
+    places = F.filter(
+        F.transform(same, lambda x, i: F.when(x, i + F.col("at") - F.col("first"))), lambda i: i.isNotNull()
     )
-    lanes = both.where(F.col("last") - F.col("first") >= min_tokens).select(
-        "id", "item", "shift", "first", (F.col("last") - F.col("first")).alias("size"), equal.alias("equal")
+    # equal rows of documents give equal pieces; versions keep texts of one id apart
+    pieces = both.where(F.col("size") >= min_tokens).withColumn("places", places).where(F.size("places") > 0)
+    joined = pieces.groupBy("id", "version", "item", "item_version", "shift", "first", "size").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_set(F.struct("block", "places"))), lambda x: x["places"])).alias("places")
     )
-    found = lanes.withColumn("found", _best_stretch(F.col("equal"), min_tokens, min_share)).where("found is not null")
+    enough = joined.where(F.size("places") >= min_share * min_tokens - 1e-6)
+    found = enough.withColumn("found", _best_of_places(F.col("places"), min_tokens, min_share)).where("found is not null")
     # a stretch below the least length takes in tokens beside it
     n_tokens = F.greatest(F.col("found.n"), F.lit(min_tokens))
     sure = found.select(

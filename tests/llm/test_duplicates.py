@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -341,6 +342,43 @@ def test_overlaps_with_changed_tokens(spark, make):
     assert sorted((g["doc_id"], g["item_id"]) for g in got) == [(i, i) for i in range(len(items))]
 
 
+def test_a_text_that_repeats_an_item(spark, make):
+    """20,000 tokens of one sentence: diagonals cost what the item is long, not the text."""
+    sentence = [f"w{k}" for k in range(12)]
+    items = [" ".join([*[f"i{n}x{k}" for k in range(20)], *sentence, *[f"j{n}x{k}" for k in range(20)]]) for n in range(5)]
+    table = spark.createDataFrame([*enumerate(items)], "item_id bigint, text string")
+    long = " ".join(sentence * 1667)
+    started = time.time()
+    got = decontam.find_overlaps(make([long, "a b c", long]), table).collect()
+    assert time.time() - started < 60
+    want = {(d, i): (0, 12, 12) for d in (0, 2) for i in range(5)}
+    assert {(g["doc_id"], g["item_id"]): (g["start"], g["n_tokens"], g["n_equal"]) for g in got} == want
+
+
+@pytest.mark.parametrize("block", [1, 7, 256])
+def test_blocks_do_not_change_overlaps(spark, make, monkeypatch, block):
+    """All diagonals by brute force; items longer than a block, texts that share an id, repeated rows."""
+    monkeypatch.setattr(decontam, "BLOCK", block)
+    r = random.Random(9)
+    items = [[r.choice("abcdefgh") + str(r.randrange(3)) for _ in range(n)] for n in (12, 13, 30, 70, 300)]
+    rows = []
+    for d in range(12):
+        item = items[d % 5]
+        copy = [w if r.random() > 0.12 else "zz" for w in item]
+        rows.append((d // 2, [f"k{r.randrange(9)}" for _ in range(r.randrange(20))] + copy[r.randrange(3) :] + copy[:9]))
+    rows += rows[:2]
+    table = spark.createDataFrame([*((i, " ".join(w)) for i, w in enumerate(items)), (0, " ".join(items[2]))], "item_id bigint, text string")
+    got = decontam.find_overlaps(make([(d, " ".join(w)) for d, w in rows]), table).collect()
+    want = {}
+    for d, doc in rows:
+        for i, item in [*enumerate(items), (0, items[2])]:
+            for shift in range(1 - len(item), len(doc)):
+                lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
+                if hi - lo >= 12 and (n := plain_stretch([int(item[k] == doc[k + shift]) for k in range(lo, hi)])):
+                    want[d, i] = max(n, want.get((d, i), 0))
+    assert {(g["doc_id"], g["item_id"]): g["n_equal"] for g in got} == want and want
+
+
 def test_overlaps_of_nothing(spark, make):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontam.find_overlaps(make(["a b c"]), none).count() == 0
