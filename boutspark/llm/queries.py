@@ -200,4 +200,45 @@ from positives p join scores n
 qualify rank <= 10
 """
 
-ORACLES = {"op1_license_scan": _license_sql(), "op11_hard_negatives": _NEGATIVES_SQL}
+# every diagonal with enough equal tokens, without seeds; all its stretches from an equal token to another
+_OVERLAPS_SQL = r"""
+with d as (
+  select row_number() over () as row, doc_id,
+         string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') as w
+  from documents where doc_id is not null
+), i as (
+  select row_number() over () as item_row, item_id,
+         string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') as w
+  from benchmark where item_id is not null
+), dt as (
+  select row, unnest(w) as w, unnest(range(len(w))) as pos from d where len(w) >= 12
+), it as (
+  select item_row, unnest(w) as w, unnest(range(len(w))) as place from i where len(w) >= 12
+), lanes as (
+  select row, item_row, pos - place as shift, list(place order by place) as places
+  from dt join it using (w) where w <> '' group by all having count(*) >= 10
+), sized as (
+  select row, item_row, doc_id, item_id, shift, greatest(0, -shift) as first,
+         least(len(i.w), len(d.w) - shift) - greatest(0, -shift) as size, places
+  from lanes join d using (row) join i using (item_row)
+), equal as (
+  select *, unnest(places) - first as p, unnest(range(len(places))) as k from sized where size >= 12
+), stretches as (
+  select a.doc_id, a.item_id, a.shift, a.first, a.size, a.p, b.k - a.k + 1 as n_equal, b.p - a.p + 1 as n
+  from equal a join equal b on a.row = b.row and a.item_row = b.item_row and a.shift = b.shift and a.k <= b.k
+  where 5 * (b.k - a.k + 1) >= 4 * (b.p - a.p + 1) and (b.p - a.p + 1 >= 12 or b.k - a.k + 1 >= 10)
+), best as (
+  select *, greatest(n, 12) as n_tokens from stretches
+  qualify row_number() over (partition by doc_id, item_id, shift order by n_equal desc, p, n desc) = 1
+), placed as (
+  select doc_id, item_id, first + shift + least(p, size - n_tokens) as start, n_tokens, n_equal from best
+)
+select doc_id, item_id, start::bigint as start, n_tokens::bigint as n_tokens, n_equal::bigint as n_equal from placed
+qualify row_number() over (partition by doc_id, item_id order by n_equal desc, start, n_tokens desc) = 1
+"""
+
+ORACLES = {
+    "op1_license_scan": _license_sql(),
+    "op9_contamination": _OVERLAPS_SQL,
+    "op11_hard_negatives": _NEGATIVES_SQL,
+}
