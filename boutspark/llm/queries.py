@@ -237,8 +237,62 @@ select doc_id, item_id, start::bigint as start, n_tokens::bigint as n_tokens, n_
 qualify row_number() over (partition by doc_id, item_id order by n_equal desc, start, n_tokens desc) = 1
 """
 
+# all pairs that share a shingle, links closed by recursion
+_NEAR_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as w
+  from documents where doc_id is not null
+), s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then []
+    else list_transform(range(greatest(1, len(w) - 4)), lambda k: array_to_string(w[k + 1 : k + 5], ' ')) end) as shingle
+  from d
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), pairs as (
+  select a.doc_id as x, b.doc_id as y, count(*) as shared
+  from s a join s b using (shingle) where a.doc_id < b.doc_id group by all
+), links as (
+  select x, y from pairs join n a on a.doc_id = x join n b on b.doc_id = y where 100 * shared >= 85 * (a.n + b.n - shared)
+), sides as (
+  select x, y from links union all select y, x from links
+), reach as (
+  select doc_id as x, doc_id as y from d union select r.x, l.y from reach r join sides l on l.x = r.y
+)
+select x as doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(y)::bigint as component_id, x = min(y) as kept
+from reach left join n on n.doc_id = x group by x
+"""
+
+# every 200-byte string by its digest; places where one starts again are joined to runs
+_REPEATS_SQL = """
+with d as (
+  select row_number() over () as row, doc_id, encode(coalesce(text, '')) as b from documents
+), strings as (
+  select row, s, md5(b[s + 1 : s + 200]) as h from (select row, b, unnest(range(octet_length(b) - 199)) as s from d)
+), again as (
+  select row, s from strings qualify count(*) over (partition by h) > 1
+), stepped as (
+  select row, s, coalesce((s - lag(s) over (partition by row order by s) > 200)::int, 1) as fresh from again
+), runs as (
+  select row, min(s) as first, max(s) + 200 as past
+  from (select row, s, sum(fresh) over (partition by row order by s) as run from stepped) group by row, run
+), pieces as (
+  select row, first, past, coalesce(lag(past) over (partition by row order by first), 0) as before from runs
+), cut as (
+  select row, sum(past - first) as n_removed, count(*) as n_spans, max(past) as past,
+         string_agg(hex(b[before + 1 : first]), '' order by first) as kept
+  from pieces join d using (row) group by row
+)
+select doc_id, octet_length(b)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed,
+       coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(unhex(coalesce(kept, '') || hex(b[coalesce(past, 0) + 1 : octet_length(b)]))) as kept_sha256
+from d left join cut using (row)
+"""
+
 ORACLES = {
     "op1_license_scan": _license_sql(),
+    "op5_near_duplicates": _NEAR_SQL,
+    "op7_repeats": _REPEATS_SQL,
     "op9_contamination": _OVERLAPS_SQL,
     "op11_hard_negatives": _NEGATIVES_SQL,
 }
