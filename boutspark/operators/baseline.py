@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boutspark.params import REC, Params, Settings, Swept, attach, carried, value
-from boutspark.operators.scan import CHUNK_ROWS
+from boutspark.operators.scan import CHUNK_ROWS, spread_join
 
 
 def window_samples(settings: Settings) -> Column:
@@ -122,7 +122,7 @@ def thresholds(df: DataFrame, settings: Settings, by: Sequence[str] = REC) -> Da
 def with_thresholds(df: DataFrame, settings: Settings, by: Sequence[str] = REC) -> DataFrame:
     """Bring the four levels onto the samples; a join only for relative levels.
 
-    After the join samples are laid out by chunk again: a layout by well would
+    The levels of a device's wells are dealt to its chunks: a join on the well would
     keep a long recording in one task.
     """
     fixed = (isinstance(settings, Params) and settings.feeding_threshold >= 0) or (
@@ -132,4 +132,5 @@ def with_thresholds(df: DataFrame, settings: Settings, by: Sequence[str] = REC)
         return df.withColumns(
             {lv: value(settings, name).cast("double") for lv, name in _LEVELS.items()}
         )
-    return df.join(thresholds(df, settings, by), [*by, "well"]).repartition(*by, "chunk")
+    levels = thresholds(df, settings, by)
+    return spread_join(df.repartition(*by, "chunk"), levels, by, within="well")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutspark.functions.scalars import lick_transform, preference, within
-from boutspark.operators.scan import CHUNK_ROWS, chunk_of, ordered_scan
+from boutspark.operators.scan import CHUNK_ROWS, chunk_of, ordered_scan, spread_join
 from boutspark.operators.summary import with_design
 from boutspark.params import REC, Settings, value
 
@@ -173,17 +173,16 @@ def light_marks(
     keys = [*by, "chamber", "well"]
     point = F.struct(F.col("Minutes").alias("x"), F.col("CumLicks").alias("y"))
     many = curve.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").select(*keys)
-    points = curve.join(many, keys, "left_semi").select(*keys, "pos", point.alias("_p"))
-    lit = (
-        labelled.filter(within(F.col("minutes"), start, end) & F.col("lit"))
-        .select(*keys, "pos", F.col("minutes").alias("Minutes"))
-        .join(many, keys, "left_semi")
+    points = curve.select(*keys, "pos", point.alias("_p"))
+    lit = labelled.filter(within(F.col("minutes"), start, end) & F.col("lit")).select(
+        *keys, "pos", F.col("minutes").alias("Minutes")
     )
-    rows = (
+    marked = (
         points.withColumn("_mark", F.lit(0))
         .unionByName(lit.withColumn("_mark", F.lit(1)), allowMissingColumns=True)
         .withColumn("chunk", chunk_of("pos", chunk_rows))
     )
+    rows = spread_join(marked, many, keys)
     near = ordered_scan(
         rows,
         keys,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutspark.functions.scalars import in_training
-from boutspark.operators.scan import ordered_scan
+from boutspark.operators.scan import ordered_scan, spread_join
 from boutspark.params import REC
 
 # Per wiring, the wells whose training mark ends the training of
@@ -79,7 +79,7 @@ def breaking_points(
         table = ends.select(*by, F.col("well").alias("_ref"), F.col("Minutes").alias("_end"))
         rows = (
             rows.withColumn("_ref", ref)
-            .join(table, [*by, "_ref"], "left")
+            .transform(lambda df: spread_join(df, table, by, "left", within="_ref"))
             .withColumn("_end", F.coalesce("_end", F.lit(0.0)))
             .drop("_ref")
         )

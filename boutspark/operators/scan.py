@@ -101,3 +101,40 @@ def ordered_scan(
         carry, [*keys, chunk]
     )
     return joined.select(*kept, *[c.alias(n) for n, c in final.items()])
+
+
+def spread_join(
+    df: DataFrame,
+    small: DataFrame,
+    keys: Sequence[str],
+    how: str = "inner",
+    *,
+    within: str | None = None,
+    chunk: Sequence[str] = ("chunk",),
+) -> DataFrame:
+    """Bring the one row per key of `small` onto `df`, chunk by chunk.
+
+    A plain join sends every row of a key to one task. Here the small side is dealt
+    to the chunks its key has in `df`, one row each, and both meet on (keys, chunk):
+    no task needs more than one chunk of a key, and rows already laid out that way
+    stay where they are. `within` names a further key of few values, such as the
+    well of a device: its rows travel as one map per chunk, so the layout stays
+    without it. Reads the keys and chunks of `df` a second time. Keys are never
+    null, and no (keys, within) repeats in `small`.
+    """
+    keys, chunk = list(keys), list(chunk)
+    values = [c for c in small.columns if c not in keys and c != within]
+    dealt = F.struct(*values) if values else F.struct(F.lit(True).alias("_here"))
+    if within is None:
+        table = small.select(*keys, dealt.alias("_dealt"))
+        found = F.col("_dealt")
+    else:
+        entries = F.collect_list(F.struct(F.col(within).alias("k"), dealt.alias("v")))
+        table = small.groupBy(*keys).agg(F.map_from_entries(entries).alias("_dealt"))
+        found = F.col("_dealt")[F.col(within)]
+    chunks = df.select(*keys, *chunk).distinct()
+    joined = df.join(chunks.join(table, keys), [*keys, *chunk], "left" if how == "left" else "inner")
+    met = joined.withColumn("_dealt", found)
+    if how != "left":
+        met = met.filter(F.col("_dealt").isNotNull())
+    return met.select(*df.columns, *[F.col("_dealt")[c].alias(c) for c in values])

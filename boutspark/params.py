@@ -13,6 +13,8 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boutspark.operators.scan import spread_join
+
 # Keys of one recording. Further keys (for example the value of a parameter
 # sweep) are added by passing a longer `by`.
 REC = ("project", "dfm")
@@ -122,8 +124,9 @@ _PREFIX = "p_"
 def attach(df: DataFrame, settings: Settings, by: Sequence[str] = REC) -> DataFrame:
     """Bring per-device parameters onto `df`; a no-op for shared parameters.
 
-    No broadcast hint: Spark broadcasts the table when its measured size is
-    below the session threshold and otherwise joins by shuffle.
+    Samples take them chunk by chunk, so a long recording is not one task. No
+    broadcast hint: Spark broadcasts the table when its measured size is below the
+    session threshold and otherwise joins by shuffle.
     """
     if not isinstance(settings, DataFrame):
         return df
@@ -133,7 +136,9 @@ def attach(df: DataFrame, settings: Settings, by: Sequence[str] = REC) -> DataFr
     renamed = settings.select(
         *keys, *[F.col(c).alias(_PREFIX + c) for c in settings.columns if c in _FIELD_NAMES]
     )
-    return df.join(renamed, keys)
+    if "chunk" not in df.columns:
+        return df.join(renamed, keys)
+    return spread_join(df, renamed, keys)
 
 
 def value(settings: Settings, name: str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from boutspark.functions.scalars import well_is_lit, without_training_mark
 from boutspark.operators.access import wells_long
-from boutspark.operators.scan import CHUNK_ROWS, chunk_of, ordered_scan
+from boutspark.operators.scan import CHUNK_ROWS, chunk_of, ordered_scan, spread_join
 from boutspark.params import REC, WELLS_PER_DEVICE
 
 # File name patterns and clock formats.
@@ -197,7 +197,8 @@ def _scan(spark: SparkSession, paths: Sequence[str], version: int) -> DataFrame:
         first = ticks.groupBy(*REC).agg(
             F.min_by("_clock", F.struct("part", "_split", "_row")).alias("_first")
         )
-        ticks = ticks.join(first, list(REC)).withColumn(
+        # dealt to the pieces of the files: a device is not one task
+        ticks = spread_join(ticks, first, REC, chunk=["part", "_split"]).withColumn(
             "seconds",
             (F.unix_micros("_clock") - F.unix_micros("_first")) / 1e6 + F.col("_msec") / 1000.0,
         )
