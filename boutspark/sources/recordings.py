@@ -16,6 +16,7 @@ from boutspark.functions.scalars import well_is_lit, without_training_mark
 from boutspark.operators.access import wells_long
 from boutspark.operators.scan import CHUNK_ROWS, chunk_of, ordered_scan, spread_join
 from boutspark.params import REC, WELLS_PER_DEVICE
+from boutspark.sources.files import can_open, with_headers
 
 # File name patterns and clock formats.
 V3_NAME = r"DFM(\d+)_([^/]*)\.csv$"
@@ -99,14 +100,15 @@ def read_ticks(
     load window is open, start < minutes < end, and is applied before numbering.
     """
     chosen = chosen_files(list_files(spark, root), devices)
-    # the list of file names is what the scan is planned from
-    paths = [(r["path"], r["rank"]) for r in chosen.select("path", "rank").collect()]
-    if not paths:
-        raise ValueError(f"no device files to load below {root}")
-    rank_of = dict(paths)
+    # the list of file names and headers is what the scan is planned from
+    newest = F.col("rank") == 3
+    headed = _headers(chosen.select("path", newest.alias("newest")), root)
     alike: dict[tuple[bool, str], list[str]] = {}
-    for path, header in _headers(spark, list(rank_of)):
-        alike.setdefault((rank_of[path] == 3, header), []).append(path)
+    for path, newest, header in headed.collect():
+        if header is not None:
+            alike.setdefault((newest, header), []).append(path)
+    if not alike:
+        raise ValueError(f"no device files to load below {root}")
     parts = [_scan(spark, sorted(found), 3 if newest else 2) for (newest, _), found in sorted(alike.items())]
     ticks = parts[0]
     for other in parts[1:]:
@@ -131,16 +133,31 @@ def read_ticks(
     )
 
 
-def _headers(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str]]:
-    """(path, header) of every file with one: its first line, which starts with a letter."""
-    lines = spark.read.text(list(paths)).where(F.col("value").rlike(r'^\W*\p{L}'))
+def _headers(files: DataFrame, root: str) -> DataFrame:
+    """(path, newest, header): the first line that starts with a letter, null without one.
+
+    From the first blocks of the files; where the tasks cannot open files of this kind
+    themselves, from a scan of their lines.
+    """
+    if can_open(root):
+        return with_headers(files)
+    paths = [r["path"] for r in files.select("path").collect()]
+    if not paths:
+        return files.withColumn("header", F.lit(None).cast("string"))
+    lines = files.sparkSession.read.text(paths).where(F.col("value").rlike(r'^\W*\p{L}'))
     placed = lines.select(
-        F.col("_metadata.file_path").alias("path"),
+        _decoded(F.col("_metadata.file_path")).alias("path"),
         F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("_place"),
-        "value",
+        F.trim("value").alias("value"),
     )
     first = placed.groupBy("path").agg(F.min_by("value", "_place").alias("header"))
-    return [(r["path"], r["header"].strip()) for r in first.collect()]
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    return files.join(first.withColumnRenamed("path", "_path"), plain(F.col("path")) == plain(F.col("_path")), "left").drop("_path")
+
+
+def _decoded(path: Column) -> Column:
+    """A path of the scan's metadata, where blanks and the like are escaped, as files are listed."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def _scan(spark: SparkSession, paths: Sequence[str], version: int) -> DataFrame:
@@ -148,7 +165,7 @@ def _scan(spark: SparkSession, paths: Sequence[str], version: int) -> DataFrame:
     names = rows.columns
     rows = rows.select(
         *names,
-        F.col("_metadata.file_path").alias("path"),
+        _decoded(F.col("_metadata.file_path")).alias("path"),
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_row"),
     )
