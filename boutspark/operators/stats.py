@@ -465,59 +465,76 @@ def tukey(
 
 
 def mixed_model(
-    df: DataFrame, y: str, factors: Sequence[str], device: Sequence[str] = ("project", "dfm")
+    df: DataFrame,
+    y: str,
+    factors: Sequence[str],
+    device: Sequence[str] = ("project", "dfm"),
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Crossed factors with a random intercept per device, fitted by REML.
 
-    Per device the model needs only n, the count and the sum of y in every
-    cell. Devices of equal size share the inverse covariance, so their moments
-    are added up on Spark in a long table (device size, cell, cell). What is
-    left, the squares of the model's cells per device size, is solved in one
-    task when the result is read.
+    One fit per value of `keys` (never null), each in a task of its own; without keys
+    one fit of all rows. Per device the model needs only n, the count and the sum of y
+    in every cell. Devices of equal size share the inverse covariance, so their moments
+    are added up on Spark in a long table (device size, cell, cell). What is left of a
+    fit, the squares of the model's cells per device size, is solved when it is read.
     """
     ship(df.sparkSession)
-    factors, device = list(factors), list(device)
+    factors, keys = list(factors), list(keys)
+    device = [*keys, *[d for d in device if d not in keys]]
     rows = df.filter(F.col(y).isNotNull() & ~F.isnan(y))
-    rows = stage(rows.select(*dict.fromkeys([*device, *factors, y])), "observations")
-    # REML does not depend on the origin, sums of squares do
-    center = rows.select(F.avg(y)).scalar()
-    shifted = rows.withColumn("_y", F.col(y) - center)
     cell = F.to_json(F.struct(*[F.col(f).alias(f"f{i}") for i, f in enumerate(factors)]))
-    per_cell = (
-        shifted.groupBy(*device, *factors)
-        .agg(F.count(F.lit(1)).cast("double").alias("s"), F.sum("_y").alias("sy"), F.sum(F.col("_y") * F.col("_y")).alias("yy"))
-        .withColumn("cell", cell)
+    inside = rows.groupBy(*dict.fromkeys([*device, *factors])).agg(
+        F.count(F.lit(1)).cast("double").alias("s"), F.avg(y).alias("_m"), F.var_pop(y).alias("_v")
+    )
+    inside = stage(inside.select(*device, cell.alias("cell"), "s", "_m", "_v"), "observations")
+    # REML does not depend on the origin, sums of squares do
+    middle = F.sum(F.col("s") * F.col("_m")) / F.sum("s")
+    if keys:
+        centers = inside.groupBy(*keys).agg(middle.alias("_center"))
+        centred = lambda table: table.join(centers, keys)
+    else:
+        center = inside.select(middle).scalar()
+        centred = lambda table: table.withColumn("_center", center)
+    away = F.col("_m") - F.col("_center")
+    per_cell = centred(inside).select(
+        *device, "cell", "s", (F.col("s") * away).alias("sy"), (F.col("s") * (F.col("_v") + away * away)).alias("yy")
     )
     devices = per_cell.groupBy(*device).agg(
         F.sum("s").alias("n"), F.sum("sy").alias("t"), F.sum("yy").alias("yy")
     )
     none = F.lit(None).cast("string")
-    sizes = devices.groupBy("n").agg(
+    sizes = devices.groupBy(*keys, "n").agg(
         F.count(F.lit(1)).cast("double").alias("a"), F.sum("yy").alias("b"), F.sum(F.col("t") * F.col("t")).alias("c")
-    ).select("n", none.alias("i"), none.alias("j"), "a", "b", "c")
+    ).select(*keys, "n", none.alias("i"), none.alias("j"), "a", "b", "c")
     sized = per_cell.drop("yy").join(devices.select(*device, "n", "t"), device)
-    singles = sized.groupBy("n", "cell").agg(
+    singles = sized.groupBy(*keys, "n", "cell").agg(
         F.sum("s").alias("a"), F.sum("sy").alias("b"), F.sum(F.col("s") * F.col("t")).alias("c")
-    ).select("n", F.col("cell").alias("i"), none.alias("j"), "a", "b", "c")
+    ).select(*keys, "n", F.col("cell").alias("i"), none.alias("j"), "a", "b", "c")
     # the cells of one device beside each other: pairs of treatments, not of observations
     other = per_cell.select(*device, F.col("cell").alias("j"), F.col("s").alias("s2"))
     crossed = (
         sized.join(other, device)
         .filter(F.col("cell") <= F.col("j"))
-        .groupBy("n", F.col("cell").alias("i"), "j")
+        .groupBy(*keys, "n", F.col("cell").alias("i"), "j")
         .agg(F.sum(F.col("s") * F.col("s2")).alias("a"))
-        .select("n", "i", "j", "a", F.lit(0.0).alias("b"), F.lit(0.0).alias("c"))
+        .select(*keys, "n", "i", "j", "a", F.lit(0.0).alias("b"), F.lit(0.0).alias("c"))
     )
     moments = sizes.unionAll(singles).unionAll(crossed)
 
-    def fit(table: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_mixed_rows(table, factors), columns=[f.name for f in _MIXED])
+    def fit(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+        found = [(*key, *row) for row in _mixed_rows(table, factors)]
+        return pd.DataFrame(found, columns=[*keys, *[f.name for f in _MIXED]])
 
-    found = moments.withColumn("_all", F.lit("all")).groupBy("_all").applyInPandas(fit, T.StructType(_MIXED))
-    origin = F.when(F.col("term") == "Intercept", center).otherwise(F.lit(0.0))
-    return found.withColumns({c: F.col(c) + origin for c in ("coef", "lower", "upper")}).withColumn(
-        "z", F.when(F.col("std_err") > 0, F.col("coef") / F.col("std_err"))
-    ).withColumn("p", _normal_tail("z"))
+    kinds = T.StructType([*[inside.schema[k] for k in keys], *_MIXED])
+    found = centred(moments.groupBy(*keys).applyInPandas(fit, kinds))
+    origin = F.when(F.col("term") == "Intercept", F.col("_center")).otherwise(F.lit(0.0))
+    return (
+        found.withColumns({c: F.col(c) + origin for c in ("coef", "lower", "upper")})
+        .withColumn("z", F.when(F.col("std_err") > 0, F.col("coef") / F.col("std_err")))
+        .withColumn("p", _normal_tail("z"))
+        .drop("_center")
+    )
 
 
 _MIXED = [

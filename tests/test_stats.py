@@ -149,6 +149,21 @@ def test_mixed_model_against_dense_matrices(spark, observations):
     assert got.coef["Residual Var"] == pytest.approx(s2, rel=1e-2)
 
 
+def test_mixed_model_per_key(spark, observations):
+    """Every key has the fit it has alone; both are far from the origin."""
+    many = pd.concat([observations.assign(metric=m, y=observations.y * f + 1e6) for m, f in (("one", 1.0), ("two", -3.0))])
+    many.loc[(many.metric == "two") & (many.dfm == 3), "y"] = np.nan
+    df = spark.createDataFrame(many)
+    got = stats.mixed_model(df, "y", ["A", "B"], keys=["metric"]).toPandas()
+    assert sorted(got.metric.unique()) == ["one", "two"]
+    for metric, part in got.groupby("metric"):
+        alone = stats.mixed_model(df.where(F.col("metric") == metric), "y", ["A", "B"]).toPandas()
+        a, b = part.set_index("term").sort_index(), alone.set_index("term").sort_index()
+        assert list(a.index) == list(b.index)
+        for c in ("coef", "std_err", "z", "p", "lower", "upper"):
+            assert a[c].tolist() == pytest.approx(b[c].tolist(), rel=1e-5, abs=1e-7, nan_ok=True), c
+
+
 def test_tukey_pairs(spark, observations):
     d = observations
     got = stats.tukey(spark.createDataFrame(d), "y", "A").toPandas()
