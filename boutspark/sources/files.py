@@ -37,9 +37,13 @@ def can_open(path: str) -> bool:
     return True
 
 
-def header_of(path: str, block: int = BLOCK) -> str | None:
-    """The first line that starts with a letter; reads no block after it."""
+def header_of(path: str, block: int = BLOCK, first: bool = False) -> str | None:
+    """The first line that starts with a letter; reads no block after it.
+
+    With `first` a line before it that is not blank is an error.
+    """
     system, place = file_system(path)
+    before = False
     with system.open_input_file(place) as f:
         rest = b""
         while True:
@@ -50,7 +54,10 @@ def header_of(path: str, block: int = BLOCK) -> str | None:
             for line in lines:
                 text = line.decode("utf-8", "replace").strip()
                 if _HEADER.match(text):
+                    if first and before:
+                        raise ValueError(f"lines before the header of {path}")
                     return text
+                before |= bool(text)
             if not piece:
                 return None
 
@@ -66,7 +73,7 @@ def with_headers(files: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(header=[header_of(p) for p in batch["path"]])
+            yield batch.assign(header=[header_of(p, first=True) for p in batch["path"]])
 
     schema = files.withColumn("header", F.lit(None).cast("string")).schema
     return files.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(read, schema)

@@ -17,6 +17,7 @@ from boutspark.operators.access import wells_long
 from boutspark.operators.scan import CHUNK_ROWS, chunk_of, ordered_scan, spread_join
 from boutspark.params import REC, WELLS_PER_DEVICE
 from boutspark.sources.files import can_open, with_headers
+from boutspark.staging import stage
 
 # File name patterns and clock formats.
 V3_NAME = r"DFM(\d+)_([^/]*)\.csv$"
@@ -94,22 +95,25 @@ def read_ticks(
 ) -> DataFrame:
     """One row per tick, wells side by side, in recording order (`pos`).
 
-    Everything is read as text and cast, so no pass infers types. Files with the
-    same header are read together; the result has the columns of all of them. The
+    Everything is read as text and cast, so no pass infers types. All files are read
+    by one scan and written once; the result has the columns of all headers. The
     place in the files is the order, and their own counter (`sample`) is data. The
     load window is open, start < minutes < end, and is applied before numbering.
     """
-    chosen = chosen_files(list_files(spark, root), devices)
-    # the list of file names and headers is what the scan is planned from
+    # listed once; what follows reads the written list
+    chosen = chosen_files(stage(list_files(spark, root), "files"), devices)
     newest = F.col("rank") == 3
-    headed = _headers(chosen.select("path", newest.alias("newest")), root)
-    alike: dict[tuple[bool, str], list[str]] = {}
-    for path, newest, header in headed.collect():
-        if header is not None:
-            alike.setdefault((newest, header), []).append(path)
-    if not alike:
+    headed = stage(_headers(chosen.withColumn("newest", newest), root).where("header is not null"), "headed")
+    # the scan is planned from folders and distinct headers, however many files there are
+    kinds = headed.groupBy("newest", "header").agg(F.min("path").alias("path")).orderBy("newest", "header").collect()
+    if not kinds:
         raise ValueError(f"no device files to load below {root}")
-    parts = [_scan(spark, sorted(found), 3 if newest else 2) for (newest, _), found in sorted(alike.items())]
+    named = [_names(spark, path) for _, _, path in kinds]
+    lines = _lines(spark, headed, max(map(len, named)))
+    parts = [
+        _scan(lines.where((F.col("newest") == newest) & (F.col("header") == header)), names, 3 if newest else 2)
+        for (newest, header, _), names in zip(kinds, named, strict=True)
+    ]
     ticks = parts[0]
     for other in parts[1:]:
         ticks = ticks.unionByName(other, allowMissingColumns=True)
@@ -144,13 +148,18 @@ def _headers(files: DataFrame, root: str) -> DataFrame:
     paths = [r["path"] for r in files.select("path").collect()]
     if not paths:
         return files.withColumn("header", F.lit(None).cast("string"))
-    lines = files.sparkSession.read.text(paths).where(F.col("value").rlike(r'^\W*\p{L}'))
+    lines = files.sparkSession.read.text(paths).where(F.col("value").rlike(r"\S"))
     placed = lines.select(
         _decoded(F.col("_metadata.file_path")).alias("path"),
         F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("_place"),
         F.trim("value").alias("value"),
     )
-    first = placed.groupBy("path").agg(F.min_by("value", "_place").alias("header"))
+    told = F.col("value").rlike(r'^\W*\p{L}')
+    first = placed.groupBy("path").agg(
+        F.min_by("value", F.when(told, F.col("_place"))).alias("header"), F.min_by("value", "_place").alias("_top")
+    )
+    late = F.raise_error(F.concat(F.lit("lines before the header of "), "path")).cast("string")
+    first = first.select("path", F.when(F.col("header") != F.col("_top"), late).otherwise(F.col("header")).alias("header"))
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
     return files.join(first.withColumnRenamed("path", "_path"), plain(F.col("path")) == plain(F.col("_path")), "left").drop("_path")
 
@@ -160,16 +169,48 @@ def _decoded(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def _scan(spark: SparkSession, paths: Sequence[str], version: int) -> DataFrame:
-    rows = spark.read.option("header", "true").option("enforceSchema", "false").csv(list(paths))
-    names = rows.columns
-    rows = rows.select(
-        *names,
-        _decoded(F.col("_metadata.file_path")).alias("path"),
-        F.col("_metadata.file_block_start").alias("_split"),
-        F.monotonically_increasing_id().alias("_row"),
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Column names of one file as Spark tells them apart."""
+    return spark.read.option("header", "true").csv(path).columns
+
+
+def _lines(spark: SparkSession, headed: DataFrame, width: int) -> DataFrame:
+    """Every line after the headers of the files in `headed`, its fields as text by their place.
+
+    Written once: each file is opened by one scan, and its name is taken apart once per
+    file. Folders are listed, not files, so the plan does not grow with their number.
+    """
+    parent = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    folders = sorted(r[0] for r in headed.select(parent).distinct().collect())
+    known = set(folders)
+    # a folder below another one is read with it
+    tops = [f for f in folders if not any(f[:i] in known for i, c in enumerate(f) if c == "/")]
+    fields = [f"_c{i}" for i in range(width)]
+    rows = (
+        spark.read.option("header", "true")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "DFM*.csv")
+        .schema(", ".join(f"{c} string" for c in fields))
+        .csv(tops)
+        .select(
+            *fields,
+            _decoded(F.col("_metadata.file_path")).alias("_path"),
+            F.col("_metadata.file_block_start").alias("_split"),
+            F.monotonically_increasing_id().alias("_row"),
+        )
+    )
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    files = headed.select(plain(F.col("path")).alias("path"), *REC, "part", "newest", "header")
+    # one row per file, in no task and not in the driver as a whole
+    met = rows.withColumn("path", plain(F.col("_path"))).drop("_path").join(files.hint("merge"), "path")
+    return stage(met.drop("path"), "lines")
+
+
+def _scan(lines: DataFrame, names: Sequence[str], version: int) -> DataFrame:
+    """Ticks of the files with one header, whose columns are `names`."""
+    described = lines.select(
+        *REC, "part", "_split", "_row", *[F.col(f"_c{i}").alias(n) for i, n in enumerate(names) if n not in REC]
     )
-    described = rows.withColumns(_file_columns())
     index = next((c for c in ("Sample", "Index") if c in names), None)
     if "Seconds" in names:
         seconds = _number("Seconds")

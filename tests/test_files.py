@@ -69,3 +69,37 @@ def test_nothing_to_load(spark, tmp_path):
     (tmp_path / "p" / "data" / "DFM1_1.csv").write_text("")
     with pytest.raises(ValueError, match="no device files"):
         recordings.read_ticks(spark, str(tmp_path))
+
+
+def test_files_are_opened_by_one_scan_of_their_folders(spark, tmp_path, monkeypatch):
+    asked = []
+    plain = type(spark.read).csv
+    monkeypatch.setattr(type(spark.read), "csv", lambda self, path, *a, **k: (asked.append(path), plain(self, path, *a, **k))[1])
+    ticks = spark.createDataFrame(
+        [(p, d, i, i + 1, i / 5, float(i)) for p in ("a", "b") for d in (1, 2) for i in range(30)],
+        "project string, dfm bigint, pos bigint, Sample bigint, Seconds double, W1 double",
+    )
+    write_device_files(ticks.where("dfm = 1"), str(tmp_path), ticks_per_file=2)
+    write_device_files(ticks.where("dfm = 2").withColumn("W2", F.col("W1") + 1), str(tmp_path), ticks_per_file=2)
+    # a file below another folder of files, and one that does not count
+    inner = tmp_path / "a" / "data" / "data"
+    inner.mkdir()
+    (inner / "DFM7_1.csv").write_text("Seconds,W1\n0,5\n\n0.2,6,7\nSeconds,W1\n")
+    (tmp_path / "b" / "data" / "DFM_1.csv").write_text("Index,W1\n1,2\n")
+    got = recordings.read_ticks(spark, str(tmp_path))
+    assert len([p for paths in asked for p in ([paths] if isinstance(paths, str) else paths)]) <= 2 + 3
+    rows = got.where("dfm < 7").groupBy("project", "dfm").agg(F.count("W1").alias("n"), F.count("W2").alias("m"), F.max("pos").alias("p"))
+    assert sorted(map(tuple, rows.collect())) == [(p, d, 30, 30 * (d - 1), 29) for p in ("a", "b") for d in (1, 2)]
+    odd = got.where("dfm = 7").orderBy("pos").collect()
+    assert [(r["project"], r["pos"], r["sample"], r["W1"]) for r in odd] == [("data", 0, 1, 5.0), ("data", 1, 2, 6.0), ("data", 2, 3, None)]
+
+
+@pytest.mark.parametrize("opens", [True, False])
+def test_lines_before_a_header_are_an_error(spark, tmp_path, monkeypatch, opens):
+    folder = tmp_path / "p" / "data"
+    folder.mkdir(parents=True)
+    (folder / "DFM1_1.csv").write_text("Sample,Seconds,W1\n1,0,2\n")
+    (folder / "DFM1_2.csv").write_text("12\nSample,Seconds,W1\n2,1,2\n")
+    monkeypatch.setattr(recordings, "can_open", lambda root: opens)
+    with pytest.raises(Exception, match="lines before the header"):
+        recordings.read_ticks(spark, str(tmp_path)).collect()
