@@ -71,8 +71,10 @@ def bootstrap(
     slots = ranked.join(sizes.select(group, "n"), group).select(
         group, "n", F.col("_rank").alias("_slot")
     )
+    # a fixed number of parts: few slots are many draws, which Spark does not foresee
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     draws = (
-        slots.repartition(group, "_slot")
+        slots.repartition(parts, group, "_slot")
         .withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
         .select(
             group,
@@ -82,16 +84,16 @@ def bootstrap(
     )
     # sums of whole multiples of a power of two do not depend on the order of the rows
     step = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("_top"))) - 52)
-    parts = ranked.join(sizes.select(group, F.when(F.col("_top") > 0, step).otherwise(1.0).alias("_step")), group)
-    parts = parts.withColumn("_part", F.round(F.col(value) / F.col("_step")).cast("decimal(20,0)"))
+    wholes = ranked.join(sizes.select(group, F.when(F.col("_top") > 0, step).otherwise(1.0).alias("_step")), group)
+    wholes = wholes.withColumn("_part", F.round(F.col(value) / F.col("_step")).cast("decimal(20,0)"))
     samples = (
-        draws.groupBy(group, "iter", "_rank")
-        .agg(F.count(F.lit(1)).alias("_times"))
-        .join(parts, [group, "_rank"])
+        # the draws are taken for as small as the slots and would be broadcast: they meet
+        # the values by shuffle, where the values are the side that is kept
+        draws.join(wholes.hint("shuffle_hash"), [group, "_rank"])
         .groupBy(group, "iter")
         .agg(
-            F.sum(F.col("_part") * F.col("_times").cast("decimal(10,0)")).cast("double").alias("_sum"),
-            F.sum("_times").alias("_n"),
+            F.sum("_part").cast("double").alias("_sum"),
+            F.count(F.lit(1)).alias("_n"),
             F.max("_step").alias("_step"),
         )
         .select(group, "iter", (F.col("_sum") * F.col("_step") / F.col("_n")).alias("mean"))

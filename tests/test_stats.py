@@ -209,3 +209,11 @@ def test_removal_reasons(spark):
     assert got == {1: f"LicksA=3 < {cut}; LicksB is NaN/undefined", 3: f"LicksA=1.5 < {cut}; LicksB=0 < {cut}"}
     got = exclude.low_lick_chambers(df, None).collect()
     assert [r["chamber"] for r in got] == [1]
+
+
+def test_bootstrap_draws_are_dealt_and_never_broadcast(spark):
+    rows = [(g, i, 1, float(i % 7)) for g in "ab" for i in range(50)]
+    df = spark.createDataFrame(rows, "Group string, dfm bigint, chamber bigint, Value double")
+    plan = stats.bootstrap(df, ["dfm", "chamber"], n_boot=300, seed=3).samples._jdf.queryExecution().executedPlan().toString()
+    # the join with the values is the one by shuffle; its draws come from a fixed number of parts
+    assert "ShuffledHashJoin" in plan and "REPARTITION_BY_NUM" in plan
