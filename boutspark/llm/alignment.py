@@ -31,7 +31,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 from itertools import chain, islice
 
 import numpy as np
@@ -51,10 +50,6 @@ KEPT_PIECES, KEPT_IDS = 300_000, 4_000_000  # pieces with their ids that a task
 SMALL_GROUP = 4_096  # links up to which a group's links are listed one by one
 
 
-# a single space between two other characters; the space comes first, as it is searched for fastest
-_CUT = re.compile(r" (?<=\S )(?=\S)")
-
-
 def byte_alphabet() -> dict[str, int]:
     """Byte of each character of a byte-level vocabulary: printable bytes are themselves, the rest follow from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -71,7 +66,15 @@ def pieces(text: str) -> list[str]:
     parts = text.split(" ")
     if parts == text.split():
         return parts
-    return _CUT.split(text)
+    out, held, last = [], [parts[0]], parts[0][-1:]
+    for part in parts[1:]:
+        if part and last and not part[0].isspace() and not last.isspace():
+            out.append(" ".join(held))
+            held = []
+        held.append(part)
+        last = part[-1:]
+    out.append(" ".join(held))
+    return out
 
 
 class Numbers(dict):
@@ -120,26 +123,14 @@ class Tokens:
             [x.ids for x in self._a.encode_batch_fast([" " + t for t in new], add_special_tokens=False)],
             self._b.encode(new, num_threads=1),
         )
-        # bytes of all pieces end to end, each with its space
-        raw = np.frombuffer("".join([" ", " ".join(new)]).encode(), np.uint8)
-        lengths = 1 + np.fromiter(map(len, map(str.encode, new)), np.int64, len(new))
+        raw = [b" " + t.encode() for t in new]
         right = np.ones(len(new), bool)
-        for k, (ids, said, worth) in enumerate(
-            zip(sides, (self.a_bytes, self.b_bytes), (self.a_sizes, self.b_sizes), strict=True)
-        ):
+        for k, (ids, said) in enumerate(zip(sides, (self.a_bytes, self.b_bytes), strict=True)):
+            right &= [b"".join(map(said.__getitem__, x)) == r for x, r in zip(ids, raw, strict=True)]
             flat, bounds = self._ids[k]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            ends = np.cumsum(sizes)
-            taken = np.fromiter(chain.from_iterable(ids), np.int64, sizes.sum())
-            got = np.diff(np.r_[0, np.r_[0, np.cumsum(worth[taken])][ends]])
-            told = np.frombuffer(b"".join(map(said.__getitem__, chain.from_iterable(ids))), np.uint8)
-            # pieces of the right length are compared byte by byte
-            even = got == lengths
-            differ = told[np.repeat(even, got)] != raw[np.repeat(even, lengths)]
-            right &= even
-            right[np.repeat(np.flatnonzero(even), lengths[even])[differ]] = False
-            flat = np.r_[flat, taken]
-            self._ids[k] = (flat, np.r_[bounds, bounds[-1] + ends])
+            flat = np.r_[flat, np.fromiter(chain.from_iterable(ids), np.int64, sizes.sum())]
+            self._ids[k] = (flat, np.r_[bounds, bounds[-1] + np.cumsum(sizes)])
         self._right = np.r_[self._right, right]
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
