@@ -66,8 +66,9 @@ def running_median(
         out_rows = rows.drop_columns(["_w", "_at"]).append_column(
             out, pa.array(found, type=pa.float64(), from_pandas=True)
         )
+        # well by well in order, so that neighbours are alike where they are written or sent
         own = pos // chunk_rows == rows["_at"].to_numpy()
-        return out_rows if own.all() else out_rows.filter(pa.array(own))
+        return out_rows.take(pa.array(order[own[order]]))
 
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
     spread = reach.repartition(*by, "_at")
@@ -119,18 +120,22 @@ def thresholds(df: DataFrame, settings: Settings, by: Sequence[str] = REC) -> Da
     )
 
 
+def fixed_levels(settings: Settings) -> dict[str, Column] | None:
+    """The four levels where the settings alone tell them; None where samples or devices do."""
+    fixed = (isinstance(settings, Params) and settings.feeding_threshold >= 0) or (
+        isinstance(settings, Swept) and not settings.ever_relative
+    )
+    return {lv: value(settings, name).cast("double") for lv, name in _LEVELS.items()} if fixed else None
+
+
 def with_thresholds(df: DataFrame, settings: Settings, by: Sequence[str] = REC) -> DataFrame:
     """Bring the four levels onto the samples; a join only for relative levels.
 
     The levels of a device's wells are dealt to its chunks: a join on the well would
     keep a long recording in one task.
     """
-    fixed = (isinstance(settings, Params) and settings.feeding_threshold >= 0) or (
-        isinstance(settings, Swept) and not settings.ever_relative
-    )
+    fixed = fixed_levels(settings)
     if fixed:
-        return df.withColumns(
-            {lv: value(settings, name).cast("double") for lv, name in _LEVELS.items()}
-        )
+        return df.withColumns(fixed)
     levels = thresholds(df, settings, by)
     return spread_join(df.repartition(*by, "chunk"), levels, by, within="well")

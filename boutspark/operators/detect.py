@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boutspark.operators.baseline import with_thresholds
+from boutspark.operators.baseline import fixed_levels, with_thresholds
 from boutspark.operators.runs import flag_runs, link_runs, spread_over_chunks, surviving_runs
 from boutspark.operators.scan import CHUNK_ROWS, chunk_of
 from boutspark.params import REC, Settings, attach, carried, corrects_dual_feeding, value
@@ -87,7 +87,9 @@ def label_contacts(
         "_bout": _span_marks(linked, keys, "_bout", chunk_rows),
         **(before or {}),
     }
-    rows = _with_marks(samples, marks, by)
+    # levels that the settings tell need not travel
+    levels = fixed_levels(settings) or {}
+    rows = _with_marks(samples.drop(*levels), marks, by).withColumns(levels)
     pos, run, bout, base = F.col("pos"), F.col("_run"), F.col("_bout"), F.col("base")
     rows = rows.withColumns(
         {

@@ -125,8 +125,12 @@ def event_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def price_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`lineitem` as a long recording: a supplier is a well, prices the signal."""
+def price_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`lineitem` as a long recording: a supplier is a well, prices the signal.
+
+    Only what the baseline works on; `price_seats` adds what a row tells by itself, so
+    that does not travel with the samples.
+    """
     items = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"
     )
@@ -142,14 +146,27 @@ def price_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select(
         F.lit("lineitem").alias("project"),
         (F.floor(F.col("l_suppkey") / 12) + 1).cast("bigint").alias("dfm"),
-        (F.floor((F.col("l_suppkey") % 12) / 2) + 1).cast("bigint").alias("chamber"),
         (F.col("l_suppkey") % 12 + 1).alias("well"),
-        F.when(F.col("l_suppkey") % 2 == 0, "A").otherwise("B").alias("side"),
-        (F.col("l_suppkey") % 2 + 1).cast("int").alias("slot"),
-        "sample",
         (F.col("sample") - 1).alias("pos"),
-        (F.col("sample") - 1).cast("double").alias("minutes"),
         (F.col("l_extendedprice") / 1000.0).alias("signal"),
-        F.lit(0).cast("bigint").alias("opto"),
-        F.lit(False).alias("lit"),
     ).withColumn("chunk", chunk_of("pos"))
+
+
+def price_seats(rows: DataFrame) -> DataFrame:
+    """Chamber, side, clock and light of rows of `price_signal`; columns that are there stay."""
+    place = F.col("well") - 1
+    told = {
+        "chamber": (F.floor(place / 2) + 1).cast("bigint"),
+        "side": F.when(place % 2 == 0, "A").otherwise("B"),
+        "slot": (place % 2 + 1).cast("int"),
+        "sample": F.col("pos") + 1,
+        "minutes": F.col("pos").cast("double"),
+        "opto": F.lit(0).cast("bigint"),
+        "lit": F.lit(False),
+    }
+    return rows.withColumns({c: v for c, v in told.items() if c not in rows.columns})
+
+
+def price_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long recording with all columns of a sample."""
+    return price_seats(price_signal(spark, sf_dir))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from boutspark.operators import bouts, detect, summary
 from boutspark.operators.baseline import subtract_baseline
 from boutspark.params import REC, Params
-from boutspark.sources.tables import price_recording
+from boutspark.sources.tables import price_seats, price_signal
 from boutspark.staging import stage
 from checks.oracle import detection, oracle, part, r6
 from checks.q_stats import add_summary
@@ -30,8 +30,10 @@ WELL = [*REC, "well"]
 
 def price_labelled(spark, sf):
     def build():
-        base = stage(subtract_baseline(price_recording(spark, sf), PRICE_PARAMS), "price")
-        return detect.detect(base, PRICE_PARAMS)
+        base = stage(subtract_baseline(price_signal(spark, sf), PRICE_PARAMS).drop("signal"), "price")
+        # detection needs the pairs of wells and the clock; the rest follows from a row
+        rows = price_seats(base).select(*base.columns, "chamber", "minutes")
+        return price_seats(detect.detect(rows, PRICE_PARAMS))
 
     return _once(spark, sf, "price", build)
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boutspark.operators import access, bouts, summary
+from boutspark.operators import detect as detection
 from boutspark.operators.baseline import running_median, subtract_baseline, thresholds
 from boutspark.operators.detect import detect
 from boutspark.params import REC, Params
@@ -192,6 +193,27 @@ def test_running_median_in_chunks(spark, window):
     assert got["pos"].tolist() == list(range(len(x)))
 
 
+def test_medians_leave_in_order(spark):
+    rows = to_frame(spark, shuffled=True)
+    got = running_median(rows, REC, 5, chunk_rows=CHUNK).select("dfm", "chunk", "well", "pos").collect()
+    for key in {(r["dfm"], r["chunk"]) for r in got}:
+        places = [(r["well"], r["pos"]) for r in got if (r["dfm"], r["chunk"]) == key]
+        assert places == sorted(places)
+    assert len(got) == sum(map(len, SIGNALS.values()))
+
+
+def test_levels_of_the_settings_do_not_travel(spark, labelled, monkeypatch):
+    sent = []
+    plain = detection._with_marks
+    monkeypatch.setattr(detection, "_with_marks", lambda rows, *a: (sent.append(rows.columns), plain(rows, *a))[1])
+    rows = access.seat_samples(to_frame(spark), access.seats_from_params(spark, SHARED)).withColumn("base", F.col("signal"))
+    got = detect(rows, SHARED, chunk_rows=CHUNK, staged=False)
+    levels = ["feeding_max", "feeding_min", "tasting_max", "tasting_min"]
+    assert "base" in sent[-1] and not set(levels) & set(sent[-1])
+    assert [tuple(r) for r in got.select(*levels).distinct().collect()] == [(30.0, 10.0, 9.0, 2.0)]
+    assert sorted(got.columns) == sorted(labelled.columns)
+
+
 def test_parameters_per_device(spark):
     """A parameter table gives what shared parameters give device by device."""
     fields = [

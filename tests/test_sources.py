@@ -12,6 +12,7 @@ from boutspark.params import REC
 from boutspark.sources import sinks
 from boutspark.sources.exclusions import read_exclusions, write_exclusions
 from boutspark.sources.recordings import chosen_files, coverage, list_files, read_ticks, samples_from_ticks
+from boutspark.sources.tables import price_recording, price_signal
 
 WELLS = [f"W{w}" for w in range(1, 13)]
 
@@ -202,3 +203,18 @@ def test_replacing_a_group_leaves_the_others_alone(spark, tmp_path):
     assert now() == [("general", 3, 3, ""), ("late hours", 5, 1, "")]
     write_exclusions(str(path), "general", rows().limit(0))
     assert now() == [("late hours", 5, 1, "")]
+
+
+def test_price_rows_carry_only_what_the_baseline_needs(spark, tmp_path):
+    items = [(s, o, 1, 7, 1000.0 * s + o) for s in (0, 1, 11, 12, 25) for o in (70_000, 3, 9)]
+    columns = "l_suppkey bigint, l_orderkey bigint, l_linenumber int, l_partkey bigint, l_extendedprice double"
+    spark.createDataFrame(items, columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    thin = price_signal(spark, str(tmp_path))
+    assert set(thin.columns) == {"project", "dfm", "well", "chunk", "pos", "signal"}
+    want = [
+        (s // 12 + 1, s % 12 // 2 + 1, s % 12 + 1, "AB"[s % 2], s % 2 + 1, 0, i, i + 1, float(i), s + o / 1000, 0, False)
+        for s in (0, 1, 11, 12, 25)
+        for i, o in enumerate((3, 9, 70_000))
+    ]
+    shown = ["dfm", "chamber", "well", "side", "slot", "chunk", "pos", "sample", "minutes", "signal", "opto", "lit"]
+    assert sorted(map(tuple, price_recording(spark, str(tmp_path)).select(*shown).collect())) == sorted(want)
