@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import ArrowInvalid, fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boutspark.params import REC
 from boutspark.shipping import ship
@@ -92,17 +95,57 @@ def write_device_files(
     ship(ticks.sparkSession)
     columns = [c for c in ticks.columns if c not in (*REC, "pos")]
     schema = "project string, dfm bigint, part bigint, ticks bigint"
+    place = [*REC, "_part"]
 
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
-        project, dfm, part = rows[["project", "dfm", "_part"]].iloc[0]
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: set[str] = set()
         system, base = file_system(root)
-        folder = f"{base.rstrip('/')}/{project}/data"
-        system.create_dir(folder, recursive=True)
-        aside = f"{folder}/.{uuid.uuid4().hex}"
-        with system.open_output_stream(aside) as out:
-            out.write(rows.sort_values("pos").to_csv(index=False, columns=columns).encode())
-        system.move(aside, f"{folder}/{form.format(dfm=dfm, part=part)}")
-        return pd.DataFrame([(project, int(dfm), int(part), len(rows))], columns=["project", "dfm", "part", "ticks"])
-
-    cut = ticks.withColumn("_part", F.expr(f"pos div {int(ticks_per_file)} + {int(first_part)}"))
-    return cut.groupBy(*REC, "_part").applyInPandas(write, schema).count()
+
+        def put(key: tuple, pieces: list[pa.RecordBatch]) -> tuple:
+            project, dfm, part = key
+            folder = f"{base.rstrip('/')}/{project}/data"
+            if folder not in made:
+                system.create_dir(folder, recursive=True)
+                made.add(folder)
+            rows = pa.Table.from_batches(pieces).to_pandas(coerce_temporal_nanoseconds=True)
+            aside = f"{folder}/.{uuid.uuid4().hex}"
+            with system.open_output_stream(aside) as out:
+                out.write(rows.to_csv(index=False, columns=columns).encode())
+            system.move(aside, f"{folder}/{form.format(dfm=dfm, part=part)}")
+            return project, dfm, part, len(rows)
+
+        # a file may go on in the next batch
+        key, pieces = None, []
+        for batch in batches:
+            written = []
+            for now, a, b in _stretches(batch, place):
+                if pieces and now != key:
+                    written.append(put(key, pieces))
+                    pieces = []
+                key = now
+                pieces.append(batch.slice(a, b - a))
+            yield _told(written)
+        yield _told([put(key, pieces)] if pieces else [])
+
+    # times are written as the session's clock shows them
+    times = [f.name for f in ticks.schema if f.dataType == T.TimestampType()]
+    cut = ticks.withColumns({c: F.col(f"`{c}`").cast("timestamp_ntz") for c in times})
+    cut = cut.withColumn("_part", F.expr(f"pos div {int(ticks_per_file)} + {int(first_part)}"))
+    # files of a task one after the other: many are small, and a group each would cost more than its file
+    return cut.repartition(*place).sortWithinPartitions(*place, "pos").mapInArrow(write, schema).count()
+
+
+def _stretches(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, int, int]]:
+    """(key, from, to) of the stretches of equal keys of a batch."""
+    columns = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys]
+    start = 0
+    for key, same in itertools.groupby(zip(*columns, strict=True)):
+        stop = start + sum(1 for _ in same)
+        yield key, start, stop
+        start = stop
+
+
+def _told(written: list[tuple]) -> pa.RecordBatch:
+    names = {"project": pa.string(), "dfm": pa.int64(), "part": pa.int64(), "ticks": pa.int64()}
+    arrays = [pa.array([w[i] for w in written], type=t) for i, t in enumerate(names.values())]
+    return pa.RecordBatch.from_arrays(arrays, names=list(names))

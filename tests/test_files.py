@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from boutspark.sources import recordings
@@ -56,6 +57,33 @@ def test_round_trip(spark, folder):
     ]
 
 
+def test_files_are_not_groups_of_their_own(spark, tmp_path, monkeypatch):
+    """Many small files are written by one pass over sorted rows, also where they go on in the next batch."""
+
+    def refused(*_):
+        raise AssertionError("a group per file")
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", refused)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    rows = [("p", d, i, i + 1 if i != 4 else None, 2**53 + i, f'{i},"\n' if i % 2 else None) for d in (1, 2) for i in range(23)]
+    try:
+        ticks = spark.createDataFrame(rows, "project string, dfm bigint, pos bigint, Sample bigint, Big bigint, Told string")
+        times = ticks.withColumn("At", F.timestamp_seconds("Sample"))
+        assert write_device_files(times.repartition(5), str(tmp_path), ticks_per_file=7, first_part=9) == 8
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    data = tmp_path / "p" / "data"
+    assert sorted(os.listdir(data)) == sorted(f"DFM{d}_{p}.csv" for d in (1, 2) for p in range(9, 13))
+    clock = "1970-01-01 00:00:"
+    # a file with an empty number has them with a point, as pandas writes such a column
+    want = [f'{n},{2**53 + i},{told},{at}' for i, n, told, at in [
+        (0, "1.0", "", clock + "01"), (1, "2.0", '"1,""\n"', clock + "02"), (2, "3.0", "", clock + "03"), (3, "4.0", '"3,""\n"', clock + "04"),
+        (4, "", "", ""), (5, "6.0", '"5,""\n"', clock + "06"), (6, "7.0", "", clock + "07")]]
+    assert (data / "DFM1_9.csv").read_text() == "\n".join(["Sample,Big,Told,At", *want, ""])
+    assert (data / "DFM2_12.csv").read_text() == f'Sample,Big,Told,At\n22,{2**53 + 21},"21,""\n",{clock}22\n23,{2**53 + 22},,{clock}23\n'
+
+
 def test_scan_of_lines_finds_the_same_headers(spark, folder, monkeypatch):
     files = recordings.list_files(spark, folder).select("path", (F.col("rank") == 3).alias("newest"))
     opened = sorted(map(tuple, with_headers(files).collect()))
